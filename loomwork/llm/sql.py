@@ -62,7 +62,7 @@ m AS (SELECT source, greatest(1, ceil(rate / 64))::INT AS draws, rate / greatest
 c AS (
   SELECT source, draws, list_transform(range(0, 161), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(-mean + j * ln(mean) - lgamma(j + 1))))) AS cdf FROM m
 ), u AS (
-  SELECT doc_id, source, text, draws, cdf, list_transform(range(1, draws + 1), lambda j: (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || j), 1, 12))::BIGINT + 0.5) / 281474976710656.0) AS us
+  SELECT doc_id, documents.source, text, draws, cdf, list_transform(range(1, draws + 1), lambda j: (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || j), 1, 12))::BIGINT + 0.5) / 281474976710656.0) AS us
   FROM documents JOIN c ON documents.source IS NOT DISTINCT FROM c.source
 ), n AS (SELECT doc_id, source, text, list_sum(list_transform(us, lambda x: len(list_filter(cdf, lambda p: p < x))))::BIGINT AS copies FROM u)
 SELECT doc_id, source, text, copy_no::INT AS copy_no, md5('mix-order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy_no) AS shuffle_key

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, chat, decontaminate, langid, mixing, quality, simhash, suffix, warc
+from loomwork.llm import bpe, chat, decontaminate, fingerprints, langid, mixing, quality, simhash, suffix, warc
 from loomwork.llm.common import crc_mod, table
 
 CHAT_PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -70,6 +70,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op8_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix.removals(docs).select("doc_id", suffix.digests().alias("r")).select("doc_id", "r.*")

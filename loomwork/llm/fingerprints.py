@@ -126,8 +126,8 @@ def _bucket(docs: DataFrame, rows_per_bucket: int) -> str:
     buckets = min(65_536, n // rows_per_bucket)
     if buckets < 2:
         return "if(__id is null, -1, 0)"
-    shares = f"transform(sequence(1, {buckets - 1}), i -> i / {float(buckets)}D)"
-    bounds = sorted(set(docs.agg(F.expr(f"percentile_approx(__id, {shares}, {max(10_000, 10 * buckets)})")).first()[0]))
+    shares = [i / buckets for i in range(1, buckets)]
+    bounds = sorted(set(docs.agg(F.percentile_approx("__id", shares, max(10_000, 10 * buckets))).first()[0]))
     literal = lambda xs: f"cast(split('{','.join(map(str, xs))}', ',') as array<bigint>)"
     m = len(bounds)
     width = (high - low) // m + 1

@@ -1,0 +1 @@
+"""Spark-native analytics over prompts, recorded model responses and documents."""

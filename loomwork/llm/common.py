@@ -1,42 +1,21 @@
-"""Helpers shared by the operators of this subpackage: shared storage, splits, sizes."""
+"""Helpers shared by the operators of this subpackage: shared storage, splits, worker code and memory."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
-import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIR: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (single-machine tests) a temporary folder is made."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if configured:
-        return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIR:
-        _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="loomwork-")
-    return _OWN_DIR[app]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomwork-{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as a Parquet table in the shared folder and reread it."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from loomwork.storage import fresh_path, saved, shared_dir, table
 
+__all__ = ["batches_of", "crc_mod", "drop_saved", "fresh_path", "sample_below", "saved", "shared_dir", "ship", "table", "worker_udf"]
 
 def drop_saved(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`saved` that nothing reads any more."""
@@ -51,10 +30,6 @@ def crc_mod(id_col: str, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def sample_below(key: Column, share: float) -> Column:
     """True for about ``share`` of the keys, the same ones in every run."""
     if share >= 1:
@@ -79,7 +54,40 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def trim() -> None:
+    """Return freed memory to the system: workers live long, and allocators keep their peaks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def worker_udf(returns: str):
-    """``arrow_udf`` whose code workers can import."""
+    """``arrow_udf`` whose code workers can import and that leaves no freed memory behind."""
     ship(SparkSession.active())
-    return F.arrow_udf(returns)
+
+    def wrap(f: Callable):
+        # arrow_udf reads the signature, so the wrapper keeps that of f
+        @functools.wraps(f)
+        def trimmed(*columns):
+            try:
+                return f(*columns)
+            finally:
+                trim()
+
+        return F.arrow_udf(returns)(trimmed)
+
+    return wrap
+
+
+def batches_of(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same for a function of mapInArrow."""
+
+    def trimmed(batches: Iterator) -> Iterator:
+        for batch in f(batches):
+            yield batch
+            trim()
+        trim()
+
+    return trimmed

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import sample_below, ship, worker_udf
+from loomwork.llm.common import batches_of, sample_below, ship, worker_udf
 
 UND = "und"
 PLANE_BITS = 62
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 _LETTER: np.ndarray | None = None
 
 
@@ -160,7 +160,7 @@ def fit(
                     key, n = np.unique(grams[of == i], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(np.full(len(key), i)), pa.array(n)], ["gram", "lang", "n"])
 
-    found = rows.filter(chosen).select(text_col, lang_col).mapInArrow(count_grams, "gram long, lang long, n long")
+    found = rows.filter(chosen).select(text_col, lang_col).mapInArrow(batches_of(count_grams), "gram long, lang long, n long")
     found = found.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     sizes = {r[0]: r[1] for r in found.groupBy("lang").agg(F.sum("n")).collect()}
     if not sizes:
@@ -178,7 +178,7 @@ def fit(
 
     kept = masks.select("gram", F.explode(F.filter("by", lambda x: x["rate"] >= min_relative * F.col("top"))).alias("x"))
     kept = kept.select("gram", F.floor(F.col("x.lang") / PLANE_BITS).cast("long").alias("plane"), F.expr(f"shiftleft(1L, cast(x.lang % {PLANE_BITS} as int))").alias("mask"))
-    filled = kept.mapInArrow(to_slots, "slot long, plane long, mask long").groupBy("plane", "slot").agg(F.bit_or("mask").alias("mask"))
+    filled = kept.mapInArrow(batches_of(to_slots), "slot long, plane long, mask long").groupBy("plane", "slot").agg(F.bit_or("mask").alias("mask"))
     got = filled.toArrow()
     planes[np.asarray(got["plane"]), np.asarray(got["slot"])] = np.asarray(got["mask"])
     return LanguageFilters(languages, default, planes, n_hashes)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import sample_below, ship, worker_udf
+from loomwork.llm.common import batches_of, sample_below, ship, worker_udf
 
 FEATURES = (
     "log_bytes",
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = matrix(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    got = joined.select("__text", "__label").mapInArrow(measure, "x array<double>, y double").toArrow()
+    got = joined.select("__text", "__label").mapInArrow(batches_of(measure), "x array<double>, y double").toArrow()
     x = np.array(got["x"].to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     y = np.asarray(got["y"], dtype=np.float64)
     order = np.lexsort((y, *x.T))  # the sums of floats then don't depend on the order of arrival

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import drop_saved, sample_below, saved, ship, worker_udf
+from loomwork.llm.common import batches_of, drop_saved, sample_below, saved, ship, worker_udf
 
 LEAF = 256
 CHUNK = 1 << 16
@@ -185,7 +185,7 @@ def links(nodes: DataFrame, r: int, *, shard_rows: int = 1 << 15, sample_rows: i
         found = np.array(local_links(x, r), dtype=np.uint64).reshape(-1, 2).view(np.int64)
         return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
-    return nodes.select("fp").mapInArrow(route, "shard bigint, fp bigint").groupBy("shard").applyInArrow(within, "a bigint, b bigint")
+    return nodes.select("fp").mapInArrow(batches_of(route), "shard bigint, fp bigint").groupBy("shard").applyInArrow(within, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import fresh_path, saved, ship, worker_udf
+from loomwork.llm.common import batches_of, fresh_path, saved, ship, worker_udf
 from loomwork.llm.windows import Rolling, chosen_grams, cuts, minimisers, mixed
 
 THRESHOLD = 100
@@ -131,7 +131,7 @@ def not_first(rows: DataFrame, rank: list[str], keep: list[str]) -> DataFrame:
                 if gone.any():
                     yield batch.filter(pa.array(gone)).select(names)
 
-    return spread.mapInArrow(later, schema)
+    return spread.mapInArrow(batches_of(later), schema)
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
         if held is not None and known:
             yield held
 
-    return spread.mapInArrow(twice, "h bigint, __doc bigint, __tie bigint")
+    return spread.mapInArrow(batches_of(twice), "h bigint, __doc bigint, __tie bigint")
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes]]:
@@ -211,7 +211,7 @@ def anchors(texts: DataFrame, threshold: int, gram: int) -> DataFrame:
         if h:
             yield emit(h, doc, tie)
 
-    return texts.mapInArrow(scan, "h bigint, __doc bigint, __tie bigint")
+    return texts.mapInArrow(batches_of(scan), "h bigint, __doc bigint, __tie bigint")
 
 
 def stretches(texts: DataFrame, threshold: int, gram: int) -> DataFrame:
@@ -239,7 +239,7 @@ def stretches(texts: DataFrame, threshold: int, gram: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return texts.mapInArrow(scan, "h bigint, __doc bigint, __tie bigint, a bigint, bytes binary")
+    return texts.mapInArrow(batches_of(scan), "h bigint, __doc bigint, __tie bigint, a bigint, bytes binary")
 
 
 def compared(rows: DataFrame, threshold: int, held: int) -> DataFrame:
@@ -290,7 +290,7 @@ def compared(rows: DataFrame, threshold: int, held: int) -> DataFrame:
                     o = np.flatnonzero(open_rows)
                     yield pa.RecordBatch.from_arrays([pa.array(one[o].view(np.int64)), pa.array(two[o].view(np.int64)), pa.array(doc[row[o]]), pa.array(tie[row[o]]), pa.array(start[o]), pa.array(start[o] + 1)], names)
 
-    return spread.mapInArrow(scan, "w1 bigint, w2 bigint, __doc bigint, __tie bigint, a bigint, b bigint")
+    return spread.mapInArrow(batches_of(scan), "w1 bigint, w2 bigint, __doc bigint, __tie bigint, a bigint, b bigint")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: int = THRESHOLD, gram: int = GRAM, held: int = 1_000_000) -> DataFrame:

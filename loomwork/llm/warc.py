@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import fresh_path, saved, ship
+from loomwork.llm.common import batches_of, fresh_path, saved, ship
 
 END = "\r\n\r\n"
 INDEX = "archive string, offset bigint, length bigint, header_bytes bigint, kind string, record_id string, url string, digest string, refers_to string"
@@ -123,7 +123,7 @@ def index(spark, path: str) -> DataFrame:
     if not files:
         return spark.createDataFrame([], INDEX)
     names = spark.createDataFrame(files, "archive string, size bigint").repartition(len(files))
-    return names.mapInArrow(scan, INDEX)
+    return names.mapInArrow(batches_of(scan), INDEX)
 
 
 def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -173,7 +173,7 @@ def read(selected: DataFrame, *, sort_rows_per_task: int = 20_000) -> DataFrame:
             f.close()
 
     spread = selected.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
-    return spread.mapInArrow(fetch, RECORD)
+    return spread.mapInArrow(batches_of(fetch), RECORD)
 
 
 def round_trip(pages: DataFrame, **columns) -> DataFrame:

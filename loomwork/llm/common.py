@@ -17,6 +17,7 @@ from loomwork.storage import fresh_path, saved, shared_dir, table
 
 __all__ = ["batches_of", "crc_mod", "drop_saved", "fresh_path", "sample_below", "saved", "shared_dir", "ship", "table", "worker_udf"]
 
+
 def drop_saved(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`saved` that nothing reads any more."""
     spark = df.sparkSession

@@ -47,6 +47,8 @@ STRETCH = 4096
 UNITS = "struct<packed: binary, units: array<struct<u1: bigint, u2: bigint, a: int, b: int, again: boolean>>>"
 _UNIT_TYPE = pa.list_(pa.struct([("u1", pa.int64()), ("u2", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("again", pa.bool_())]))
 KEY = ["__doc", "__tie"]
+UNKNOWN, KNOWN, FAR = 0, 1, 2
+CHUNK_BYTES = 8 << 20
 
 
 def _raw(text: str | None) -> bytes:
@@ -136,7 +138,7 @@ def not_first(rows: DataFrame, rank: list[str], keep: list[str]) -> DataFrame:
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
     """(h, doc, tie) of the anchors that aren't unique."""
-    spread = rows.repartition("h").sortWithinPartitions("h")
+    spread = rows.repartition(F.when(F.col("kind") == FAR, F.xxhash64("h", *KEY)).otherwise(F.col("h"))).sortWithinPartitions("h")
 
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, known = None, False  # the last row so far, and whether its anchor is known to repeat
@@ -147,16 +149,16 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
                 batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             h = np.asarray(batch["h"])
             same = h[1:] == h[:-1]
-            double = np.zeros(len(h), dtype=bool)
+            double = np.asarray(batch["kind"]) != UNKNOWN
             double[1:] |= same
             double[:-1] |= same
             double[0] |= known
             held, known = batch.slice(len(h) - 1), bool(double[-1])
             double[-1] = False
             if double.any():
-                yield batch.filter(pa.array(double))
+                yield batch.filter(pa.array(double)).select(["h", *KEY])
         if held is not None and known:
-            yield held
+            yield held.select(["h", *KEY])
 
     return spread.mapInArrow(batches_of(twice), "h bigint, __doc bigint, __tie bigint")
 
@@ -189,11 +191,18 @@ def _blocks(raw: bytes, free: np.ndarray, threshold: int, gram: int) -> Iterator
 
 
 def anchors(texts: DataFrame, threshold: int, gram: int) -> DataFrame:
-    """(h, doc, tie) for each anchor of a window that is still open."""
+    """(h, doc, tie, kind) for each anchor of a window that is still open.
+
+    An anchor that repeats among the texts scanned together is settled: one row of it (KNOWN) still
+    has to meet the others of its kind, the rest (FAR) needn't, so a frequent anchor doesn't gather."""
 
     def emit(h: list, doc: list, tie: list) -> pa.RecordBatch:
-        n = [len(x) for x in h]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.repeat(np.array(doc, dtype=np.int64), n)), pa.array(np.repeat(np.array(tie, dtype=np.int64), n))], ["h", *KEY])
+        n, h = [len(x) for x in h], np.concatenate(h)
+        _, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        kind = np.where(count[inverse] > 1, FAR, UNKNOWN).astype(np.int8)
+        kind[first[count > 1]] = KNOWN
+        docs, ties = (np.repeat(np.array(x, dtype=np.int64), n) for x in (doc, tie))
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(docs), pa.array(ties), pa.array(kind)], ["h", *KEY, "kind"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, doc, tie, size = [], [], [], 0
@@ -211,12 +220,19 @@ def anchors(texts: DataFrame, threshold: int, gram: int) -> DataFrame:
         if h:
             yield emit(h, doc, tie)
 
-    return texts.mapInArrow(batches_of(scan), "h bigint, __doc bigint, __tie bigint")
+    return texts.mapInArrow(batches_of(scan), "h bigint, __doc bigint, __tie bigint, kind tinyint")
 
 
 def stretches(texts: DataFrame, threshold: int, gram: int) -> DataFrame:
-    """(h, doc, tie, a, bytes) for each run of open windows that share a repeated anchor."""
-    names, kinds = ["h", *KEY, "a", "bytes"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    """(h, doc, tie, a, b, bytes) for each run of open windows that share a repeated anchor.
+
+    A run equal to an earlier one among the texts scanned together is settled: its bytes are null."""
+    names, kinds = ["h", *KEY, "a", "b", "bytes"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        rows.sort(key=lambda r: (r[0], r[5], r[1], r[2], r[3]))
+        rows[1:] = [(*r[:5], None) if (r[0], r[5]) == before else r for r, before in zip(rows[1:], [(q[0], q[5]) for q in rows])]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
@@ -231,15 +247,15 @@ def stretches(texts: DataFrame, threshold: int, gram: int) -> DataFrame:
                     if key[a]:
                         for x in range(a, b, STRETCH):
                             y = min(b, x + STRETCH)
-                            out.append((int(key[a].view(np.int64)), row["__doc"].as_py(), row["__tie"].as_py(), s + x, raw[s + x : s + y + threshold - 1]))
+                            out.append((int(key[a].view(np.int64)), row["__doc"].as_py(), row["__tie"].as_py(), s + x, s + y, raw[s + x : s + y + threshold - 1]))
                             size += y - x + threshold
-            if size >= 2 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+            if size >= CHUNK_BYTES:
+                yield emit(out)
                 out, size = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+            yield emit(out)
 
-    return texts.mapInArrow(batches_of(scan), "h bigint, __doc bigint, __tie bigint, a bigint, bytes binary")
+    return texts.mapInArrow(batches_of(scan), "h bigint, __doc bigint, __tie bigint, a bigint, b bigint, bytes binary")
 
 
 def compared(rows: DataFrame, threshold: int, held: int) -> DataFrame:
@@ -247,12 +263,17 @@ def compared(rows: DataFrame, threshold: int, held: int) -> DataFrame:
 
     Returns settled runs (w1 null; window starts a to b aren't first) and, beyond ``held`` windows of
     an anchor, open windows with their rank (w1, w2) for another sort."""
-    spread = rows.repartition("h").sortWithinPartitions("h", *KEY, "a")
+    spread = rows.repartition(F.when(F.col("bytes").isNull(), F.xxhash64("h", *KEY, "a")).otherwise(F.col("h"))).sortWithinPartitions("h", *KEY, "a")
     names = ["w1", "w2", *KEY, "a", "b"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, seen = None, np.zeros(0, dtype=np.uint64)  # the anchor at the end of the last part, its windows
         for batch in batches:
+            settled = batch.filter(batch["bytes"].is_null())
+            if settled.num_rows:
+                none = pa.nulls(settled.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, *(settled[c] for c in names[2:])], names)
+            batch = batch.filter(batch["bytes"].is_valid())
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 h, doc, tie, a = (np.asarray(part[c]) for c in ("h", *KEY, "a"))
@@ -355,3 +376,52 @@ def kept_text(threshold: int = THRESHOLD) -> Column:
         return pa.array([_kept(unpack(p.as_py()), byte_spans(s.as_py(), threshold)).decode("utf-8", "ignore") for p, s in zip(packed, starts)], pa.string())
 
     return of(F.col("__packed"), F.col("__spans"))
+
+
+def doubled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: int = THRESHOLD, first: int = 4) -> DataFrame:
+    """Prefix doubling taken literally, a row per byte in every round: __doc, __tie, a, b of removed windows.
+
+    It gives what :func:`removals` gives and is kept to hold that against; the README has what it costs.
+    Round by round rows (rank, rank at the offset, position) are sorted, equal pairs get one rank
+    and unique ones drop out, until the ranks stand for ``threshold`` bytes."""
+    ship(docs.sparkSession)
+    texts, repeated = prepared(docs, id_col, text_col, threshold)
+    each = texts.dropDuplicates(KEY) if repeated else texts
+
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, raw in _texts(batches):
+            for s in range(0, len(raw) - first + 1, STRETCH * 16):
+                part = np.frombuffer(raw[s : s + STRETCH * 16 + first - 1], dtype=np.uint8).astype(np.int64)
+                n = len(part) - first + 1
+                rank = sum(part[i : i + n] << (8 * i) for i in range(first))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row[c].as_py(), dtype=np.int64)) for c in KEY] + [pa.array(np.arange(s, s + n)), pa.array(rank)], [*KEY, "a", "r"])
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        name, last, held = TaskContext.get().partitionId() << 40, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held[0], batch]).combine_chunks().to_batches()[0]
+            one, two = np.asarray(batch["r"]), np.asarray(batch["r2"])
+            same = np.concatenate([[held is not None and last == (one[0], two[0]) and held[1]], (one[1:] == one[:-1]) & (two[1:] == two[:-1])])
+            name_of = name + np.cumsum(np.concatenate([[0], ~same[1:]]))
+            twice = same | np.concatenate([same[1:], [False]])
+            name, last, held = int(name_of[-1]), (one[-1], two[-1]), (batch.slice(batch.num_rows - 1), bool(twice[-1]))
+            twice[-1] = False
+            out = pa.RecordBatch.from_arrays([batch[c] for c in (*KEY, "a")] + [pa.array(name_of)], [*KEY, "a", "r"])
+            yield out.filter(pa.array(twice))
+        if held is not None and held[1]:
+            yield pa.RecordBatch.from_arrays([held[0][c] for c in (*KEY, "a")] + [pa.array([name])], [*KEY, "a", "r"])
+
+    schema = "__doc bigint, __tie bigint, a bigint, r bigint"
+    ranks, length = each.select(*KEY, "__packed").mapInArrow(batches_of(positions), schema), first
+    while length < threshold:
+        offset = min(length, threshold - length)
+        behind = ranks.select(*KEY, (F.col("a") - offset).alias("a"), F.col("r").alias("r2"))
+        pairs = ranks.join(behind, [*KEY, "a"]).repartition("r", "r2").sortWithinPartitions("r", "r2")
+        ranks = saved(pairs.mapInArrow(batches_of(rerank), schema), "ranks")
+        length += offset
+    return not_first(ranks.withColumn("b", F.col("a") + 1), ["r"], ["b"])

@@ -177,3 +177,13 @@ def test_stages_take_awkward_tables(spark, sf_dir, stage):
     assert out.columns == docs.columns or stage == 4
     assert out.count() > 0
     assert f(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_literal_doubling_agrees(spark):
+    docs = cases.documents(spark).filter("coalesce(length(text), 0) < 9000").select("doc_id", "text")
+    rows = sorted({(r["doc_id"], r["text"]) for r in docs.collect()})
+    want = repeats([t for _, t in rows])
+    found: dict = {}
+    for r in suffix.doubled(docs).collect():
+        found.setdefault(r["__doc"], []).append({"a": r["a"], "b": r["b"]})
+    assert [sum(b - a for a, b in suffix.byte_spans(found.get(i), 100)) for i, _ in rows] == [w[1] for w in want]

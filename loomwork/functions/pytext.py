@@ -1,7 +1,8 @@
 """Text rules on Spark columns as Python has them: white space, lines, numbers, rounding.
 
-Java's ``\\s``, ``.`` and ``$`` differ from Python's, so patterns set (?U) and (?d); ANSI mode raises on bad
-casts, so every cast is a guarded try_cast. Known gap: U+001C to U+001F count as white space in Python only.
+Java's ``\\s``, ``.`` and ``$`` differ from Python's, so patterns name white space and set (?d); ANSI mode
+raises on bad casts, so every cast is a guarded try_cast. Trimming is by characters and not by pattern,
+which looks at the ends of a text only.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The characters for which str.isspace() holds.
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What float() accepts, but for underscores, which count as not numeric here.
 FLOAT = r"(?i)^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf(?:inity)?|nan)$"
 #: Where splitlines() breaks a text.
@@ -17,12 +20,12 @@ LINE_BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 def strip(s: Column) -> Column:
     """str.strip(), for all Unicode white space."""
-    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    return F.btrim(s, F.lit(SPACE))
 
 
 def collapse(s: Column) -> Column:
     """Stripped, with every run of white space as one space."""
-    return F.regexp_replace(strip(s), r"(?U)\s+", " ")
+    return F.regexp_replace(strip(s), f"[{SPACE}]+", " ")
 
 
 def blank_to_null(s: Column) -> Column:
@@ -46,7 +49,7 @@ def lines(s: Column) -> Column:
 
 def word_count(s: Column) -> Column:
     """Runs of non-space characters; 0 for null."""
-    return F.coalesce(F.size(F.regexp_extract_all(s, F.lit(r"(?U)\S+"), F.lit(0))), F.lit(0)).cast("long")
+    return F.coalesce(F.size(F.regexp_extract_all(s, F.lit(f"[^{SPACE}]+"), F.lit(0))), F.lit(0)).cast("long")
 
 
 def last(items: Column) -> Column:

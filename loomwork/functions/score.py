@@ -18,7 +18,7 @@ def normalised(value: Column, task: Column) -> Column:
     digits = F.replace(F.lower(digits), F.lit("infinity"), F.lit("inf"))
     first_byte = F.regexp_extract(s, extract.BIN8, 0)
     return (
-        F.when(task == "roman", F.regexp_replace(F.upper(s), r"(?U)\s+", ""))
+        F.when(task == "roman", F.regexp_replace(F.upper(s), f"[{t.SPACE}]+", ""))
         .when(task == "bit_manipulation", F.when(first_byte != "", first_byte).otherwise(F.replace(s, F.lit(" "), F.lit(""))))
         .when(task.isin(*extract.NUMERIC_TASKS), F.when(bare.rlike(t.FLOAT), digits).otherwise(bare))
         .when(task == "cipher_text", F.btrim(F.lower(t.collapse(s)), F.lit(" .,:;!?")))

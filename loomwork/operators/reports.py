@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import pytext as t
+from loomwork.storage import with_rank
 
 TOTAL = "TOTAL"
 
@@ -127,20 +128,27 @@ def done_counters(df: DataFrame, failed: Column, task: str = "task_type") -> Dat
 def correct_models(results: DataFrame, ordinal: str, id_col: str = "id", model: str = "model", keep: list[str] | None = None) -> DataFrame:
     """Per id the models with a correct result, each with its first one, in the order of those results."""
     keep = keep or []
-    right = results.filter(F.col("correct"))
-    first = right.groupBy(id_col, model).agg(F.min(ordinal).alias("__n"), *[F.min_by(c, ordinal).alias(c) for c in keep])
+    # not a filter: it would be pushed below the scoring and score every row twice
+    rows = results.withColumn("__right", F.when(F.col("correct"), F.col(ordinal)))
+    first = rows.groupBy(id_col, model).agg(F.min("__right").alias("__n"), *[F.min_by(c, "__right").alias(c) for c in keep]).filter("__n is not null")
     models = F.transform(F.array_sort(F.collect_list(F.struct("__n", model, *keep))), lambda x: F.struct(x[model].alias("model"), *[x[c].alias(c) for c in keep]))
     return first.groupBy(id_col).agg(models.alias("correct_models"))
 
 
-def moving_average(df: DataFrame, group: str, ordinal: str, value: str, rows: int, workers: int) -> DataFrame:
+def moving_average(df: DataFrame, group: str, ordinal: str, value: str, rows: int, workers: int, *, block: int = 50_000) -> DataFrame:
     """Mean of the last ``rows`` values of a run, and the time left at ``workers`` at once, for each row.
 
-    A run (``group``) is one generator's log, in the order of its completions."""
-    w = Window.partitionBy(group).orderBy(ordinal)
-    total = F.count(F.lit(1)).over(Window.partitionBy(group))
-    out = df.withColumn("done", F.row_number().over(w).cast("long")).withColumn("recent", F.avg(value).over(w.rowsBetween(-(rows - 1), 0)))
-    return out.withColumn("seconds_left", (total - F.col("done")) * F.col("recent") / workers)
+    A run (``group``) is one generator's log, in the order of its completions. A run may be long, so it
+    is cut into blocks by position, each with the ``rows`` - 1 rows before it."""
+    ranked = with_rank(df, F.col(group), F.col(ordinal), name="__rank")
+    sizes = ranked.groupBy(group).agg(F.min("__rank").alias("__first"), F.count(F.lit(1)).alias("__total")).withColumnRenamed(group, "__group")
+    ranked = ranked.join(sizes, F.col(group).eqNullSafe(F.col("__group"))).withColumn("done", F.col("__rank") - F.col("__first") + 1).drop("__group")
+    own = F.floor((F.col("done") - 1) / block)
+    last = F.floor((F.col("done") + rows - 2) / block)
+    blocks = ranked.withColumn("__block", F.explode(F.sequence(own, F.greatest(own, F.least(last, F.floor((F.col("__total") - 1) / block)))))).withColumn("__own", F.col("__block") == own)
+    w = Window.partitionBy(group, "__block").orderBy("done")
+    out = blocks.withColumn("recent", F.avg(value).over(w.rowsBetween(-(rows - 1), 0))).filter("__own")
+    return out.withColumn("seconds_left", (F.col("__total") - F.col("done")) * F.col("recent") / workers).drop("__rank", "__first", "__total", "__block", "__own")
 
 
 def every(df: DataFrame, done: str, n: int) -> DataFrame:

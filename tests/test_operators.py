@@ -151,3 +151,18 @@ def test_progress_stream(spark, tmp_path):
     q = resume.progress_stream(stream).writeStream.outputMode("complete").format("memory").queryName("progress").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("progress").collect())) == [("t", 2, 1), ("u", 1, 0)]
+
+
+def test_moving_average_across_blocks(spark):
+    df = spark.range(50).select((F.col("id") % 2).alias("g"), F.col("id").alias("n"), (F.col("id") * F.col("id")).cast("double").alias("v"))
+    whole = reports.moving_average(df, "g", "n", "v", 5, 3)
+    parts = reports.moving_average(df, "g", "n", "v", 5, 3, block=4)
+    rows = lambda d: sorted(tuple(r) for r in d.select("n", "done", "recent", "seconds_left").collect())
+    assert rows(whole) == rows(parts)
+    assert rows(whole)[4] == (4, 3, pytest.approx((0 + 4 + 16) / 3), pytest.approx(22 * (20 / 3) / 3))
+
+
+def test_strip_covers_pythons_white_space():
+    from loomwork.functions.pytext import SPACE
+
+    assert set(SPACE) == {chr(i) for i in range(0x110000) if chr(i).isspace()}

@@ -74,16 +74,14 @@ def subtract(a: str, b: str) -> str:
 def peel(difference: str, salt: int = 0) -> str:
     """SQL: struct (cells, got): what is left after peeling, and the digests recovered, as (x, n)."""
     pure = "array_distinct(filter(s.cells, c -> abs(c.n) = 1 and (c.x & 65535) = (hash(shiftrightunsigned(c.x, 16)) & 65535)))"
-    removed = let(
-        "es",
-        entries("pure", salt),
-        "transform(s.cells, (c, i) -> "
-        + let("f", "filter(es, e -> (shiftright(e.c, 4 * (i div 12)) & 15) = i % 12)", "if(size(f) = 0, c, named_struct('n', c.n - aggregate(f, 0, (a, e) -> a + e.n), 'x', c.x ^ aggregate(f, 0L, (a, e) -> a ^ e.x)))")
-        + ")",
-    )
-    step = let("pure", pure, f"if(size(pure) = 0, s, named_struct('cells', {removed}, 'got', concat(s.got, pure)))")
-    start = f"named_struct('cells', {difference}, 'got', cast(array() as array<struct<n: int, x: bigint>>))"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, k) -> {step})"
+    cell = "element_at(s.cells, 3 * t + j + 1)"
+    taken = f"named_struct('n', {cell}.n - aggregate(f, 0, (a, e) -> a + e.n), 'x', {cell}.x ^ aggregate(f, 0L, (a, e) -> a ^ e.x))"
+    each = let("f", "filter(es, e -> (shiftright(e.c, t) & 15) = j)", f"if(size(f) = 0, {cell}, {taken})")
+    removed = let("es", entries("pure", salt), f"flatten(transform(array(0, 4, 8, 12), t -> transform(sequence(0, 11), j -> {each})))")
+    state = "named_struct('cells', {}, 'got', {}, 'stop', {})".format
+    step = let("pure", pure, f"if(size(pure) = 0, {state('s.cells', 's.got', 'true')}, {state(removed, 'concat(s.got, pure)', 'false')})")
+    start = state(difference, "cast(array() as array<struct<n: int, x: bigint>>)", "false")
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, k) -> if(s.stop, s, {step}))"
 
 
 def outcome(peeled: str) -> str:

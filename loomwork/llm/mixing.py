@@ -55,8 +55,8 @@ def rates(docs: DataFrame, source_col: str, text_col: str, alpha: float, weights
     return out.withColumn("__cdf", cdf).select("__source", "__rate", "__draws", "__cdf")
 
 
-def counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *, alpha: float = 0.5, weights: dict[str, float] | None = None, seed: str = "mix", broadcast_sources: int = 10_000) -> DataFrame:
-    """``docs`` with ``copies`` and ``rate``. Up to ``broadcast_sources`` sources are broadcast; more are joined by shuffling."""
+def counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *, alpha: float = 0.5, weights: dict[str, float] | None = None, seed: str = "mix", broadcast_sources: int = 10_000, copies_col: str = "copies", rate_col: str = "rate") -> DataFrame:
+    """``docs`` with ``copies_col`` and ``rate_col`` (in place of columns of these names). Up to ``broadcast_sources`` sources are broadcast; more are joined by shuffling."""
     by_source = rates(docs, source_col, text_col, alpha, weights)
     if by_source.count() <= broadcast_sources:
         by_source = F.broadcast(by_source)
@@ -64,15 +64,17 @@ def counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     drawn = F.aggregate(F.sequence(F.lit(1), F.col("__draws")), F.lit(0), lambda acc, j: acc + F.size(F.filter("__cdf", lambda p: p < uniform(F.lit(seed), F.col(id_col), j))))
     one = F.size(F.filter("__cdf", lambda p: p < F.col("__u")))
     joined = joined.withColumn("__u", uniform(F.lit(seed), F.col(id_col), F.lit(1)))
-    return joined.withColumn("copies", F.when(F.col("__draws") == 1, one).otherwise(drawn)).withColumn("rate", F.col("__rate")).drop("__source", "__rate", "__draws", "__cdf", "__u")
+    count = F.when(F.col("__draws") == 1, one).otherwise(drawn)
+    return joined.withColumns({copies_col: count, rate_col: F.col("__rate")}).drop("__source", "__chars", "__weight", "__draws", "__mean", "__cdf", "__u", *({"__rate"} - {rate_col}))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *, seed: str = "mix", **options) -> DataFrame:
     """The mixture: every document as often as drawn, with ``copy_no`` from 1, shuffled globally.
+    Columns named copy_no or shuffle_key are replaced.
 
     ``shuffle_key`` is uniform, so dealing rows out by its hash and sorting each partition by it is a
     random order as good as a total sort, without the sampling pass over all texts that one needs."""
-    out = counts(docs, id_col, source_col, text_col, seed=seed, **options).filter("copies > 0")
-    out = out.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies", "rate")
+    out = counts(docs, id_col, source_col, text_col, seed=seed, copies_col="__copies", rate_col="__rate", **options).filter("__copies > 0")
+    out = out.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies", "__rate")
     key = F.md5(F.concat_ws(":", F.lit(seed + "-order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy_no").cast("string")))
     return out.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -10,7 +10,7 @@ id); every text is scored whole. Features come from the text alone.
 
 Defined results: null and empty texts have all features 0 and a score like any other text; with no
 usable labels every score is 0.5; labels that contradict each other are separate training rows;
-null labels are not used.
+null labels are not used; equal labels of one id count once.
 """
 
 from __future__ import annotations
@@ -191,6 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labels are used; they are broadcast, and only their features and labels reach the driver."""
     ship(docs.sparkSession)
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__label"))
+    usable = usable.distinct()
     chosen = usable.filter(sample_below(F.col("__id"), max_rows / max(1, usable.count())))
     joined = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
 

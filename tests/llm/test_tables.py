@@ -108,11 +108,12 @@ def test_large_rates_are_summed(spark):
 def test_mixing_cases(spark, most):
     docs = cases.documents(spark)
     counts = mixing.counts(docs, broadcast_sources=most)
-    assert counts.count() == docs.count() and counts.columns == [*docs.drop("copies").columns, "copies", "rate"]
-    out = mixing.mix(docs.drop("copies"), broadcast_sources=most)
+    assert counts.count() == docs.count() and counts.columns == [*docs.columns, "rate"]
+    out = mixing.mix(docs, broadcast_sources=most)
+    assert out.columns == [*docs.columns, "copy_no", "shuffle_key"] and set(r[0] for r in out.select("copies").collect()) == {3}
     assert out.count() == counts.agg(F.sum("copies")).first()[0]
-    assert mixing.mix(cases.empty(spark).drop("copies")).count() == 0
+    assert mixing.mix(cases.empty(spark)).count() == 0
     # without weights only sources that have no text keep a rate
     assert mixing.counts(docs.filter("n_chars > 0"), weights={}).agg(F.sum("copies")).first()[0] == 0
-    again = mixing.mix(docs.drop("copies"), broadcast_sources=most)
+    again = mixing.mix(docs, broadcast_sources=most)
     assert sorted(map(repr, out.collect())) == sorted(map(repr, again.collect()))

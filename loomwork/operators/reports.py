@@ -28,13 +28,15 @@ def accuracy_with_totals(df: DataFrame, correct: str = "correct", model: str = "
     return out.select("model", F.when(F.col("g") == 1, TOTAL).otherwise(F.col("task")).alias("task_type"), "correct", "total")
 
 
-def winners(table: DataFrame, task: str = "task_type") -> DataFrame:
-    """Per task the short name of the model with the best rate, or ``tie``. ``table`` has a row per model and task."""
+def winners(table: DataFrame, task: str = "task_type", n_models: int = 1) -> DataFrame:
+    """Per task the short name of the model with the best rate, or ``tie``. ``table`` has a row per model and task.
+
+    Of ``n_models`` compared, those without rows for a task have rate 0, so a best rate of 0 is a tie."""
     best = table.withColumn("rate", F.coalesce(F.try_divide(F.col("correct").cast("double"), F.col("total").cast("double")), F.lit(0.0)))
     # rates are compared exactly: the largest rate and how many models have it, in one pass
     top = best.groupBy(task).agg(F.max("rate").alias("best_rate"), F.collect_list(F.struct("rate", "model")).alias("all"))  # an entry per model
     top = top.withColumn("at_top", F.transform(F.filter("all", lambda x: x["rate"] == F.col("best_rate")), lambda x: x["model"]))
-    return top.select(task, F.when(F.size("at_top") > 1, "tie").otherwise(t.short_name(F.col("at_top")[0])).alias("winner"))
+    return top.select(task, F.when((F.size("at_top") > 1) | ((F.col("best_rate") == 0) & F.lit(n_models > 1)), "tie").otherwise(t.short_name(F.col("at_top")[0])).alias("winner"))
 
 
 def summary(df: DataFrame, digits: int = 6, correct: str = "correct", model: str = "model", task: str = "task_type") -> DataFrame:

@@ -472,7 +472,7 @@ def f10_gate(spark, sf_dir):
 
 @query
 def f11_winners(spark, sf_dir):
-    return reports.winners(reports.accuracy_with_totals(scored(spark, sf_dir)))
+    return reports.winners(reports.accuracy_with_totals(scored(spark, sf_dir)), n_models=len(derived.MODELS))
 
 
 @query

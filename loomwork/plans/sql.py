@@ -188,7 +188,7 @@ ORACLES = {
       FROM {RESPONSES} JOIN (VALUES {', '.join(f"('{m}', {i}::DOUBLE, {o}::DOUBLE)" for m, (i, o) in derived.PRICES.items())}) AS p(model, i, o) USING (model) GROUP BY model""",
     "f10_gate": f"SELECT count(*) AS n, avg(parse_success::INT) AS parse_rate, avg(correct::INT) AS match_rate, parse_rate >= 0.95 AND match_rate >= 0.95 AS passed FROM (SELECT * FROM {SCORED} ORDER BY n LIMIT 100)",
     "f11_winners": f"""WITH t AS (SELECT *, correct::DOUBLE / total AS rate, max(correct::DOUBLE / total) OVER (PARTITION BY task_type) AS best FROM ({_TOTALS}))
-      SELECT task_type, CASE WHEN count(*) > 1 THEN 'tie' ELSE any_value({_SHORT}) END AS winner FROM t WHERE rate = best GROUP BY task_type""",
+      SELECT task_type, CASE WHEN count(*) > 1 OR any_value(best) = 0 THEN 'tie' ELSE any_value({_SHORT}) END AS winner FROM t WHERE rate = best GROUP BY task_type""",
     "f12_recommendation": f"""WITH r AS (SELECT *, {_FIRST_TWO} AS rn FROM ({_METRICS}))
       SELECT a.model AS winner, a.match_rate AS winner_rate, b.model AS second, b.match_rate AS second_rate FROM r a, r b WHERE a.rn = 1 AND b.rn = 2""",
     "f13_counters": f"""SELECT CASE WHEN grouping(task_type) = 1 THEN 'TOTAL' ELSE task_type END AS task_type, CASE WHEN grouping(task_type) = 1 THEN count(*) ELSE count(*) FILTER (gen_time >= 0) END AS done, count(*) FILTER (gen_time < 0) AS errors,

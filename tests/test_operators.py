@@ -94,6 +94,8 @@ def test_golden_totals_winner_and_recommendation(spark):
     assert totals == {"one-1": (45, 50), "two-2": (50, 50)}
     winners = {r["task_type"]: r["winner"] for r in reports.winners(table).collect()}
     assert winners["gravity"] == "tie" and winners["symbol_transform"] == "two" and winners["TOTAL"] == "two"
+    lone = reports.accuracy(df.filter("task_type = 'roman' and model = 'one-1'").withColumn("correct", F.lit(False)))
+    assert [r["winner"] for n in (1, 2) for r in reports.winners(lone, n_models=n).collect()] == ["one", "tie"]
     metrics = reports.quality_metrics(df)
     assert {r["model"]: r["avg_time"] for r in metrics.collect()} == {"one-1": 1.0, "two-2": 0.0}
     assert tuple(reports.recommendation(metrics).first()) == ("two-2", 1.0, "one-1", 0.9)

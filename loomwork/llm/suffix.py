@@ -9,9 +9,11 @@ still repeat is dropped:
 
 1. Chunks. Content-defined chunks, each with the threshold - 1 bytes behind it, are sorted by digest and
    position. All windows of a chunk that isn't the first of its digest start earlier elsewhere.
-2. Anchors. Of every other window the least ``gram`` bytes by hash are its anchor (equal windows have
-   equal anchors). Anchors are sorted; those that are unique drop out with their windows.
-3. Windows. The stretches of windows around a repeated anchor are sorted by anchor and position, and
+2. Anchors. Of every other window the least ``gram`` (24) bytes by hash are its anchor (equal windows have
+   equal anchors). Anchors are ranked by sorting; unique ones drop out with their windows.
+3. Pairs. A window has 38 bytes more on at least one side of its anchor. The pairs (rank of the anchor, rank
+   of what stands at that offset) are sorted, which ranks 62 bytes; unique ones drop out.
+4. Windows. The stretches of windows around what is left are sorted by anchor and position, and
    windows are compared over the whole threshold: the first of each stays, the others go. A task holds
    at most ``held`` windows of one anchor; windows beyond are passed on as rows and sorted by
    Spark on their own rank, so that no anchor is too frequent for a task.
@@ -136,12 +138,12 @@ def not_first(rows: DataFrame, rank: list[str], keep: list[str]) -> DataFrame:
     return spread.mapInArrow(batches_of(later), schema)
 
 
-def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """(h, doc, tie) of the anchors that aren't unique."""
+def repeated_ranks(rows: DataFrame) -> DataFrame:
+    """(h, doc, tie) of the ranks that aren't unique."""
     spread = rows.repartition(F.when(F.col("kind") == FAR, F.xxhash64("h", *KEY)).otherwise(F.col("h"))).sortWithinPartitions("h")
 
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known = None, False  # the last row so far, and whether its anchor is known to repeat
+        held, known = None, False  # the last row so far, and whether its rank is known to repeat
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -180,54 +182,75 @@ def _open_windows(row: dict, n: int) -> np.ndarray:
     return free
 
 
-def _blocks(raw: bytes, free: np.ndarray, threshold: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(start, gram hashes, anchors of windows, free) by blocks of window starts that have free ones."""
+def _blocks(raw: bytes, free: np.ndarray, threshold: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(start, bytes, gram hashes, anchors of windows, free) by blocks of window starts that have free ones."""
     for s in range(0, len(free), BLOCK):
         part = free[s : s + BLOCK]
         if part.any():
             data = np.frombuffer(raw, dtype=np.uint8, count=len(part) + threshold - 1, offset=s)
             grams = np.maximum(mixed(Rolling(data).all(gram)), np.uint64(1))
-            yield s, grams, minimisers(grams, threshold - gram + 1), part
+            yield s, data, grams, minimisers(grams, threshold - gram + 1), part
 
 
-def anchors(texts: DataFrame, threshold: int, gram: int) -> DataFrame:
-    """(h, doc, tie, kind) for each anchor of a window that is still open.
+def _ranks(h: list, doc: list, tie: list) -> pa.RecordBatch:
+    """Rows (h, doc, tie, kind) of the texts scanned together."""
+    n, h = [len(x) for x in h], np.concatenate(h)
+    _, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    kind = np.where(count[inverse] > 1, FAR, UNKNOWN).astype(np.int8)
+    kind[first[count > 1]] = KNOWN
+    docs, ties = (np.repeat(np.array(x, dtype=np.int64), n) for x in (doc, tie))
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(docs), pa.array(ties), pa.array(kind)], ["h", *KEY, "kind"])
+
+
+def _pairs(data: np.ndarray, grams: np.ndarray, at: np.ndarray, gram: int, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the anchors at ``at`` those with ``side`` bytes more on the left, and on the right, as (which, rank pair)
+    with the rank pair mixed into one number; first all left ones, then all right ones."""
+    roll = Rolling(data)
+    left, right = np.flatnonzero(at >= side), np.flatnonzero(at + gram + side <= len(data))
+    of_left = mixed(grams[at[left]] ^ mixed(roll.of(at[left] - side, at[left])))
+    of_right = mixed(grams[at[right]] + mixed(roll.of(at[right] + gram, at[right] + gram + side)))
+    return (left, of_left), (right, of_right)
 
-    An anchor that repeats among the texts scanned together is settled: one row of it (KNOWN) still
-    has to meet the others of its kind, the rest (FAR) needn't, so a frequent anchor doesn't gather."""
 
-    def emit(h: list, doc: list, tie: list) -> pa.RecordBatch:
-        n, h = [len(x) for x in h], np.concatenate(h)
-        _, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-        kind = np.where(count[inverse] > 1, FAR, UNKNOWN).astype(np.int8)
-        kind[first[count > 1]] = KNOWN
-        docs, ties = (np.repeat(np.array(x, dtype=np.int64), n) for x in (doc, tie))
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(docs), pa.array(ties), pa.array(kind)], ["h", *KEY, "kind"])
+def anchors(texts: DataFrame, threshold: int, gram: int) -> DataFrame:
+    """(h, doc, tie, kind): the rank of each anchor of a window that is still open; or, where ``texts`` has
+    the repeated ranks of a document as ``ranks``, the rank pairs of these anchors and what is beside them.
+
+    A rank that repeats among the texts scanned together is settled: one row of it (KNOWN) still has to
+    meet the others of its kind, the rest (FAR) needn't, so a frequent rank doesn't gather."""
+    paired, side = "ranks" in texts.columns, (threshold - gram + 1) // 2
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, doc, tie, size = [], [], [], 0
         for row, raw in _texts(batches):
             free = _open_windows(row, max(0, len(raw) - threshold + 1))
-            for _, grams, least, part in _blocks(raw, free, threshold, gram):
-                found = grams[chosen_grams(grams, np.where(part, least, np.uint64(0)), threshold - gram + 1)]
+            repeated = np.array(row["ranks"].as_py(), dtype=np.int64).view(np.uint64) if paired else None
+            for _, data, grams, least, part in _blocks(raw, free, threshold, gram):
+                at = chosen_grams(grams, np.where(part, least, np.uint64(0)), threshold - gram + 1)
+                if paired:
+                    at = at[np.isin(grams[at], repeated)]
+                    found = np.concatenate([pair for _, pair in _pairs(data, grams, at, gram, side)])
+                else:
+                    found = grams[at]
                 h.append(found)
                 doc.append(row["__doc"].as_py())
                 tie.append(row["__tie"].as_py())
                 size += len(found)
             if size >= 200_000:
-                yield emit(h, doc, tie)
+                yield _ranks(h, doc, tie)
                 h, doc, tie, size = [], [], [], 0
         if h:
-            yield emit(h, doc, tie)
+            yield _ranks(h, doc, tie)
 
     return texts.mapInArrow(batches_of(scan), "h bigint, __doc bigint, __tie bigint, kind tinyint")
 
 
 def stretches(texts: DataFrame, threshold: int, gram: int) -> DataFrame:
-    """(h, doc, tie, a, b, bytes) for each run of open windows that share a repeated anchor.
+    """(h, doc, tie, a, b, bytes) for each run of open windows that share an anchor with a repeated rank pair.
 
     A run equal to an earlier one among the texts scanned together is settled: its bytes are null."""
     names, kinds = ["h", *KEY, "a", "b", "bytes"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    side = (threshold - gram + 1) // 2
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
         rows.sort(key=lambda r: (r[0], r[5], r[1], r[2], r[3]))
@@ -237,10 +260,19 @@ def stretches(texts: DataFrame, threshold: int, gram: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
         for row, raw in _texts(batches):
-            repeated = np.array(row["anchors"].as_py(), dtype=np.int64).view(np.uint64)
+            repeated = np.array(row["ranks"].as_py(), dtype=np.int64).view(np.uint64)
             free = _open_windows(row, max(0, len(raw) - threshold + 1))
-            for s, _, least, part in _blocks(raw, free, threshold, gram):
-                key = np.where(part & np.isin(least, repeated), least, np.uint64(0))
+            for s, data, grams, least, part in _blocks(raw, free, threshold, gram):
+                at = chosen_grams(grams, np.where(part, least, np.uint64(0)), threshold - gram + 1)
+                (left, of_left), (right, of_right) = _pairs(data, grams, at, gram, side)
+                left, right = at[left[np.isin(of_left, repeated)]], at[right[np.isin(of_right, repeated)]]
+                # windows that hold the anchor and the bytes beside it
+                marks = np.zeros(len(part) + threshold, dtype=np.int32)
+                for low, high in ((left - (threshold - gram), left - side), (right - (threshold - gram - side), right)):
+                    np.add.at(marks, np.clip(low, 0, len(part)), 1)
+                    np.add.at(marks, np.clip(high + 1, 0, len(part)), -1)
+                shown = part & (np.cumsum(marks)[: len(part)] > 0) & np.isin(least, grams[np.concatenate([left, right])])
+                key = np.where(shown, least, np.uint64(0))
                 change = np.flatnonzero(key[1:] != key[:-1]) + 1
                 starts, stops = np.concatenate([[0], change]), np.append(change, len(key))
                 for a, b in zip(starts.tolist(), stops.tolist()):
@@ -324,9 +356,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     chunks = saved(units.filter("again").select(*KEY, "a", "b").unionByName(not_first(units.filter("not again"), ["u1", "u2"], ["b"])), "chunks")
     lists = lambda rows: rows.groupBy(*KEY).agg(F.collect_list(F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))).alias("spans"))
     still = each.select(*KEY, "__packed").join(lists(chunks), KEY, "left")
-    again = saved(repeated_anchors(anchors(still, threshold, gram)), "anchors")
-    sets = again.groupBy(*KEY).agg(F.collect_set("h").alias("anchors"))
-    windows = saved(compared(stretches(still.join(sets, KEY), threshold, gram), threshold, held), "windows")
+    sets = lambda rows: rows.groupBy(*KEY).agg(F.collect_set("h").alias("ranks"))
+    again = saved(repeated_ranks(anchors(still, threshold, gram)), "anchors")
+    again = saved(repeated_ranks(anchors(still.join(sets(again), KEY), threshold, gram)), "pairs")
+    windows = saved(compared(stretches(still.join(sets(again), KEY), threshold, gram), threshold, held), "windows")
     beyond = not_first(windows.filter("w1 is not null"), ["w1", "w2"], ["b"])
     long = lambda rows: rows.select(*KEY, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     spans = lists(long(chunks).unionByName(long(windows.filter("w1 is null"))).unionByName(long(beyond)))

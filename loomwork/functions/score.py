@@ -48,12 +48,17 @@ def score_lenient(pred: Column, gold: Column, task: Column) -> Column:
     return F.when(F.coalesce(task, F.lit("")) == "roman", F.upper(p) == F.upper(g)).otherwise(F.coalesce(near, p == g))
 
 
-def score_official(pred_norm: Column, gold_norm: Column, task: Column, rel_tol: float = 1e-3, abs_tol: float = 1e-6) -> Column:
-    """struct(correct, match_mode) on normalised answers: exact, or close for gravity and units."""
+def match_mode(pred_norm: Column, gold_norm: Column, task: Column, rel_tol: float = 1e-3, abs_tol: float = 1e-6) -> Column:
+    """``exact``, ``numeric_tolerance`` (gravity and units only) or ``none`` for normalised answers."""
     a, b = t.to_float(pred_norm), t.to_float(gold_norm)
     apart = F.abs(a - b)  # infinite or NaN is never close
     close = (apart < float("inf")) & (apart <= F.greatest(F.lit(rel_tol) * F.greatest(F.abs(a), F.abs(b)), F.lit(abs_tol)))
-    mode = F.when(pred_norm == gold_norm, "exact").when(task.isin(*extract.NUMERIC_TASKS) & close, "numeric_tolerance").otherwise("none")
+    return F.when(pred_norm == gold_norm, "exact").when(task.isin(*extract.NUMERIC_TASKS) & close, "numeric_tolerance").otherwise("none")
+
+
+def score_official(pred_norm: Column, gold_norm: Column, task: Column, rel_tol: float = 1e-3, abs_tol: float = 1e-6) -> Column:
+    """struct(correct, match_mode) on normalised answers: exact, or close for gravity and units."""
+    mode = match_mode(pred_norm, gold_norm, task, rel_tol, abs_tol)
     return F.struct((mode != "none").alias("correct"), mode.alias("match_mode"))
 
 
@@ -61,16 +66,15 @@ def with_result(df: DataFrame, text_col: str, gold_col: str, task_col: str, *, l
     """The full result row: extraction, normal forms, official score, rounded times and token speeds."""
     df = extract.with_prediction(df, text_col, task_col)
     df = df.withColumns({"pred_normalised": normalised(F.col("pred"), F.col(task_col)), "gold_normalised": normalised(F.col(gold_col), F.col(task_col))})
-    df = df.withColumn("__s", score_official(F.col("pred_normalised"), F.col("gold_normalised"), F.col(task_col), rel_tol, abs_tol))
+    df = df.withColumn("match_mode", match_mode(F.col("pred_normalised"), F.col("gold_normalised"), F.col(task_col), rel_tol, abs_tol))
     first, took, p, c = F.col(ttft), F.col(latency), F.coalesce(F.col(prompt_tokens), F.lit(0)), F.coalesce(F.col(completion_tokens), F.lit(0))
     seconds = F.greatest(took - F.coalesce(first, F.lit(0.0)), F.lit(0.001))
     return df.withColumns(
         {
-            "correct": F.col("__s.correct"),
-            "match_mode": F.col("__s.match_mode"),
+            "correct": F.col("match_mode") != "none",
             "latency_sec": F.bround(took, 4),
             "ttft_sec": F.when(first != 0, F.bround(first, 4)),
             "prefill_speed_tps": F.when((first > 0) & (p > 0), F.bround(F.try_divide(p.cast("double"), first), 1)),
             "gen_speed_tps": F.when(c > 0, F.bround(c / seconds, 1)),
         }
-    ).drop("__s")
+    )

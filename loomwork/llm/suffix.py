@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import batches_of, fresh_path, saved, ship, worker_udf
+from loomwork.llm.common import batches_of, drop_saved, fresh_path, saved, ship, worker_udf
 from loomwork.llm.windows import Rolling, chosen_grams, cuts, minimisers, mixed
 
 THRESHOLD = 100
@@ -114,7 +114,9 @@ def prepared(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> tup
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"loomwork_{uuid.uuid4().hex}"
     (done.repartition(n, *KEY).write.format("parquet").option("path", fresh_path(spark, "texts")).option("compression", "snappy").bucketBy(n, *KEY).saveAsTable(name))
-    return spark.table(name), repeated
+    texts = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry only: the files are the session's, in the shared folder
+    return texts, repeated
 
 
 def not_first(rows: DataFrame, rank: list[str], keep: list[str]) -> DataFrame:
@@ -357,9 +359,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     lists = lambda rows: rows.groupBy(*KEY).agg(F.collect_list(F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))).alias("spans"))
     still = each.select(*KEY, "__packed").join(lists(chunks), KEY, "left")
     sets = lambda rows: rows.groupBy(*KEY).agg(F.collect_set("h").alias("ranks"))
-    again = saved(repeated_ranks(anchors(still, threshold, gram)), "anchors")
-    again = saved(repeated_ranks(anchors(still.join(sets(again), KEY), threshold, gram)), "pairs")
-    windows = saved(compared(stretches(still.join(sets(again), KEY), threshold, gram), threshold, held), "windows")
+    single = saved(repeated_ranks(anchors(still, threshold, gram)), "anchors")
+    paired = saved(repeated_ranks(anchors(still.join(sets(single), KEY), threshold, gram)), "pairs")
+    drop_saved(single)
+    windows = saved(compared(stretches(still.join(sets(paired), KEY), threshold, gram), threshold, held), "windows")
+    drop_saved(paired)
     beyond = not_first(windows.filter("w1 is not null"), ["w1", "w2"], ["b"])
     long = lambda rows: rows.select(*KEY, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     spans = lists(long(chunks).unionByName(long(windows.filter("w1 is null"))).unionByName(long(beyond)))

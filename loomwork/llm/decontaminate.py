@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -109,20 +110,21 @@ def _result(text: str | None, n: int, runs: list, items: Iterable[str]) -> dict:
     }
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, max_window_words: int, width: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks of bounded size. One block is with the driver at a time as it is shared."""
-    block, size, out = [], 0, []
+def item_blocks(items: DataFrame, id_col: str, text_col: str, max_window_words: int, width: int) -> Iterator[list[tuple[str, str]]]:
+    """The items in blocks of bounded size, one at a time; one empty block if there are none."""
+    block, size, n = [], 0, 0
     rows = items.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col)
     for item, text in rows.toLocalIterator():
         block.append((item, text))
         size += len(words(text)) * width
         if size >= max_window_words:
-            out.append(block)
-            block, size = [], 0
-    return [*out, block] if block or not out else out
+            yield block
+            block, size, n = [], 0, n + 1
+    if block or not n:
+        yield block
 
 
-_BUILT: dict[int, Windows] = {}
+_BUILT: dict[str, Windows] = {}
 
 
 def _windows(shared, width: int) -> Windows:
@@ -134,11 +136,11 @@ def _windows(shared, width: int) -> Windows:
 
 
 class _Shared:
-    """A broadcast variable with a key that workers can hold."""
+    """A broadcast variable with a key of its own, by which workers hold what they build from it."""
 
     def __init__(self, spark, value) -> None:
         self.broadcast = spark.sparkContext.broadcast(value)
-        self.id = id(self)
+        self.id = uuid.uuid4().hex
 
     @property
     def value(self):

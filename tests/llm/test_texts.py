@@ -147,3 +147,10 @@ def test_contamination_of_nothing(spark):
     assert contract(cases.empty(spark), items).count() == 0
     none = contract(cases.documents(spark), items.limit(0)).filter("contaminated or n_items > 0")
     assert none.count() == 0
+
+
+def test_a_worker_keeps_benchmarks_apart(spark):
+    docs = spark.createDataFrame([("one two",), ("three four",)], "text string")
+    for word, hit in (("one two", "one two"), ("three four", "three four")) * 2:
+        items = spark.createDataFrame([(1, word)], "item_id bigint, text string")
+        assert [r["text"] for r in contract(docs, items).filter("contaminated").collect()] == [hit]

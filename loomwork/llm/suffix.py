@@ -57,12 +57,12 @@ def _raw(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-def chunk_starts(raw: bytes, n_windows: int) -> np.ndarray:
+def chunk_starts(raw: bytes, n_windows: int, block: int = BLOCK) -> np.ndarray:
     """Starts of the chunks of window starts, block by block so that long texts take little memory."""
     found, data = [np.zeros(1, dtype=np.int64)], np.frombuffer(raw, dtype=np.uint8)
-    for s in range(0, n_windows, BLOCK):
+    for s in range(0, n_windows, block):
         back = min(s, 32)
-        at = cuts(data[s - back : s + BLOCK]) + s - back
+        at = cuts(data[s - back : s + block]) + s - back
         found.append(at[at > s] if s else at)
         if s:
             found.append(np.array([s]))
@@ -70,7 +70,7 @@ def chunk_starts(raw: bytes, n_windows: int) -> np.ndarray:
     return at[at < n_windows]
 
 
-def prepared(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> tuple[DataFrame, bool]:
+def prepared(docs: DataFrame, id_col: str, text_col: str, threshold: int, block: int = BLOCK) -> tuple[DataFrame, bool]:
     """The bucketed table: __doc, __tie, the other columns of ``docs``, __packed (compressed text), __units;
     and whether ids repeat, in which case __tie tells their texts apart."""
     spark = docs.sparkSession
@@ -88,7 +88,7 @@ def prepared(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> tup
             n = len(raw) - threshold + 1
             if n <= 0:
                 continue
-            starts = chunk_starts(raw, n)
+            starts = chunk_starts(raw, n, block)
             stops = np.append(starts[1:], n)
             for s, e in zip(starts.tolist(), stops.tolist()):
                 h = hashlib.blake2b(raw[s : e + threshold - 1], digest_size=16).digest()
@@ -184,10 +184,10 @@ def _open_windows(row: dict, n: int) -> np.ndarray:
     return free
 
 
-def _blocks(raw: bytes, free: np.ndarray, threshold: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks(raw: bytes, free: np.ndarray, threshold: int, gram: int, block: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(start, bytes, gram hashes, anchors of windows, free) by blocks of window starts that have free ones."""
-    for s in range(0, len(free), BLOCK):
-        part = free[s : s + BLOCK]
+    for s in range(0, len(free), block):
+        part = free[s : s + block]
         if part.any():
             data = np.frombuffer(raw, dtype=np.uint8, count=len(part) + threshold - 1, offset=s)
             grams = np.maximum(mixed(Rolling(data).all(gram)), np.uint64(1))
@@ -214,7 +214,7 @@ def _pairs(data: np.ndarray, grams: np.ndarray, at: np.ndarray, gram: int, side:
     return (left, of_left), (right, of_right)
 
 
-def anchors(texts: DataFrame, threshold: int, gram: int) -> DataFrame:
+def anchors(texts: DataFrame, threshold: int, gram: int, block: int) -> DataFrame:
     """(h, doc, tie, kind): the rank of each anchor of a window that is still open; or, where ``texts`` has
     the repeated ranks of a document as ``ranks``, the rank pairs of these anchors and what is beside them.
 
@@ -227,7 +227,7 @@ def anchors(texts: DataFrame, threshold: int, gram: int) -> DataFrame:
         for row, raw in _texts(batches):
             free = _open_windows(row, max(0, len(raw) - threshold + 1))
             repeated = np.array(row["ranks"].as_py(), dtype=np.int64).view(np.uint64) if paired else None
-            for _, data, grams, least, part in _blocks(raw, free, threshold, gram):
+            for _, data, grams, least, part in _blocks(raw, free, threshold, gram, block):
                 at = chosen_grams(grams, np.where(part, least, np.uint64(0)), threshold - gram + 1)
                 if paired:
                     at = at[np.isin(grams[at], repeated)]
@@ -247,7 +247,7 @@ def anchors(texts: DataFrame, threshold: int, gram: int) -> DataFrame:
     return texts.mapInArrow(batches_of(scan), "h bigint, __doc bigint, __tie bigint, kind tinyint")
 
 
-def stretches(texts: DataFrame, threshold: int, gram: int) -> DataFrame:
+def stretches(texts: DataFrame, threshold: int, gram: int, block: int) -> DataFrame:
     """(h, doc, tie, a, b, bytes) for each run of open windows that share an anchor with a repeated rank pair.
 
     A run equal to an earlier one among the texts scanned together is settled: its bytes are null."""
@@ -264,7 +264,7 @@ def stretches(texts: DataFrame, threshold: int, gram: int) -> DataFrame:
         for row, raw in _texts(batches):
             repeated = np.array(row["ranks"].as_py(), dtype=np.int64).view(np.uint64)
             free = _open_windows(row, max(0, len(raw) - threshold + 1))
-            for s, data, grams, least, part in _blocks(raw, free, threshold, gram):
+            for s, data, grams, least, part in _blocks(raw, free, threshold, gram, block):
                 at = chosen_grams(grams, np.where(part, least, np.uint64(0)), threshold - gram + 1)
                 (left, of_left), (right, of_right) = _pairs(data, grams, at, gram, side)
                 left, right = at[left[np.isin(of_left, repeated)]], at[right[np.isin(of_right, repeated)]]
@@ -348,21 +348,21 @@ def compared(rows: DataFrame, threshold: int, held: int) -> DataFrame:
     return spread.mapInArrow(batches_of(scan), "w1 bigint, w2 bigint, __doc bigint, __tie bigint, a bigint, b bigint")
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: int = THRESHOLD, gram: int = GRAM, held: int = 1_000_000) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: int = THRESHOLD, gram: int = GRAM, held: int = 1_000_000, block: int = BLOCK) -> DataFrame:
     """The columns of ``docs`` but the text, with __packed (the compressed text) and __spans: ranges of
-    starts of windows that also start earlier."""
+    starts of windows that also start earlier. Texts are scanned in blocks of ``block`` window starts."""
     ship(docs.sparkSession)
-    texts, repeated = prepared(docs, id_col, text_col, threshold)
+    texts, repeated = prepared(docs, id_col, text_col, threshold, block)
     each = texts.dropDuplicates(KEY) if repeated else texts
     units = each.select(*KEY, F.explode("__units").alias("u")).select(*KEY, "u.*")
     chunks = saved(units.filter("again").select(*KEY, "a", "b").unionByName(not_first(units.filter("not again"), ["u1", "u2"], ["b"])), "chunks")
     lists = lambda rows: rows.groupBy(*KEY).agg(F.collect_list(F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))).alias("spans"))
     still = each.select(*KEY, "__packed").join(lists(chunks), KEY, "left")
     sets = lambda rows: rows.groupBy(*KEY).agg(F.collect_set("h").alias("ranks"))
-    single = saved(repeated_ranks(anchors(still, threshold, gram)), "anchors")
-    paired = saved(repeated_ranks(anchors(still.join(sets(single), KEY), threshold, gram)), "pairs")
+    single = saved(repeated_ranks(anchors(still, threshold, gram, block)), "anchors")
+    paired = saved(repeated_ranks(anchors(still.join(sets(single), KEY), threshold, gram, block)), "pairs")
     drop_saved(single)
-    windows = saved(compared(stretches(still.join(sets(paired), KEY), threshold, gram), threshold, held), "windows")
+    windows = saved(compared(stretches(still.join(sets(paired), KEY), threshold, gram, block), threshold, held), "windows")
     drop_saved(paired)
     beyond = not_first(windows.filter("w1 is not null"), ["w1", "w2"], ["b"])
     long = lambda rows: rows.select(*KEY, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))

@@ -91,12 +91,11 @@ def test_repeats_with_equal_and_null_ids(spark):
     assert suffix.removals(cases.empty(spark)).count() == 0
 
 
-def test_long_texts_in_blocks(spark, monkeypatch):
+def test_long_texts_in_blocks():
     data = np.frombuffer(cases.sentence(random.Random(2), 3000).encode(), dtype=np.uint8)
     assert (sliding(data, 7, np.minimum) == [data[i : i + 7].min() for i in range(len(data) - 6)]).all()
     whole = set(cuts(data).tolist())
-    monkeypatch.setattr(suffix, "BLOCK", 1000)
-    parts = set(suffix.chunk_starts(data.tobytes(), len(data) - 99).tolist())
+    parts = set(suffix.chunk_starts(data.tobytes(), len(data) - 99, 1000).tolist())
     assert {c for c in whole if c < len(data) - 99} <= parts
 
 
@@ -187,3 +186,14 @@ def test_literal_doubling_agrees(spark):
     for r in suffix.doubled(docs).collect():
         found.setdefault(r["__doc"], []).append({"a": r["a"], "b": r["b"]})
     assert [sum(b - a for a, b in suffix.byte_spans(found.get(i), 100)) for i, _ in rows] == [w[1] for w in want]
+
+
+@pytest.mark.parametrize("threshold, gram, block", [(12, 4, 1 << 20), (13, 4, 17), (20, 8, 50)])
+def test_repeats_of_small_strings(spark, threshold, gram, block):
+    """Many texts over two or three letters, so that every way of overlapping turns up."""
+    rng = random.Random(threshold)
+    parts = ["".join(rng.choice("ab") for _ in range(rng.randint(5, 40))) for _ in range(12)]
+    texts = ["".join(rng.choice(parts) if rng.random() < 0.5 else "".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 6))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: tuple(r["d"]) for r in suffix.removals(docs, threshold=threshold, gram=gram, held=5, block=block).select("doc_id", suffix.digests(threshold).alias("d")).collect()}
+    assert [got[i] for i in range(len(texts))] == [w[:4] for w in repeats(texts, threshold)]

@@ -16,17 +16,18 @@ once; a null item id counts under the empty string. Without items nothing is hit
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import worker_udf
+from loomwork.llm.common import saved, worker_udf
 
 #: Bytes as they are compared: A-Z in lower case, every byte outside the words' class a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -147,22 +148,28 @@ class _Shared:
         return self.broadcast.value
 
 
-def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", *, width: int = 10, max_window_words: int = 2_000_000) -> Column:
-    """A struct column (see HITS) for the texts of ``docs``: counts, items, spans in code points."""
-    spark = docs.sparkSession
-    blocks = [_Shared(spark, b) for b in item_blocks(items, item_id, item_text, max_window_words, width)]
+def _scan(shared: _Shared, width: int) -> Callable[[Column], Column]:
+    """UDF: (n_words, runs, items) of a text for one block."""
+    kind = pa.struct([("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string()))])
+
+    @worker_udf(PART)
+    def part(texts: pa.Array) -> pa.Array:
+        w, out = _windows(shared, width), []
+        for x in texts:
+            n, runs, found = w.scan(x.as_py())
+            out.append({"n_words": n, "runs": [{"a": a, "b": b} for a, b in runs], "items": sorted(found)})
+        return pa.array(out, kind)
 
-    def scan(shared: _Shared) -> Column:
-        @worker_udf(PART)
-        def part(texts: pa.Array) -> pa.Array:
-            w, out = _windows(shared, width), []
-            for x in texts:
-                n, runs, found = w.scan(x.as_py())
-                out.append({"n_words": n, "runs": [{"a": a, "b": b} for a, b in runs], "items": sorted(found)})
-            return pa.array(out, pa.struct([("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string()))]))
+    return part
 
-        return part(F.col(text_col))
 
+def with_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", *, into: str = "contamination", width: int = 10, max_window_words: int = 2_000_000) -> DataFrame:
+    """``docs`` with a struct column ``into`` (see HITS): counts, items, spans in code points.
+
+    The automaton of 2,000,000 window words takes about 160 MB of a worker. A larger benchmark takes a
+    scan of the texts per block, each of which keeps the hits alone, and one more that joins them."""
+    spark = docs.sparkSession
+    blocks = [_Shared(spark, b) for b in item_blocks(items, item_id, item_text, max_window_words, width)]
     out_type = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     if len(blocks) == 1:
@@ -173,15 +180,18 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
             w = _windows(only, width)
             return pa.array([_result(t, *w.scan(t)) for t in (x.as_py() for x in texts)], out_type)
 
-        return hits(F.col(text_col))
+        return docs.withColumn(into, hits(F.col(text_col)))
 
     @worker_udf(HITS)
-    def joined(texts: pa.Array, *parts: pa.Array) -> pa.Array:
+    def joined(texts: pa.Array, runs: pa.Array, found: pa.Array) -> pa.Array:
         out = []
-        for i, x in enumerate(texts):
-            got = [p[i].as_py() for p in parts]
-            runs = merge((r["a"], r["b"]) for g in got for r in g["runs"])
-            out.append(_result(x.as_py(), got[0]["n_words"], runs, {y for g in got for y in g["items"]}))
+        for x, r, f in zip(texts, runs, found):
+            text = x.as_py()
+            out.append(_result(text, len(words(text)), merge((y["a"], y["b"]) for y in r.as_py() or ()), set(f.as_py() or ())))
         return pa.array(out, out_type)
 
-    return joined(F.col(text_col), *[scan(b) for b in blocks])
+    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "texts")
+    found = [saved(rows.select("__row", _scan(b, width)(F.col(text_col)).alias("p")).filter("size(p.runs) > 0").select("__row", "p.runs", "p.items"), "hits") for b in blocks]
+    by_row = functools.reduce(DataFrame.unionByName, found).groupBy(F.col("__row").alias("__of")).agg(F.flatten(F.collect_list("runs")).alias("__runs"), F.flatten(F.collect_list("items")).alias("__items"))
+    full = rows.join(by_row, F.col("__row") == F.col("__of"), "left")
+    return full.withColumn(into, joined(F.col(text_col), F.col("__runs"), F.col("__items"))).drop("__row", "__of", "__runs", "__items")

@@ -34,7 +34,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
-    found = docs.select("doc_id", decontaminate.contamination(docs, items).alias("r"))
+    found = decontaminate.with_contamination(docs, items, into="r")
     return found.select("doc_id", "r.n_words", "r.n_hit", "r.n_items", "r.items_sha256", "r.contaminated")
 
 

@@ -124,7 +124,7 @@ TEXTS = ["x one, two y", "b c d e f g h i j k", "a b c d e f g h i", "z a b c d
 
 
 def contract(docs, items, **options):
-    return docs.select("text", decontaminate.contamination(docs, items, **options).alias("r")).select("text", "r.*")
+    return decontaminate.with_contamination(docs.select("text"), items, into="found", **options).select("text", "found.*")
 
 
 @pytest.mark.parametrize("most", [2_000_000, 1])
@@ -133,6 +133,8 @@ def test_contamination_matches_brute_force(spark, most):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     for r in contract(docs, items, max_window_words=most).collect():
         assert tuple(r)[1:6] == contaminated(r["text"], ITEMS)
+    full = decontaminate.with_contamination(docs, items, max_window_words=most)
+    assert full.count() == docs.count() and full.drop("contamination").columns == docs.columns
 
 
 def test_contamination_spans_are_code_points(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import tempfile
+import time
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -39,10 +40,16 @@ def sample_below(key: Column, share: float) -> Column:
 
 
 _SHIPPED: set[str] = set()
+BATCH_KEY, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers of every executor, once per application."""
+    """Give this package to the Python workers of every executor, once per application.
+
+    Whole texts travel in batches, held outside the heap by both sides, so a session that has Spark's
+    default of rows per batch gets a smaller one; a value that was chosen stays."""
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -55,8 +62,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def trim() -> None:
-    """Return freed memory to the system: workers live long, and allocators keep their peaks."""
+_TRIMMED = [0.0]
+
+
+def trim(every: float = 1.0) -> None:
+    """Return freed memory to the system, now and then: workers live long, and allocators keep their peaks."""
+    if time.monotonic() - _TRIMMED[0] < every:
+        return
+    _TRIMMED[0] = time.monotonic()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -89,6 +102,6 @@ def batches_of(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
         for batch in f(batches):
             yield batch
             trim()
-        trim()
+        trim(0)
 
     return trimmed

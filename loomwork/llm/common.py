@@ -10,21 +10,32 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.storage import fresh_path, saved, shared_dir, table
 
-__all__ = ["batches_of", "crc_mod", "drop_saved", "fresh_path", "sample_below", "saved", "shared_dir", "ship", "table", "worker_udf"]
+__all__ = ["FAR", "KNOWN", "UNKNOWN", "batches_of", "crc_mod", "drop_saved", "few", "fresh_path", "kinds", "repeated", "sample_below", "saved", "shared_dir", "ship", "table", "worker_udf"]
 
 
-def drop_saved(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`saved` that nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def drop_saved(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`saved` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Narrow tables are broadcast up to this many rows; larger ones are joined by shuffling.
+BROADCAST_ROWS = 500_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A narrow table, marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def crc_mod(id_col: str, modulus: int) -> Column:
@@ -32,11 +43,53 @@ def crc_mod(id_col: str, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def sample_below(key: Column, share: float) -> Column:
-    """True for about ``share`` of the keys, the same ones in every run."""
-    if share >= 1:
-        return F.lit(True)
-    return F.pmod(F.xxhash64(key), F.lit(1_000_003)) < F.lit(int(share * 1_000_003))
+def sample_below(share: float | Column, *key: Column) -> Column:
+    """True for about ``share`` of the keys, however small it is, the same ones in every run; null for a null share."""
+    share = share if isinstance(share, Column) else F.lit(float(share))
+    least = F.lit(-float(1 << 63))
+    return F.when(share >= 1, F.lit(True)).otherwise(F.xxhash64(*key) < F.floor(least + share * float(1 << 64)))
+
+
+UNKNOWN, KNOWN, FAR = 0, 1, 2
+
+
+def kinds(key: np.ndarray) -> np.ndarray:
+    """For keys that are seen together: UNKNOWN if a key is alone here; else KNOWN for one of its rows and FAR for the others.
+
+    What repeats here is settled: one row still has to meet its like elsewhere, the rest needn't, so a frequent key doesn't gather."""
+    _, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    kind = np.where(count[inverse] > 1, FAR, UNKNOWN).astype(np.int8)
+    kind[first[count > 1]] = KNOWN
+    return kind
+
+
+def repeated(rows: DataFrame, key: str, keep: list[str]) -> DataFrame:
+    """(key, *keep) of the rows whose long ``key`` isn't unique; ``kind`` is as :func:`kinds` gives it. One shuffle, by key."""
+    rows = rows.select(key, *keep, "kind")
+    spread = rows.repartition(F.when(F.col("kind") == FAR, F.xxhash64(key, *keep)).otherwise(F.col(key))).sortWithinPartitions(key)
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = None, False  # the last row so far, and whether its key is known to repeat
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            h = np.asarray(batch[key])
+            same = h[1:] == h[:-1]
+            double = np.asarray(batch["kind"]) != UNKNOWN
+            double[1:] |= same
+            double[:-1] |= same
+            double[0] |= known
+            held, known = batch.slice(len(h) - 1), bool(double[-1])
+            double[-1] = False
+            if double.any():
+                yield batch.filter(pa.array(double)).select([key, *keep])
+        if held is not None and known:
+            yield held.select([key, *keep])
+
+    types = dict(rows.dtypes)
+    return spread.mapInArrow(batches_of(twice), ", ".join(f"{c} {types[c]}" for c in (key, *keep)))
 
 
 _SHIPPED: set[str] = set()
@@ -77,8 +130,10 @@ def trim(every: float = 1.0) -> None:
         pass
 
 
-def worker_udf(returns: str):
-    """``arrow_udf`` whose code workers can import and that leaves no freed memory behind."""
+def worker_udf(returns: str, once: bool = False):
+    """``arrow_udf`` whose code workers can import and that leaves no freed memory behind.
+
+    With ``once`` a filter on its result isn't pushed below it, where it would be evaluated another time."""
     ship(SparkSession.active())
 
     def wrap(f: Callable):
@@ -90,7 +145,8 @@ def worker_udf(returns: str):
             finally:
                 trim()
 
-        return F.arrow_udf(returns)(trimmed)
+        made = F.arrow_udf(returns)(trimmed)
+        return made.asNondeterministic() if once else made
 
     return wrap
 

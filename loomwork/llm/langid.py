@@ -8,7 +8,8 @@ the filter's false-positive rate, and the largest corrected count decides.
 Defined results: null texts and texts without a letter give ``und`` and score 0; texts with
 letters of which no n-gram is known give the most frequent learned language and score 0; ties
 go to the language first in sorted order; with nothing to learn from every text is ``und``.
-Repeated rows are answered row by row. Rows with a null text or language are not learned from.
+Repeated rows are answered row by row. Rows with a null text or language are not learned from. Very long texts
+are read whole, by themselves; other columns of any name aren't looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -125,6 +126,7 @@ def fit(
     sample_key: str = "doc_id",
     *,
     docs_per_language: int = 3000,
+    max_languages: int = 496,
     n_slots: int = 1 << 20,
     n_hashes: int = 3,
     min_count: int = 2,
@@ -132,13 +134,14 @@ def fit(
 ) -> LanguageFilters:
     """Learn the filters from labelled rows.
 
-    At most about ``docs_per_language`` rows of each language are used, chosen by a hash of
-    ``sample_key``. An n-gram enters a language's filter if it occurs ``min_count`` times there and
+    Of the values of ``lang_col`` the ``max_languages`` most frequent ones are learned (the filters take 8 MB for each 62).
+    About ``docs_per_language`` rows of each are used at most, chosen by a hash of ``sample_key`` and text. An n-gram enters a language's filter if it occurs ``min_count`` times there and
     its relative frequency is at least ``min_relative`` of the largest in any language. What reaches
     the driver is one row per filled slot: ``n_slots`` at most for each 62 languages."""
     ship(labelled.sparkSession)
     rows = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # a row per language
+    most = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_languages)
+    counts = {r[0]: r[1] for r in most.collect()}
     languages = sorted(counts)
     n_planes = max(1, -(-len(languages) // PLANE_BITS))
     planes = np.zeros((n_planes, n_slots), dtype=np.int64)
@@ -146,9 +149,8 @@ def fit(
         return LanguageFilters([], UND, planes, n_hashes)
     default = max(languages, key=lambda x: (counts[x], x))
     number = {x: i for i, x in enumerate(languages)}
-    chosen = F.lit(False)
-    for x in languages:
-        chosen = chosen | ((F.col(lang_col) == x) & sample_below(F.col(sample_key), docs_per_language / counts[x]))
+    shares = F.create_map(*[F.lit(v) for x in languages for v in (x, docs_per_language / counts[x])])
+    chosen = sample_below(F.try_element_at(shares, F.col(lang_col)), F.col(sample_key), F.col(text_col))
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,8 @@ id); every text is scored whole. Features come from the text alone.
 
 Defined results: null and empty texts have all features 0 and a score like any other text; with no
 usable labels every score is 0.5; labels that contradict each other are separate training rows;
-null labels are not used; equal labels of one id count once.
+null labels are not used; equal labels of one id count once, and of texts that share an id the least one is learned from.
+Very long texts are scored whole; other columns of any name aren't looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -192,8 +193,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ship(docs.sparkSession)
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__label"))
     usable = usable.distinct()
-    chosen = usable.filter(sample_below(F.col("__id"), max_rows / max(1, usable.count())))
+    chosen = usable.filter(sample_below(max_rows / max(1, usable.count()), F.col("__id")))
     joined = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
+    joined = joined.groupBy("__id", "__label").agg(F.min("__text").alias("__text"))  # ids may repeat, so as many rows as labels
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

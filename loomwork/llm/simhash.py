@@ -10,8 +10,9 @@ point can't split (a dense ball) is searched breadth first. A shard returns a sp
 of its links, so groups are never expanded into pairs, and star contraction joins the forests.
 
 Defined results: null texts and texts without words have fingerprint 0 and link like any other;
-fewer words than a shingle are one shingle; repeated rows share a fingerprint and a component; null
-ids are left out of the smallest id of a component (null if it has no other); an empty table is empty.
+fewer words than a shingle are one shingle; very long texts are read whole, their shingles in blocks; repeated rows
+share a fingerprint and a component; null ids are left out of the smallest id of a component (null if it has no
+other); other columns of any name are left out; an empty table is empty.
 """
 
 from __future__ import annotations
@@ -163,14 +164,16 @@ def local_links(x: np.ndarray, r: int) -> list[tuple[int, int]]:
     return [(a, root) for a in list(forest.up) if (root := forest.find(a)) != a]
 
 
-def links(nodes: DataFrame, r: int, *, shard_rows: int = 1 << 15, sample_rows: int = 1 << 14) -> DataFrame:
+def links(nodes: DataFrame, r: int, *, shard_rows: int = 1 << 15, sample_per_shard: int = 64, most_sampled: int = 1 << 21) -> DataFrame:
     """Edges (a, b) that connect the fingerprints ``fp`` of ``nodes`` just as all links within r bits do.
 
-    The tree comes from about ``sample_rows`` fingerprints at most; the links are exact for any tree."""
+    The tree comes from a sample of ``sample_per_shard`` fingerprints for each shard wanted, about ``most_sampled`` (16 MB) in
+    all at most; the links are exact for any tree, and a shard is split further by the task that has it."""
     ship(nodes.sparkSession)
     n = nodes.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n) / shard_rows))))
-    sample = nodes.filter(sample_below(F.col("fp"), sample_rows / max(1, n))).select("fp").toArrow()["fp"] if depth else pa.array([], pa.int64())
+    share = min(most_sampled, sample_per_shard << depth) / max(1, n)
+    sample = nodes.filter(sample_below(share, F.col("fp"))).select("fp").toArrow()["fp"] if depth else pa.array([], pa.int64())
     drawn = np.sort(np.asarray(sample).astype(np.int64)).view(np.uint64)
     tree = ShardTree(np.random.default_rng(0).permutation(drawn), depth, r)
     shared = nodes.sparkSession.sparkContext.broadcast(tree)
@@ -209,11 +212,11 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, r: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, r: int = 2, shard_rows: int = 1 << 15) -> DataFrame:
     """doc_id, fp and component_id, the smallest id that links reach, for every row."""
     rows = saved(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), width).alias("fp")), "fingerprints")
     nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    stars = components(links(nodes, r))
+    stars = components(links(nodes, r, shard_rows=shard_rows))
     rooted = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # only components of several fingerprints need another look
     several = rooted.join(stars.select("root").distinct(), "root", "left_semi")

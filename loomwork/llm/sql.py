@@ -61,11 +61,15 @@ r AS (SELECT source, CASE WHEN chars > 0 THEN weight / sum(weight) OVER () * sum
 m AS (SELECT source, greatest(1, ceil(rate / 64))::INT AS draws, rate / greatest(1, ceil(rate / 64)) AS mean FROM r),
 c AS (
   SELECT source, draws, list_transform(range(0, 161), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(-mean + j * ln(mean) - lgamma(j + 1))))) AS cdf FROM m
+), d AS (
+  SELECT doc_id, source, text, row_number() OVER (PARTITION BY doc_id, source, text) AS nth,
+         concat_ws(chr(31), coalesce(doc_id::VARCHAR, 'null'), coalesce(source, 'null'), coalesce(md5(text), 'null')) AS row
+  FROM documents
 ), u AS (
-  SELECT doc_id, documents.source, text, draws, cdf, list_transform(range(1, draws + 1), lambda j: (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || j), 1, 12))::BIGINT + 0.5) / 281474976710656.0) AS us
-  FROM documents JOIN c ON documents.source IS NOT DISTINCT FROM c.source
-), n AS (SELECT doc_id, source, text, list_sum(list_transform(us, lambda x: len(list_filter(cdf, lambda p: p < x))))::BIGINT AS copies FROM u)
-SELECT doc_id, source, text, copy_no::INT AS copy_no, md5('mix-order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy_no) AS shuffle_key
+  SELECT doc_id, d.source, text, row, nth, draws, cdf, list_transform(range(1, draws + 1), lambda j: (('0x' || substr(md5('mix:' || row || ':' || nth || ':' || j), 1, 12))::BIGINT + 0.5) / 281474976710656.0) AS us
+  FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
+), n AS (SELECT doc_id, source, text, row, nth, list_sum(list_transform(us, lambda x: len(list_filter(cdf, lambda p: p < x))))::BIGINT AS copies FROM u)
+SELECT doc_id, source, text, copy_no::INT AS copy_no, md5('mix-order:' || row || ':' || nth || ':' || copy_no) AS shuffle_key
 FROM n, unnest(range(1, copies + 1)) AS e(copy_no)
 """
 

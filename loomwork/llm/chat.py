@@ -11,9 +11,13 @@ text and the change is reversed exactly. A role is URL-encoded. ``loss_mask`` is
 lengths of alternating runs, the first one without loss; runs of texts that carry loss are marked
 by ``loss`` = true.
 
+Reading cuts the output at the mask's runs. ``loss_text`` is what the runs with loss cut out, and ``mask_ok`` tells whether
+all text runs cut out just the texts that the template's control strings bound, and the runs add up to the whole.
+
 Defined results: a null text is empty; a null role is the empty role; turns are ordered by turn,
 nulls first, ties by role and then text, so repeated rows stay as repeated turns; a null
-conversation id is a conversation of its own; an empty table gives none.
+conversation id is a conversation of its own; very long texts are formatted whole; other columns of any name are
+left out; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 
 START, SEP, STOP = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 LOSS_ROLES = ("assistant",)
+#: Runs are added up in stretches of this many, so that the place of a run takes few steps.
+STRETCH = 256
 
 
 def escape(text: Column) -> Column:
@@ -62,15 +68,30 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     return escaped.select("conv_id", formatted.alias("formatted"), F.concat(mask, F.array(run(F.lit(len(STOP)), F.lit(False)))).alias("loss_mask"), F.size("blocks").cast("long").alias("n_blocks"))
 
 
+def runs_cut(formatted: str, mask: str) -> str:
+    """SQL: the text runs of a mask (every other one, from the second) cut out of ``formatted``, as structs (raw, loss).
+
+    Four bytes a code point make every cut take time by its own length; a leading character keeps the decoder from taking a first U+FEFF for a mark."""
+    total = lambda of, at, n: f"aggregate(slice({of}, {at}, {n}), 0L, (t, r) -> t + r)"
+    lengths = f"transform({mask}, r -> r.chars)"
+    sums = f"transform(sequence(0, size(ls) div {STRETCH}), q -> {total('ls', f'q * {STRETCH} + 1', STRETCH)})"
+    before = f"transform(sequence(0, size(ls) div {STRETCH}), q -> {total('sums', 1, 'q')})"
+    at = f"before[i div {STRETCH}] + {total('ls', f'(i div {STRETCH}) * {STRETCH} + 1', f'i % {STRETCH}')}"
+    cut = f"substring(decode(concat(encode('A', 'UTF-32'), substring(wide, cast(4 * ({at}) + 1 as int), cast(4 * ls[i] as int))), 'UTF-32'), 2)"
+    each = f"transform(filter(sequence(0, size(ls) - 1), i -> i % 2 = 1), i -> named_struct('raw', {cut}, 'loss', {mask}[i].loss))"
+    let = lambda name, value, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    return let("wide", f"encode({formatted}, 'UTF-32')", let("ls", lengths, let("sums", sums, let("before", before, each))))
+
+
 def read_chats(formatted: DataFrame) -> DataFrame:
-    """From conv_id, formatted, loss_mask: ``turns`` (role, text), ``loss_text``, and ``mask_ok``,
-    true if the mask's runs have the lengths of the texts that stand there."""
+    """From conv_id, formatted, loss_mask: ``turns`` (role, text), ``loss_text``, and ``mask_ok``."""
     blocks = F.expr(rf"transform(slice(split(formatted, '<\\|im_start\\|>', -1), 2, greatest(size(split(formatted, '<\\|im_start\\|>', -1)) - 1, 0)), b -> named_struct('role', url_decode(substring_index(b, '\n', 1)), 'body', substring(b, instr(b, '\n') + 1, length(b) - instr(b, '\n') - {len(STOP)})))")
     got = formatted.withColumn("blocks", blocks)
     raw = F.flatten(F.transform("blocks", lambda b: F.transform(F.split(b["body"], r"<\|im_sep\|>", -1), lambda t: F.struct(b["role"].alias("role"), t.alias("raw")))))
     got = got.withColumn("raw", raw)
     turns = F.transform("raw", lambda t: F.struct(t["role"].alias("role"), unescape(t["raw"]).alias("text")))
     got = got.withColumn("turns", turns)
-    loss = F.expr("filter(transform(turns, (t, i) -> if(loss_mask[2 * i + 1].loss, t.text, null)), x -> x is not null)")
-    ok = F.expr("size(loss_mask) = 2 * size(raw) + 1 and forall(transform(raw, (t, i) -> length(t.raw) = loss_mask[2 * i + 1].chars), x -> x)")
+    got = got.withColumn("cut", F.expr(runs_cut("formatted", "loss_mask")))
+    loss = F.transform(F.filter("cut", lambda c: c["loss"]), lambda c: unescape(c["raw"]))
+    ok = F.expr("transform(cut, c -> c.raw) = transform(raw, t -> t.raw) and aggregate(loss_mask, 0L, (t, r) -> t + r.chars) = length(formatted) and size(loss_mask) = 2 * size(raw) + 1")
     return got.select("conv_id", "formatted", "n_blocks", "turns", F.array_join(loss, "").alias("loss_text"), ok.alias("mask_ok"))

@@ -3,18 +3,20 @@
 A record is one row of the text writer, whose line separator is the ``\\r\\n\\r\\n`` that ends a WARC
 record; Spark's commit protocol and any of its file systems therefore hold for the archives.
 A ``response`` carries the HTML; a ``revisit`` carries only the HTTP header and points to the response
-of the same payload. Reading first writes an index (archive, offset, length, URL, digest, kind per
-record) from the record headers, skipping over payloads, then reads selected records in
-coalesced ranges sorted by offset.
+of the same payload. Every record has the fields that WARC 1.1 requires. Reading first writes an index (archive,
+offset, length, URL, digest, kind per record): archives are read in large ranges in which record headers are
+walked, and payloads beyond a range are skipped. Then selected records are read in coalesced ranges sorted by offset.
 
 Of rows with equal payloads of at least ``min_payload`` bytes the one with the smallest id is the response.
 Defined results: a null payload counts as empty; a null URL has no header line; rows that repeat
-the smallest id with the same payload are responses each; a null id is larger than any other and
-revisits, or is a response where the payload has no other id; an empty table gives no records.
+the smallest id with the same payload are responses each, under one record id; a null id is larger than any other and
+revisits, or is a response where the payload has no other id, and its record id is a random-looking UUID; a very long
+payload is one record; other columns of any name are left out; an empty table gives no records.
 """
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import re
 from collections.abc import Iterator
@@ -29,7 +31,9 @@ from loomwork.llm.common import batches_of, fresh_path, saved, ship
 END = "\r\n\r\n"
 INDEX = "archive string, offset bigint, length bigint, header_bytes bigint, kind string, record_id string, url string, digest string, refers_to string"
 RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, digest_ok boolean"
-HEAD_BYTES = 4096
+#: The profile of revisits that have the payload of another record, a fixed value of WARC 1.1.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+INDEX_RANGE = 8 << 20
 GAP = 64 << 10
 RANGE = 4 << 20
 
@@ -51,8 +55,8 @@ def with_kinds(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return base.join(revisits, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest")), "left").drop("of", "of_digest")
 
 
-def record(kinds: DataFrame) -> DataFrame:
-    """One string column: the records without their end."""
+def record(kinds: DataFrame, date: str) -> DataFrame:
+    """One string column: the records without their end, all of one ``date`` (as ``2025-01-31T12:00:00Z``)."""
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(name + ": "), value, F.lit("\r\n"))).otherwise(F.lit(""))
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit(END))
@@ -61,10 +65,15 @@ def record(kinds: DataFrame) -> DataFrame:
     for c, code in (("\r", "%0D"), ("\n", "%0A"), ("\x00", "%00")):
         url = F.replace(url, F.lit(c), F.lit(code))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
+    some = F.md5(F.concat_ws(" ", "url", "digest", F.monotonically_increasing_id().cast("string")))
+    uuid = F.regexp_replace(some, "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
+    own = F.when(F.col("page_id").isNull(), F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">"))).otherwise(F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">")))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), F.lit("\r\n"),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">"))),
+        line("WARC-Record-ID", own),
+        F.lit(f"WARC-Date: {date}\r\n"),
         line("WARC-Target-URI", url),
+        F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}\r\n")).otherwise(F.lit("")),
         F.lit("WARC-Payload-Digest: sha256:"), F.col("digest"), F.lit("\r\n"),
         line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END),
@@ -72,9 +81,10 @@ def record(kinds: DataFrame) -> DataFrame:
     return kinds.select(F.concat(head, block).alias("value"))
 
 
-def write(pages: DataFrame, path: str, *, records_per_archive: int = 50_000, **columns) -> None:
-    """Write the archives ``path/part-*``, of ``records_per_archive`` records at most."""
-    record(with_kinds(pages, **columns)).write.option("lineSep", END).option("maxRecordsPerFile", records_per_archive).text(path)
+def write(pages: DataFrame, path: str, *, records_per_archive: int = 50_000, date: str | None = None, **columns) -> None:
+    """Write the archives ``path/part-*``, of ``records_per_archive`` records at most, dated ``date`` or now."""
+    date = date or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    record(with_kinds(pages, **columns), date).write.option("lineSep", END).option("maxRecordsPerFile", records_per_archive).text(path)
 
 
 def _field(head: str, name: str) -> str | None:
@@ -91,11 +101,29 @@ def _plain_url(url: str | None) -> str | None:
 
 
 def _urn(text: str | None) -> str | None:
-    return text[len("<urn:page:") : -1] if text else None
+    return text[len("<urn:page:") : -1] if text and text.startswith("<urn:page:") else None
 
 
-def index(spark, path: str) -> DataFrame:
-    """The index of the archives under ``path``: one row per record, from headers alone."""
+class _Ranges:
+    """A file read in ranges of ``size`` bytes that begin where something outside the last one is asked for."""
+
+    def __init__(self, f, end: int, size: int) -> None:
+        self.f, self.end, self.size, self.start, self.held = f, end, size, 0, b""
+
+    def head(self, at: int) -> bytes:
+        """The bytes from ``at`` to the next empty line."""
+        want = self.size
+        while True:
+            if self.start <= at < self.start + len(self.held) and (cut := self.held.find(b"\r\n\r\n", at - self.start)) >= 0:
+                return self.held[at - self.start : cut]
+            self.start, self.held = at, self.f.read_at(min(want, self.end - at), at)
+            if len(self.held) == self.end - at and self.held.find(b"\r\n\r\n") < 0:
+                raise ValueError(f"no record header at {at}")
+            want *= 2  # a header longer than a range
+
+
+def index(spark, path: str, *, range_bytes: int = INDEX_RANGE) -> DataFrame:
+    """The index of the archives under ``path``: one row per record, from headers alone, a task per archive."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     listed = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
     files = [(s.getPath().toString(), s.getLen()) for s in listed if s.getPath().getName().startswith("part-") and s.getLen()]
@@ -106,13 +134,12 @@ def index(spark, path: str) -> DataFrame:
                 system, name = fs.FileSystem.from_uri(archive.replace("file:///", "/").replace("file:/", "/"))
                 rows, at = [], 0
                 with system.open_input_file(name) as f:
+                    ranges = _Ranges(f, size, range_bytes)
                     while at < size:
-                        got = f.read_at(min(HEAD_BYTES, size - at), at)
-                        while (cut := got.find(b"\r\n\r\n")) < 0:
-                            got = f.read_at(min(len(got) * 4, size - at), at)  # a very long URL
-                        head = got[: cut + 2].decode("utf-8")
-                        length = cut + 4 + int(_field(head, "Content-Length"))
-                        rows.append((archive, at, length, cut + 4, _field(head, "WARC-Type"), _urn(_field(head, "WARC-Record-ID")), _plain_url(_field(head, "WARC-Target-URI")), _field(head, "WARC-Payload-Digest").removeprefix("sha256:"), _urn(_field(head, "WARC-Refers-To"))))
+                        raw = ranges.head(at)
+                        head = raw.decode("utf-8") + "\r\n"
+                        length = len(raw) + 4 + int(_field(head, "Content-Length"))
+                        rows.append((archive, at, length, len(raw) + 4, _field(head, "WARC-Type"), _urn(_field(head, "WARC-Record-ID")), _plain_url(_field(head, "WARC-Target-URI")), _field(head, "WARC-Payload-Digest").removeprefix("sha256:"), _urn(_field(head, "WARC-Refers-To"))))
                         at += length + len(END)
                         if len(rows) >= 5000:
                             yield _index_batch(rows)
@@ -122,7 +149,7 @@ def index(spark, path: str) -> DataFrame:
 
     if not files:
         return spark.createDataFrame([], INDEX)
-    names = spark.createDataFrame(files, "archive string, size bigint").repartition(len(files))
+    names = spark.createDataFrame(files, "archive string, size bigint").repartitionByRange(len(files), "archive")
     return names.mapInArrow(batches_of(scan), INDEX)
 
 
@@ -132,7 +159,7 @@ def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
 
-def read(selected: DataFrame, *, sort_rows_per_task: int = 20_000) -> DataFrame:
+def read(selected: DataFrame) -> DataFrame:
     """Read the selected rows of an index: neighbours up to GAP apart are fetched in one range of
     at most about RANGE bytes, and each record's payload is checked against its digest.
 

@@ -6,12 +6,18 @@ number of tokens is the number of initial symbols minus the number of merges.
 
 The vocabulary file is of the ``tokenizers`` library's kind with word ends: text is split at the
 special strings (each is one token, the library's default), brought to NFC and lower case, and cut
-into words by the file's pattern. Null counts as empty; there is no truncation.
+into words by the file's pattern. The library's Unicode tables needn't be Python's: code points that the two treat
+differently, and those that Python doesn't know, are found once, and a text that has one is
+normalised and cut by the library's own normaliser and splitter.
+
+Defined results: null and empty texts have no tokens; there is no truncation, and very long texts are cut into words
+in blocks; repeated rows are counted row by row; other columns aren't looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import re
 import unicodedata
@@ -20,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from loomwork.llm.common import worker_udf
 
@@ -28,6 +35,41 @@ ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\
 ALL_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 
 
+#: Words are looked up in runs of this many, so that a very long text isn't held as a list of its words.
+RUN = 1 << 16
+
+
+def plain_lower(text: str) -> str:
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+def ranges(points: list[int]) -> str:
+    """A character class of code points in ascending order."""
+    starts = [c for k, c in enumerate(points) if not k or points[k - 1] != c - 1]
+    stops = [c for k, c in enumerate(points) if k + 1 == len(points) or points[k + 1] != c + 1]
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, stops)) + "]"
+
+
+def differing(normaliser, splitter) -> list[int]:
+    """Code points that Python doesn't know, or that it normalises or cuts in another way than the library does."""
+    kind = {c: unicodedata.category(chr(c)) for c in range(0x110000)}
+    known = [c for c in kind if kind[c] not in ("Cn", "Cs", "Co") and chr(c) != "|"]
+    lower = normaliser.normalize_str("|".join(map(chr, known))).split("|")
+    odd = {c for c, x in zip(known, lower) if x != plain_lower(chr(c)) and not (x == " " and chr(c).isspace())}
+    # between a letter and a sign: a letter joins the first, a sign the second, a digit stands alone, a space goes
+    probe = "\n".join(f"a{chr(c)}!" for c in known)
+    of = lambda words: {c: [] for c in known} | words
+    theirs: dict[int, list[str]] = {}
+    for word, (start, _) in splitter.pre_tokenize_str(probe):
+        theirs.setdefault(known[start // 4], []).append(word)
+    ours: dict[int, list[str]] = {}
+    for m in ALL_WORDS.finditer(probe):
+        ours.setdefault(known[m.start() // 4], []).append(m[0])
+    theirs, ours = of(theirs), of(ours)
+    odd |= {c for c in known if theirs[c] != ours[c]}
+    return sorted(odd | {c for c in kind if kind[c] in ("Cn", "Cs")})
+
+
 def byte_symbols() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -55,6 +97,9 @@ class TokenCounter:
         self.rules = {(num(a), num(b)): (rank, num(a + b)) for rank, (a, b) in enumerate(pairs)}
         specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
+        self.normaliser = Tokenizer.from_file(path).normalizer
+        self.splitter = pre_tokenizers.Split(Regex(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), "removed", invert=True)
+        self.odd = re.compile(ranges(differing(self.normaliser, self.splitter)))
         self.cache: dict[str, int] = {}
         self.cache_words = cache_words
 
@@ -112,9 +157,17 @@ class TokenCounter:
 
     def _plain(self, text: str) -> int:
         if text.isascii():
-            return self._words(ASCII_WORDS.findall(text.lower()))
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return self._words(ALL_WORDS.findall(text))
+            text, pattern = text.lower(), ASCII_WORDS
+        elif self.odd.search(text):
+            return self._words([w for w, _ in self.splitter.pre_tokenize_str(self.normaliser.normalize_str(text))])
+        else:
+            text, pattern = plain_lower(text), ALL_WORDS
+        if len(text) <= RUN:
+            return self._words(pattern.findall(text))
+        total, words = 0, (m[0] for m in pattern.finditer(text))
+        while run := list(itertools.islice(words, RUN)):
+            total += self._words(run)
+        return total
 
     def count(self, text: str | None) -> int:
         if not text:

@@ -6,18 +6,21 @@ The automaton's alphabet is the words of the items, numbered; each text is scann
 word inside any occurrence of a window is hit. Hit runs are mapped to code points of the original.
 
 The items are scanned in blocks: a block's windows hold at most ``max_window_words`` words, which
-bounds the automaton that executors build. Larger benchmarks take one scan per block and the
-hits of all blocks are merged per text, so no item is ever left out.
+bounds the automaton that executors build; a longer item is cut into parts that overlap by a window less a word. Larger
+benchmarks take one scan per block, one after the other, and the hits of all blocks are merged per text, so no item is
+ever left out.
 
 Defined results: null and empty texts have no words and no hits; null items, and items without a
 word, never occur; items with equal texts or repeated rows each count by their id, a repeated id
-once; a null item id counts under the empty string. Without items nothing is hit.
+once; a null item id counts under the empty string. Without items nothing is hit. Very long texts are scanned whole. Columns
+keep their names, whatever these are, but a column named as ``into`` is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -115,12 +118,16 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, max_window_words:
     """The items in blocks of bounded size, one at a time; one empty block if there are none."""
     block, size, n = [], 0, 0
     rows = items.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col)
+    most = max(1, max_window_words // width)  # windows
     for item, text in rows.toLocalIterator():
-        block.append((item, text))
-        size += len(words(text)) * width
-        if size >= max_window_words:
-            yield block
-            block, size, n = [], 0, n + 1
+        found = words(text)
+        for at in range(0, max(1, len(found) - width + 1), most):
+            part = found[at : at + most + width - 1]
+            block.append((item, b" ".join(part).decode("utf-8", "surrogatepass")))
+            size += len(part) * width
+            if size >= max_window_words:
+                yield block
+                block, size, n = [], 0, n + 1
     if block or not n:
         yield block
 
@@ -147,6 +154,9 @@ class _Shared:
     def value(self):
         return self.broadcast.value
 
+    def gone(self) -> None:
+        self.broadcast.destroy()
+
 
 def _scan(shared: _Shared, width: int) -> Callable[[Column], Column]:
     """UDF: (n_words, runs, items) of a text for one block."""
@@ -169,11 +179,12 @@ def with_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
     The automaton of 2,000,000 window words takes about 160 MB of a worker. A larger benchmark takes a
     scan of the texts per block, each of which keeps the hits alone, and one more that joins them."""
     spark = docs.sparkSession
-    blocks = [_Shared(spark, b) for b in item_blocks(items, item_id, item_text, max_window_words, width)]
+    blocks = item_blocks(items, item_id, item_text, max_window_words, width)
+    first, second = next(blocks), next(blocks, None)
     out_type = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
-    if len(blocks) == 1:
-        only = blocks[0]
+    if second is None:
+        only = _Shared(spark, first)
 
         @worker_udf(HITS)
         def hits(texts: pa.Array) -> pa.Array:
@@ -191,7 +202,12 @@ def with_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
         return pa.array(out, out_type)
 
     rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "texts")
-    found = [saved(rows.select("__row", _scan(b, width)(F.col(text_col)).alias("p")).filter("size(p.runs) > 0").select("__row", "p.runs", "p.items"), "hits") for b in blocks]
+    found = []
+    for block in itertools.chain([first, second], blocks):  # executors hold one at a time
+        shared = _Shared(spark, block)
+        scanned = rows.select("__row", _scan(shared, width)(F.col(text_col)).alias("p"))
+        found.append(saved(scanned.filter("size(p.runs) > 0").select("__row", "p.runs", "p.items"), "hits"))
+        shared.gone()
     by_row = functools.reduce(DataFrame.unionByName, found).groupBy(F.col("__row").alias("__of")).agg(F.flatten(F.collect_list("runs")).alias("__runs"), F.flatten(F.collect_list("items")).alias("__items"))
     full = rows.join(by_row, F.col("__row") == F.col("__of"), "left")
     return full.withColumn(into, joined(F.col(text_col), F.col("__runs"), F.col("__items"))).drop("__row", "__of", "__runs", "__items")

@@ -7,8 +7,8 @@ literally, every byte is such a row in every round, many times the input on disk
 rows are thinned first, by rules that equal strings always agree on, and nothing that could
 still repeat is dropped:
 
-1. Chunks. Content-defined chunks, each with the threshold - 1 bytes behind it, are sorted by digest and
-   position. All windows of a chunk that isn't the first of its digest start earlier elsewhere.
+1. Chunks. Content-defined chunks, each with the threshold - 1 bytes behind it, are grouped by digest, and the
+   first position of a digest is their minimum. All windows of a chunk that isn't the first start earlier elsewhere.
 2. Anchors. Of every other window the least ``gram`` (24) bytes by hash are its anchor (equal windows have
    equal anchors). Anchors are ranked by sorting; unique ones drop out with their windows.
 3. Pairs. A window has 38 bytes more on at least one side of its anchor. The pairs (rank of the anchor, rank
@@ -24,7 +24,8 @@ document that later rounds join without moving it. Digests have 128 bits; anchor
 Defined results: null texts are empty; texts under the threshold keep all bytes but count as they are;
 rows that repeat an id with the same text are one document, each with the same result; rows that
 share an id with different texts are ordered by a hash of the text; a null id comes before any other.
-Equal strings that overlap within a text count. An empty table gives an empty result.
+Equal strings that overlap within a text count. Very long texts are one row, scanned in blocks. Columns keep their names,
+whatever these are, but those that begin with two underscores. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,18 +40,19 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import batches_of, drop_saved, fresh_path, saved, ship, worker_udf
+from loomwork.llm.common import batches_of, drop_saved, few, fresh_path, kinds, repeated, saved, ship, worker_udf
 from loomwork.llm.windows import Rolling, chosen_grams, cuts, minimisers, mixed
 
 THRESHOLD = 100
 GRAM = 24
 BLOCK = 1 << 20
 STRETCH = 4096
-UNITS = "struct<packed: binary, units: array<struct<u1: bigint, u2: bigint, a: int, b: int, again: boolean>>>"
-_UNIT_TYPE = pa.list_(pa.struct([("u1", pa.int64()), ("u2", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("again", pa.bool_())]))
+UNITS = "struct<packed: binary, units: array<struct<u1: bigint, u2: bigint, a: int, b: int>>>"
+_UNIT_TYPE = pa.list_(pa.struct([("u1", pa.int64()), ("u2", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
 KEY = ["__doc", "__tie"]
-UNKNOWN, KNOWN, FAR = 0, 1, 2
 CHUNK_BYTES = 8 << 20
+#: Bytes of text in a bucket of the table of texts, at most about; buckets aren't split when they are read.
+BUCKET_BYTES = 256 << 20
 
 
 def _raw(text: str | None) -> bytes:
@@ -70,16 +72,18 @@ def chunk_starts(raw: bytes, n_windows: int, block: int = BLOCK) -> np.ndarray:
     return at[at < n_windows]
 
 
-def prepared(docs: DataFrame, id_col: str, text_col: str, threshold: int, block: int = BLOCK) -> tuple[DataFrame, bool]:
-    """The bucketed table: __doc, __tie, the other columns of ``docs``, __packed (compressed text), __units;
-    and whether ids repeat, in which case __tie tells their texts apart."""
+def prepared(docs: DataFrame, id_col: str, text_col: str, threshold: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame | None]:
+    """The bucketed table: __doc, __tie, __packed (compressed text), __units, and the other columns of ``docs``.
+
+    Rows that repeat id and text are one row of the table without those columns; the second result then has them, by __doc and __tie."""
     spark = docs.sparkSession
-    ids = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
-    repeated = bool(ids.filter("n > 1").limit(1).count())
-    tie = F.xxhash64(F.col(text_col)) if repeated else F.lit(0).cast("long")
+    # the smallest long stands for a null id; a real id of that value would tie with it
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("__doc"), F.xxhash64(F.col(text_col)).alias("__tie")]
+    each = docs.select(*key, F.octet_length(text_col).alias("n")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
+    most, size = each.agg(F.max("rows"), F.sum("n")).first()
 
     @worker_udf(UNITS)
-    def unit(texts: pa.Array, doc: pa.Array) -> pa.Array:
+    def unit(texts: pa.Array) -> pa.Array:
         pack = zstandard.ZstdCompressor(level=3).compress
         packed, of, u1, u2, a, b = [], [], [], [], [], []
         for i, text in enumerate(texts):
@@ -97,26 +101,31 @@ def prepared(docs: DataFrame, id_col: str, text_col: str, threshold: int, block:
             of += [i] * len(starts)
             a += starts.tolist()
             b += stops.tolist()
-        of, u1, u2, a = np.array(of, dtype=np.int64), np.array(u1, dtype=np.int64), np.array(u2, dtype=np.int64), np.array(a, dtype=np.int64)
-        # what repeats an earlier chunk of this batch is settled here and needn't be shuffled
-        again = np.zeros(len(of), dtype=bool)
-        if len(of) and not repeated:
-            order = np.lexsort((a, np.asarray(doc)[of], u2, u1))
-            again[order[1:]] = (u1[order][1:] == u1[order][:-1]) & (u2[order][1:] == u2[order][:-1])
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))]).astype(np.int32)
-        units = pa.StructArray.from_arrays([pa.array(u1), pa.array(u2), pa.array(a.astype(np.int32)), pa.array(np.array(b, dtype=np.int32)), pa.array(again)], fields=list(_UNIT_TYPE.value_type))
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(np.array(of, dtype=np.int64), minlength=len(texts)))]).astype(np.int32)
+        units = pa.StructArray.from_arrays([pa.array(u1, pa.int64()), pa.array(u2, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], fields=list(_UNIT_TYPE.value_type))
         return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), units)], ["packed", "units"])
 
     rest = [c for c in docs.columns if c != text_col]
-    # the smallest long stands for a null id; a real id of that value would tie with it
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("__doc"), tie.alias("__tie"), *[F.col(c) for c in rest], F.col(text_col).alias("__text"))
-    done = keyed.withColumn("__r", unit("__text", "__doc")).drop("__text").select("*", F.col("__r.packed").alias("__packed"), F.col("__r.units").alias("__units")).drop("__r")
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keyed, others = docs.select(*key, *[F.col(c) for c in rest], F.col(text_col).alias("__text")), None
+    if (most or 0) > 1:
+        others = docs.select(*key, *[F.col(c) for c in rest])
+        keyed = keyed.groupBy(*KEY).agg(F.min("__text").alias("__text"))
+    done = keyed.withColumn("__r", unit("__text")).drop("__text").select("*", F.col("__r.packed").alias("__packed"), F.col("__r.units").alias("__units")).drop("__r")
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) // BUCKET_BYTES)
     name = f"loomwork_{uuid.uuid4().hex}"
     (done.repartition(n, *KEY).write.format("parquet").option("path", fresh_path(spark, "texts")).option("compression", "snappy").bucketBy(n, *KEY).saveAsTable(name))
     texts = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the catalog's entry only: the files are the session's, in the shared folder
-    return texts, repeated
+    return texts, others
+
+
+def later_chunks(units: DataFrame) -> DataFrame:
+    """(doc, tie, a, b) of the chunks that aren't the first of their digest.
+
+    The first one is an associative minimum, which combines map-side, so that no digest gathers."""
+    place = F.struct(*KEY, "a")
+    firsts = units.groupBy("u1", "u2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return units.join(few(saved(firsts, "firsts")), ["u1", "u2"]).filter(place != F.col("first")).select(*KEY, "a", "b")
 
 
 def not_first(rows: DataFrame, rank: list[str], keep: list[str]) -> DataFrame:
@@ -140,33 +149,6 @@ def not_first(rows: DataFrame, rank: list[str], keep: list[str]) -> DataFrame:
     return spread.mapInArrow(batches_of(later), schema)
 
 
-def repeated_ranks(rows: DataFrame) -> DataFrame:
-    """(h, doc, tie) of the ranks that aren't unique."""
-    spread = rows.repartition(F.when(F.col("kind") == FAR, F.xxhash64("h", *KEY)).otherwise(F.col("h"))).sortWithinPartitions("h")
-
-    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known = None, False  # the last row so far, and whether its rank is known to repeat
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            h = np.asarray(batch["h"])
-            same = h[1:] == h[:-1]
-            double = np.asarray(batch["kind"]) != UNKNOWN
-            double[1:] |= same
-            double[:-1] |= same
-            double[0] |= known
-            held, known = batch.slice(len(h) - 1), bool(double[-1])
-            double[-1] = False
-            if double.any():
-                yield batch.filter(pa.array(double)).select(["h", *KEY])
-        if held is not None and known:
-            yield held.select(["h", *KEY])
-
-    return spread.mapInArrow(batches_of(twice), "h bigint, __doc bigint, __tie bigint")
-
-
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes]]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
@@ -197,11 +179,8 @@ def _blocks(raw: bytes, free: np.ndarray, threshold: int, gram: int, block: int)
 def _ranks(h: list, doc: list, tie: list) -> pa.RecordBatch:
     """Rows (h, doc, tie, kind) of the texts scanned together."""
     n, h = [len(x) for x in h], np.concatenate(h)
-    _, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    kind = np.where(count[inverse] > 1, FAR, UNKNOWN).astype(np.int8)
-    kind[first[count > 1]] = KNOWN
     docs, ties = (np.repeat(np.array(x, dtype=np.int64), n) for x in (doc, tie))
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(docs), pa.array(ties), pa.array(kind)], ["h", *KEY, "kind"])
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(docs), pa.array(ties), pa.array(kinds(h))], ["h", *KEY, "kind"])
 
 
 def _pairs(data: np.ndarray, grams: np.ndarray, at: np.ndarray, gram: int, side: int) -> tuple[np.ndarray, np.ndarray]:
@@ -301,7 +280,8 @@ def compared(rows: DataFrame, threshold: int, held: int) -> DataFrame:
     names = ["w1", "w2", *KEY, "a", "b"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, seen = None, np.zeros(0, dtype=np.uint64)  # the anchor at the end of the last part, its windows
+        none_seen = np.zeros((2, 0), dtype=np.uint64)
+        group, seen = None, none_seen  # the anchor at the end of the last part, its windows by both hashes
         for batch in batches:
             settled = batch.filter(batch["bytes"].is_null())
             if settled.num_rows:
@@ -320,19 +300,23 @@ def compared(rows: DataFrame, threshold: int, held: int) -> DataFrame:
                 place = (np.cumsum(length) - length)[row] + within
                 one, two = (Rolling(data, k).all(threshold)[place] for k in (0, 1))
                 start = a[row] + within
-                key = mixed(one ^ mixed(two ^ h[row].view(np.uint64)))
-                order = np.argsort(key, kind="stable")  # positions stay in order
+                key, of = mixed(one ^ mixed(h[row].view(np.uint64))), h[row]
+                order = np.lexsort((two, key))  # positions stay in order
                 first = np.ones(len(key), dtype=bool)
-                first[order[1:]] = key[order][1:] != key[order][:-1]
+                first[order[1:]] = (key[order][1:] != key[order][:-1]) | (two[order][1:] != two[order][:-1])
                 open_rows = np.zeros(len(key), dtype=bool)
                 if group is not None and h[0] == group:
-                    mine = h[row] == group
-                    first &= ~(mine & np.isin(key, seen))
-                    if len(seen) >= held:
+                    mine = of == group
+                    if seen.shape[1]:
+                        at = np.minimum(np.searchsorted(seen[0], key), seen.shape[1] - 1)
+                        first &= ~(mine & (seen[0, at] == key) & (seen[1, at] == two))
+                    if seen.shape[1] >= held:
                         open_rows = mine & first
                 if h[-1] != group:
-                    group, seen = h[-1], np.zeros(0, dtype=np.uint64)
-                seen = np.concatenate([seen, key[(h[row] == group) & first & ~open_rows]])
+                    group, seen = h[-1], none_seen
+                new = (of == group) & first & ~open_rows
+                seen = np.concatenate([seen, np.stack([key[new], two[new]])], axis=1)
+                seen = seen[:, np.argsort(seen[0], kind="stable")]
                 gone = ~first
                 index = np.flatnonzero(gone)
                 if len(index):
@@ -352,22 +336,23 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     """The columns of ``docs`` but the text, with __packed (the compressed text) and __spans: ranges of
     starts of windows that also start earlier. Texts are scanned in blocks of ``block`` window starts."""
     ship(docs.sparkSession)
-    texts, repeated = prepared(docs, id_col, text_col, threshold, block)
-    each = texts.dropDuplicates(KEY) if repeated else texts
-    units = each.select(*KEY, F.explode("__units").alias("u")).select(*KEY, "u.*")
-    chunks = saved(units.filter("again").select(*KEY, "a", "b").unionByName(not_first(units.filter("not again"), ["u1", "u2"], ["b"])), "chunks")
+    texts, others = prepared(docs, id_col, text_col, threshold, block)
+    units = texts.select(*KEY, F.explode("__units").alias("u")).select(*KEY, "u.*")
+    chunks = saved(later_chunks(units), "chunks")
     lists = lambda rows: rows.groupBy(*KEY).agg(F.collect_list(F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))).alias("spans"))
-    still = each.select(*KEY, "__packed").join(lists(chunks), KEY, "left")
+    still = texts.select(*KEY, "__packed").join(lists(chunks), KEY, "left")
     sets = lambda rows: rows.groupBy(*KEY).agg(F.collect_set("h").alias("ranks"))
-    single = saved(repeated_ranks(anchors(still, threshold, gram, block)), "anchors")
-    paired = saved(repeated_ranks(anchors(still.join(sets(single), KEY), threshold, gram, block)), "pairs")
+    single = saved(repeated(anchors(still, threshold, gram, block), "h", KEY), "anchors")
+    paired = saved(repeated(anchors(still.join(sets(single), KEY), threshold, gram, block), "h", KEY), "pairs")
     drop_saved(single)
     windows = saved(compared(stretches(still.join(sets(paired), KEY), threshold, gram, block), threshold, held), "windows")
     drop_saved(paired)
     beyond = not_first(windows.filter("w1 is not null"), ["w1", "w2"], ["b"])
     long = lambda rows: rows.select(*KEY, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    spans = lists(long(chunks).unionByName(long(windows.filter("w1 is null"))).unionByName(long(beyond)))
-    return texts.drop("__units").join(spans.withColumnRenamed("spans", "__spans"), KEY, "left").drop(*KEY)
+    spans = saved(lists(long(chunks).unionByName(long(windows.filter("w1 is null"))).unionByName(long(beyond))), "spans")
+    drop_saved(chunks, windows)
+    found = texts.drop("__units").join(spans.withColumnRenamed("spans", "__spans"), KEY, "left")
+    return (found if others is None else others.join(found, KEY)).drop(*KEY)
 
 
 def byte_spans(starts: list[dict] | None, threshold: int) -> list[list[int]]:
@@ -407,7 +392,7 @@ def digests(threshold: int = THRESHOLD) -> Column:
 def kept_text(threshold: int = THRESHOLD) -> Column:
     """The remaining text for rows of :func:`removals`; a code point that lost a byte goes as a whole."""
 
-    @worker_udf("string")
+    @worker_udf("string", once=True)
     def of(packed: pa.Array, starts: pa.Array) -> pa.Array:
         unpack = zstandard.ZstdDecompressor().decompress
         return pa.array([_kept(unpack(p.as_py()), byte_spans(s.as_py(), threshold)).decode("utf-8", "ignore") for p, s in zip(packed, starts)], pa.string())
@@ -422,8 +407,7 @@ def doubled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     Round by round rows (rank, rank at the offset, position) are sorted, equal pairs get one rank
     and unique ones drop out, until the ranks stand for ``threshold`` bytes."""
     ship(docs.sparkSession)
-    texts, repeated = prepared(docs, id_col, text_col, threshold)
-    each = texts.dropDuplicates(KEY) if repeated else texts
+    texts, _ = prepared(docs, id_col, text_col, threshold)
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, raw in _texts(batches):
@@ -454,7 +438,7 @@ def doubled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
             yield pa.RecordBatch.from_arrays([held[0][c] for c in (*KEY, "a")] + [pa.array([name])], [*KEY, "a", "r"])
 
     schema = "__doc bigint, __tie bigint, a bigint, r bigint"
-    ranks, length = each.select(*KEY, "__packed").mapInArrow(batches_of(positions), schema), first
+    ranks, length = texts.select(*KEY, "__packed").mapInArrow(batches_of(positions), schema), first
     while length < threshold:
         offset = min(length, threshold - length)
         behind = ranks.select(*KEY, (F.col("a") - offset).alias("a"), F.col("r").alias("r2"))

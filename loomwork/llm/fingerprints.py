@@ -1,36 +1,39 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in Spark expressions only.
 
-A text's paragraphs (lines; a line is cut every ``tail`` code units, within the first ``head_chars`` code
-points every ``head``, so that short texts have some too) become a set of 64-bit digests whose low
-16 bits check the rest. A sketch has 4 tables of 12 cells; a digest is added to one cell of each:
-a cell has the count and the exclusive or of its digests. Sketches of two versions subtract cell by
-cell; what they share cancels. Peeling takes cells that hold one digest, by count and check,
-removes it from its other cells, and so recovers the digests that differ. If it gets stuck, larger
-sketches are tried: the digests are split by hash into more and more parts of a sketch each,
-every try with another hash. ``likeness`` is 1 - differing / (all digests of both), 1 for two empty sets.
-
-The fingerprint is the sketch as text, ``count:digests`` in hexadecimal by cell.
-
-Order of documents (for a document's edited text): descending id, nulls last, ties by text. Buckets of
-neighbouring ids are sorted on their own; the first document of each also ends the bucket before it,
-and the first of all ends the last bucket.
-
-Defined results: null texts are empty, an empty text has the empty sketch; equal texts have equal
-fingerprints; repeated rows are neighbours, each with the next one's text; a single document is its
-own next one; an empty table gives an empty result.
+A text's paragraphs are its lines; a line is cut at the first ``.``, ``!`` or ``?`` behind ``SHORT`` code points of a
+piece, or at ``LONG``. They become a set of 61-bit digests whose low 16 bits check the rest. A sketch
+has three tables of s cells (a power of two, the number of digests at least); a digest is added to one cell of
+each. A cell has the count and the exclusive or of its digests, and only cells that hold some are
+kept. Sketches of two versions subtract cell by cell; what they share cancels. Peeling takes cells that hold one
+digest, by count, check and place, removes it from its other cells, and so recovers the digests that differ.
+
+The fingerprint is the sketch as text, ``tables' size;digests;cell:count:digests,...`` in hexadecimal. It is a function
+of the text alone: the sketch is peeled by itself, and if it gets stuck, made again twice as large, up to ``TRIES`` times.
+``likeness`` is 1 - differing / (all digests of both), 1 for two empty sets, and comes from two sketches alone: they are
+subtracted and peeled; of two sizes the smaller sketch is first brought to the larger size, from the digests that it was
+peeled into. Where peeling the difference gets stuck, larger sketches with other hashes are made of these digests.
+
+The next document is that of the next smaller id, nulls last, ties by a hash of the text; after the last comes
+the first. Rows that repeat id and text are one document here, each with the same next one. The order is made
+of narrow rows; a text is shuffled once, and the beginning that its neighbour takes once more.
+
+Defined results: null texts are empty, an empty text has the empty sketch; equal texts have equal fingerprints; very long
+texts have larger sketches; a single document is its own next one; other columns of any name are left out; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HEAD_CHARS, HEAD, TAIL = 256, 16, 160
-ROUNDS = 12
-#: Digests per part in the tries after the first; the last resort compares the sets themselves.
-PARTS = (16, 8, 4)
+from loomwork.llm.common import drop_saved, saved
+from loomwork.storage import with_rank
+
+SHORT, LONG = 96, 256
+LEAST = 16
+ROUNDS = 64
+TRIES = 3
 SALT = 7919
 
 
@@ -41,115 +44,125 @@ def let(name: str, value: str, body: str) -> str:
 
 def digests(text: str) -> str:
     """SQL: the set of paragraph digests of a text column."""
-    pieces = f"concat(regexp_extract_all(substring({text}, 1, {HEAD_CHARS}), '[^\\\\n]{{1,{HEAD}}}', 0), regexp_extract_all(substring({text}, {HEAD_CHARS + 1}), '[^\\\\n]{{1,{TAIL}}}', 0))"
-    top = "shiftrightunsigned(xxhash64(p), 16)"
+    pieces = f"regexp_extract_all({text}, '[^\\\\n]{{{SHORT}}}[^\\\\n.!?]{{0,{LONG - SHORT}}}+[.!?]*+|[^\\\\n]{{1,{SHORT}}}', 0)"
+    top = "shiftrightunsigned(xxhash64(p), 19)"
     return f"array_distinct(transform({pieces}, p -> {let('h', top, 'shiftleft(h, 16) | cast(hash(h) & 65535 as bigint)')}))"
 
 
-def code(x: str, salt: int) -> str:
-    """SQL: a digest's cell in each of the four tables, a nibble each."""
-    return let("y", f"xxhash64({x}, {salt}L)", "cast(pmod(y, 12) + 16 * pmod(y div 12, 12) + 256 * pmod(y div 144, 12) + 4096 * pmod(y div 1728, 12) as int)")
+def cell(x: str, table: str, s: str, salt: int) -> str:
+    """SQL: the cell of digest ``x`` in a table."""
+    return f"cast(3 * (xxhash64({x}, {salt}L + {table}) & ({s} - 1)) + {table} as int)"
+
 
+def entries(xs: str, n: int, s: str, salt: int = 0) -> str:
+    """SQL: what digests add to cells, each ``n`` times."""
+    one = ", ".join(f"named_struct('c', {cell('x', str(t), s, salt)}, 'n', {n}, 'x', x)" for t in range(3))
+    return f"flatten(transform({xs}, x -> array({one})))"
 
-def entries(signed: str, salt: int) -> str:
-    """SQL: structs (x, n) with the cells' code added."""
-    return f"transform({signed}, e -> named_struct('x', e.x, 'n', e.n, 'c', {code('e.x', salt)}))"
 
+def combined(entries_: str) -> str:
+    """SQL: entries added up by cell, without empty cells."""
+    starts = "filter(sequence(1, size(es)), i -> i = 1 or es[i - 1].c != es[greatest(i - 2, 0)].c)"
+    run = "slice(es, st, m)"
+    added = f"named_struct('c', es[st - 1].c, 'n', aggregate({run}, 0, (a, e) -> a + e.n), 'x', aggregate({run}, 0L, (a, e) -> a ^ e.x))"
+    one = let("m", "coalesce(get(starts, k + 1), size(es) + 1) - st", f"if(m = 1, es[st - 1], {added})")
+    cells = let("starts", starts, f"filter(transform(starts, (st, k) -> {one}), c -> c.n != 0 or c.x != 0L)")
+    return let("es", f"sort_array({entries_})", f"if(size(es) = 0, es, {cells})")
 
-def cells(entries_: str) -> str:
-    """SQL: the 48 cells (n, x) of entries (x, n, c)."""
-    one = "named_struct('n', aggregate(f, 0, (a, e) -> a + e.n), 'x', aggregate(f, 0L, (a, e) -> a ^ e.x))"
-    return let("es", entries_, "flatten(transform(array(0, 4, 8, 12), s -> transform(sequence(0, 11), j -> " + let("f", "filter(es, e -> (shiftright(e.c, s) & 15) = j)", one) + ")))")
 
+def sketch(xs: str, s: str, salt: int = 0) -> str:
+    """SQL: struct (s, n, cells) of an array of distinct digests."""
+    return f"named_struct('s', {s}, 'n', size({xs}), 'cells', {combined(entries(xs, 1, s, salt))})"
 
-def sketch(digests_: str, salt: int = 0) -> str:
-    """SQL: the sketch of an array of digests."""
-    return cells(entries(f"transform({digests_}, x -> named_struct('x', x, 'n', 1))", salt))
 
+def negated(cells: str) -> str:
+    return f"transform({cells}, e -> named_struct('c', e.c, 'n', -e.n, 'x', e.x))"
 
-def subtract(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (a, b) -> named_struct('n', a.n - b.n, 'x', a.x ^ b.x))"
 
+def peel(cells: str, s: str, salt: int = 0) -> str:
+    """SQL: struct (cells, plus, minus): the cells left after peeling, and the digests recovered by sign.
 
-def peel(difference: str, salt: int = 0) -> str:
-    """SQL: struct (cells, got): what is left after peeling, and the digests recovered, as (x, n)."""
-    pure = "array_distinct(filter(s.cells, c -> abs(c.n) = 1 and (c.x & 65535) = (hash(shiftrightunsigned(c.x, 16)) & 65535)))"
-    cell = "element_at(s.cells, 3 * t + j + 1)"
-    taken = f"named_struct('n', {cell}.n - aggregate(f, 0, (a, e) -> a + e.n), 'x', {cell}.x ^ aggregate(f, 0L, (a, e) -> a ^ e.x))"
-    each = let("f", "filter(es, e -> (shiftright(e.c, t) & 15) = j)", f"if(size(f) = 0, {cell}, {taken})")
-    removed = let("es", entries("pure", salt), f"flatten(transform(array(0, 4, 8, 12), t -> transform(sequence(0, 11), j -> {each})))")
-    state = "named_struct('cells', {}, 'got', {}, 'stop', {})".format
-    step = let("pure", pure, f"if(size(pure) = 0, {state('s.cells', 's.got', 'true')}, {state(removed, 'concat(s.got, pure)', 'false')})")
-    start = state(difference, "cast(array() as array<struct<n: int, x: bigint>>)", "false")
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, k) -> if(s.stop, s, {step}))"
+    A digest and a table are one number, 4 * digest + table. Cells that hold one digest go as they are, and only
+    those that the digest has beside them are settled by sorting."""
+    place = cell("c.x", "c.c % 3", s, salt)
+    single = f"abs(c.n) = 1 and (c.x & 65535) = (hash(shiftright(c.x, 16)) & 65535) and c.c = {place}"
+    split = f"transform(s_.cells, c -> named_struct('pure', {single}, 'c', c))"
+    at = lambda n: f"transform(filter(split, e -> e.pure and e.c.n = {n}), e -> 4 * e.c.x + e.c.c % 3)"
+    of = lambda keys: f"array_distinct(transform({keys}, k -> shiftright(k, 2)))"
+    beside = lambda xs, keys, n: f"transform(array_except(flatten(transform({xs}, x -> array(4 * x, 4 * x + 1, 4 * x + 2))), {keys}), k -> named_struct('c', {cell('shiftright(k, 2)', 'k % 4', s, salt)}, 'n', {n}, 'x', shiftright(k, 2)))"
+    state = "named_struct('cells', {}, 'plus', {}, 'minus', {}, 'stop', {})".format
+    rest = combined(f"concat(transform(filter(split, e -> not e.pure), e -> e.c), {beside('plus', 'ups', -1)}, {beside('minus', 'downs', 1)})")
+    taken = let("plus", of("ups"), let("minus", of("downs"), state(rest, "concat(s_.plus, plus)", "concat(s_.minus, minus)", "size(plus) + size(minus) = 0")))
+    step = let("split", split, let("ups", at(1), let("downs", at(-1), taken)))
+    none = "cast(array() as array<bigint>)"
+    return f"aggregate(sequence(1, {ROUNDS}), {state(cells, none, none, 'false')}, (s_, k_) -> if(s_.stop or size(s_.cells) = 0, s_, {step}))"
 
 
 def outcome(peeled: str) -> str:
-    """SQL: how many digests differ; null if peeling got stuck."""
-    return let("r", peeled, "if(forall(r.cells, c -> c.n = 0 and c.x = 0), size(r.got), cast(null as int))")
-
-
-def retry(a: str, b: str, per_part: int, salt: int) -> str:
-    """SQL: the outcome with the digests split into parts of about ``per_part``, a sketch for each.
-
-    As subtraction is linear, the difference's cells are made at once from both sets with signs."""
-    parts = f"greatest(1, (size({a}) + size({b})) div {per_part})"
-    signed = lambda of, n: f"transform({of}, x -> named_struct('p', pmod(xxhash64(x, {salt + 1}L), {parts}), 'x', x, 'n', {n}))"
-    starts = "filter(sequence(0, size(all) - 1), i -> i = 0 or all[i].p != all[greatest(i - 1, 0)].p)"
-    block = "slice(all, st + 1, coalesce(try_element_at(starts, k + 2), size(all)) - st)"
-    by_part = f"transform(starts, (st, k) -> {outcome(peel(cells(entries(block, salt)), salt))})"
-    joined = let("starts", starts, f"aggregate({by_part}, 0, (t, d) -> t + d)")
-    return let("all", f"array_sort(concat({signed(a, 1)}, {signed(b, -1)}))", f"if(size(all) = 0, 0, {joined})")
-
-
-def with_likeness(rows: DataFrame, name: str, a: str, b: str, sketch_a: str, sketch_b: str) -> DataFrame:
-    """Add the likeness of two versions, from digest columns ``a`` and ``b`` and their sketch columns."""
-    diff = f"__{name}_diff"
-    rows = rows.withColumn(diff, F.expr(outcome(peel(subtract(sketch_a, sketch_b)))))
-    for k, per_part in enumerate(PARTS):
-        rows = rows.withColumn(diff, F.expr(f"coalesce({diff}, {retry(a, b, per_part, SALT * (k + 1))})"))
-    rows = rows.withColumn(diff, F.expr(f"coalesce({diff}, size(array_except({a}, {b})) + size(array_except({b}, {a})))"))
-    return rows.withColumn(name, F.expr(f"coalesce(1 - try_divide(cast({diff} as double), size({a}) + size({b})), 1D)")).drop(diff)
-
-
-def as_text(cells_: str) -> str:
-    return f"array_join(transform({cells_}, c -> concat(hex(c.n), ':', hex(c.x))), ',')"
-
-
-def _bucket(docs: DataFrame, rows_per_bucket: int) -> str:
-    """SQL: the number of a bucket of neighbouring ids, growing with the id; -1 for a null id.
-
-    Bounds are approximate quantiles, 65,536 at most; a row looks up the bounds of its stretch of ids only."""
-    n, low, high = docs.agg(F.count("__id"), F.min("__id"), F.max("__id")).first()
-    buckets = min(65_536, n // rows_per_bucket)
-    if buckets < 2:
-        return "if(__id is null, -1, 0)"
-    shares = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(docs.agg(F.percentile_approx("__id", shares, max(10_000, 10 * buckets))).first()[0]))
-    literal = lambda xs: f"cast(split('{','.join(map(str, xs))}', ',') as array<bigint>)"
-    m = len(bounds)
-    width = (high - low) // m + 1
-    if high - low >= 1 << 62:  # differences of such ids don't fit a long
-        return f"if(__id is null, -1, size(filter({literal(bounds)}, x -> x <= __id)))"
-    starts = [bisect_left(bounds, low + c * width) for c in range(m + 1)]
-    cell = f"cast((__id - {low}L) div {width}L as int)"
-    count = f"{literal(starts)}[{cell} + 1] - {literal(starts)}[{cell}]"
-    return f"if(__id is null, -1, cast({literal(starts)}[{cell}] + size(filter(slice({literal(bounds)}, cast({literal(starts)}[{cell}] as int) + 1, cast({count} as int)), x -> x <= __id)) as int))"
-
-
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rows_per_bucket: int = 1000) -> DataFrame:
-    """__id, __text, __digests of every row, and __next_text, __next_digests of the next one by descending id."""
-    keyed = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    keyed = keyed.withColumn("__bucket", F.expr(_bucket(keyed.select("__id"), rows_per_bucket)))
-    tops = keyed.groupBy("__bucket").agg(F.max("__id").alias("__top"))  # a row per bucket
-    w = Window.orderBy("__bucket")
-    tops = tops.select(F.col("__bucket").alias("__from"), "__top", F.coalesce(F.lead("__bucket").over(w), F.first("__bucket").over(w)).alias("__to"))
-    ends = keyed.join(F.broadcast(tops), (F.col("__bucket") == F.col("__from")) & F.col("__id").eqNullSafe(F.col("__top")))
-    ends = ends.select("__id", "__text", F.col("__to").alias("__bucket"), F.lit(True).alias("__end"))
-    rows = keyed.withColumn("__end", F.lit(False)).unionByName(ends).withColumn("__digests", F.expr(digests("__text")))
-    w = Window.partitionBy("__bucket").orderBy("__end", F.col("__id").desc_nulls_last(), "__text")
-    rows = rows.withColumn("__next_text", F.lead("__text").over(w)).withColumn("__next_digests", F.lead("__digests").over(w))
-    return rows.filter("not __end").drop("__end", "__bucket")
+    """SQL: how many digests were recovered; null if peeling got stuck."""
+    return let("r", peeled, "if(size(r.cells) = 0, size(r.plus) + size(r.minus), cast(null as int))")
+
+
+def recovered(of: str) -> str:
+    """SQL: the digests of a sketch by itself; null if peeling gets stuck."""
+    return let("r", peel(f"{of}.cells", f"{of}.s"), "if(size(r.cells) = 0, r.plus, cast(null as array<bigint>))")
+
+
+def with_sketch(rows: DataFrame, xs: str, into: str) -> DataFrame:
+    """Add the sketch of the digests ``xs``, of the first size at which it can be peeled, and as ``into``_xs what it is peeled into."""
+    least = f"shiftleft(1, length(bin(greatest(size({xs}), {LEAST}) - 1)))"
+    rows = rows.withColumn(into, F.expr(sketch(xs, least))).withColumn(f"{into}_xs", F.expr(recovered(into)))
+    for _ in range(TRIES):
+        rows = rows.withColumn(into, F.expr(f"if({into}_xs is null, {sketch(xs, f'2 * {into}.s')}, {into})"))
+        rows = rows.withColumn(f"{into}_xs", F.expr(f"coalesce({into}_xs, {recovered(into)})"))
+    return rows
+
+
+def with_likeness(rows: DataFrame, name: str, a: str, b: str, b_cells: bool = True) -> DataFrame:
+    """Add the likeness of two versions, from their sketches ``a`` and ``b`` and what these are peeled into.
+
+    Without ``b_cells`` the cells of ``b`` are made again from its digests."""
+    diff, xs, ys = f"__{name}_diff", f"{a}_xs", f"{b}_xs"
+    s = f"greatest({a}.s, {b}.s)"
+    one = f"if({a}.s = {s}, {a}.cells, {entries(xs, 1, s)})"
+    two = entries(ys, -1, s)
+    if b_cells:
+        two = f"if({b}.s = {s}, {negated(f'{b}.cells')}, {two})"
+    rows = rows.withColumn(diff, F.expr(outcome(peel(combined(f"concat({one}, {two})"), s))))
+    for k in range(1, TRIES + 1):
+        more = f"shiftleft({s}, {k})"
+        again = outcome(peel(combined(f"concat({entries(xs, 1, more, SALT * k)}, {entries(ys, -1, more, SALT * k)})"), more, SALT * k))
+        rows = rows.withColumn(diff, F.expr(f"coalesce({diff}, {again})"))
+    # sketches that can't be read at all are taken to share nothing
+    share = f"try_divide(cast(coalesce({diff}, {a}.n + {b}.n) as double), {a}.n + {b}.n)"
+    return rows.withColumn(name, F.expr(f"coalesce(1 - {share}, 1D)")).drop(diff)
+
+
+def as_text(of: str) -> str:
+    """SQL: a sketch as a string."""
+    return f"concat(hex({of}.s), ';', hex({of}.n), ';', array_join(transform({of}.cells, c -> concat(hex(c.c), ':', hex(c.n), ':', hex(c.x))), ','))"
+
+
+def neighbours(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(__of_id, __of_h): each document, and the document before it with the number of code points that it takes;
+    and the table that is to be dropped when this has been read."""
+    ranked = saved(with_rank(keyed.select("__id", "__h", F.length("__text").alias("__chars")).distinct(), F.col("__id").desc_nulls_last(), F.col("__h")), "order")
+    n = max(1, ranked.count())
+    before = ranked.select((F.col("rank") % n + 1).alias("rank"), F.col("__id").alias("__to_id"), F.col("__h").alias("__to_h"), F.expr("__chars div 3").cast("int").alias("__take"))
+    return ranked.join(before, "rank").select(F.col("__id").alias("__of_id"), F.col("__h").alias("__of_h"), "__to_id", "__to_h", "__take"), ranked
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """__id, __text, __sketch and __sketch_xs of every row, and of the next document the beginning that this one takes (__begin),
+    its sketch's sizes (__next) and what that is peeled into (__next_xs)."""
+    keyed = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumn("__h", F.xxhash64("__text"))
+    pairs, _ = neighbours(keyed)
+    given = keyed.join(pairs, F.col("__id").eqNullSafe(F.col("__of_id")) & (F.col("__h") == F.col("__of_h")))
+    given = given.select("__to_id", "__to_h", F.expr("substring(__text, 1, __take)").alias("__begin"), F.expr(digests("__text")).alias("__xs"))
+    given = with_sketch(given, "__xs", "__next").withColumn("__next", F.struct("__next.s", "__next.n")).drop("__xs")
+    given = given.dropDuplicates(["__to_id", "__to_h"])
+    rows = keyed.join(given, F.col("__id").eqNullSafe(F.col("__to_id")) & (F.col("__h") == F.col("__to_h"))).drop("__to_id", "__to_h", "__h")
+    return with_sketch(rows.withColumn("__xs", F.expr(digests("__text"))), "__xs", "__sketch").drop("__xs")
 
 
 def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,20 +170,17 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The edited text is the text whose last third is replaced by as much of the next one's beginning."""
     rows = with_next(docs, id_col, text_col).withColumn("n_chars", F.length("__text").cast("long"))
-    edited = "concat(substring(__text, 1, cast(n_chars - n_chars div 3 as int)), substring(__next_text, 1, cast(n_chars div 3 as int)))"
-    rows = rows.withColumn("__edited", F.expr(edited))
-    rows = rows.withColumn("edited_sha256", F.sha2("__edited", 256)).withColumn("__edited_digests", F.expr(digests("__edited")))
-    rows = rows.drop("__text", "__next_text", "__edited")
-    for name in ("digests", "edited_digests", "next_digests"):
-        rows = rows.withColumn(f"__{name}_sketch", F.expr(sketch(f"__{name}")))
-    rows = with_likeness(rows, "near_edited", "__digests", "__edited_digests", "__digests_sketch", "__edited_digests_sketch")
-    rows = with_likeness(rows, "near_next", "__digests", "__next_digests", "__digests_sketch", "__next_digests_sketch")
+    rows = rows.withColumn("__edited", F.expr("concat(substring(__text, 1, cast(n_chars - n_chars div 3 as int)), __begin)")).drop("__text", "__begin")
+    rows = rows.withColumn("edited_sha256", F.sha2("__edited", 256)).withColumn("__xs", F.expr(digests("__edited"))).drop("__edited")
+    rows = with_sketch(rows, "__xs", "__changed").drop("__xs")
+    rows = with_likeness(rows, "near_edited", "__sketch", "__changed")
+    rows = with_likeness(rows, "near_next", "__sketch", "__next", b_cells=False)
     return rows.select(
         F.col("__id").alias("doc_id"),
         "n_chars",
         "edited_sha256",
-        F.expr(as_text("__digests_sketch")).alias("fingerprint"),
-        F.expr(as_text("__edited_digests_sketch")).alias("edited_fingerprint"),
+        F.expr(as_text("__sketch")).alias("fingerprint"),
+        F.expr(as_text("__changed")).alias("edited_fingerprint"),
         "near_edited",
         "near_next",
     )

@@ -8,7 +8,8 @@ import random
 import cases
 import numpy as np
 import pytest
-from brute import components, contaminated, fingerprint, likeness, repeats
+import xxhash
+from brute import _murmur, components, contaminated, fingerprint, likeness, place, read_sketch, repeats, similar_components, sketch, sketch_likeness
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -16,29 +17,66 @@ from loomwork.llm import fingerprints, mixing, quality, simhash, suffix
 from loomwork.llm.windows import cuts, sliding
 
 
-def by_next(rows: list[tuple]) -> list[tuple]:
-    """(id, text, next text) in the operator's order."""
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
-    return [(i, t or "", order[(k + 1) % len(order)][1] or "") for k, (i, t) in enumerate(order)]
+def by_next(rows: list[tuple]) -> dict[tuple, str]:
+    """(id, text) to the next text, in the operator's order."""
+    tie = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) - ((1 << 64) if xxhash.xxh64_intdigest(t.encode(), 42) >> 63 else 0)
+    order = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1])))
+    return {key: order[(k + 1) % len(order)][1] for k, key in enumerate(order)}
 
 
-@pytest.mark.parametrize("per_bucket", [1000, 3])
-def test_sketches_match_brute_force(spark, per_bucket, monkeypatch):
-    real = fingerprints.with_next
-    monkeypatch.setattr(fingerprints, "with_next", lambda *a: real(*a, rows_per_bucket=per_bucket))
-    rows = [(r[0], r[1]) for r in cases.rows()] + [(7, cases.texts()[1]), (None, "null id"), (None, None)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = sorted(map(tuple, fingerprints.fingerprinted(docs).drop("fingerprint", "edited_fingerprint").collect()), key=repr)
+def sketched_rows() -> list[tuple]:
+    rng = random.Random(17)
+    lines = [cases.sentence(rng, rng.randint(1, 40)) + rng.choice(["", ".", "?!", "..."]) for _ in range(60)]
+    more = ["\n".join(rng.sample(lines, k)) for k in (1, 2, 5, 17, 18, 33, 60, 60)] + [cases.sentence(rng, 9).replace(" ", ". ") * 40, "ß." * 300, "😀" * 500]
+    rows = [(r[0], r[1]) for r in cases.rows(more)]
+    return [*rows, rows[3], rows[3], (7, cases.texts()[1]), (None, "null id"), (None, "null id"), (None, None), (None, "another")]
+
+
+def test_sketches_match_brute_force(spark):
+    rows = sketched_rows()
+    after = by_next(rows)
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, rank int, s string").repartition(3)
+    got = sorted(map(tuple, fingerprints.fingerprinted(docs).collect()), key=repr)
     want = []
-    for i, t, n in by_next(rows):
+    for i, t in rows:
+        t, n = t or "", after[i, t or ""]
         k = len(t) // 3
         e = t[: len(t) - k] + n[:k]
-        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), pytest.approx(likeness(t, e)), pytest.approx(likeness(t, n))))
-    assert got == sorted(want, key=lambda w: repr((*w[:3], likeness_of(w, 3), likeness_of(w, 4))))
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), sketch(t), sketch(e), pytest.approx(likeness(t, e)), pytest.approx(likeness(t, n))))
+    read = [(*r[:3], read_sketch(r[3]), read_sketch(r[4]), *r[5:]) for r in got]
+    assert len(read) == len(want)
+    by = lambda r: repr((*r[:3], sorted(r[3][2].items())))
+    for g, w in zip(sorted(read, key=by), sorted(want, key=by)):
+        assert g == w
 
 
-def likeness_of(row: tuple, k: int) -> float:
-    return row[k].expected
+def test_likeness_is_that_of_the_returned_fingerprints(spark):
+    rows = sketched_rows()
+    after = by_next(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = fingerprints.fingerprinted(docs).collect()
+    # equal texts have equal fingerprints, so that of any row with the next text will do
+    of_text = {tuple(sorted(sketch(t or "")[2].items())): t or "" for _, t in rows}
+    own = {}
+    for r in got:
+        own[of_text[tuple(sorted(read_sketch(r["fingerprint"])[2].items()))]] = r["fingerprint"]
+    assert len(own) == len({t or "" for _, t in rows if t != ""} | {""}) or len(own) == len(set(of_text.values()))
+    for r in got:
+        text = of_text[tuple(sorted(read_sketch(r["fingerprint"])[2].items()))]
+        assert r["near_edited"] == pytest.approx(sketch_likeness(r["fingerprint"], r["edited_fingerprint"]))
+        nexts = {n for (i, t), n in after.items() if i == r["doc_id"] and own[of_text[tuple(sorted(sketch(t)[2].items()))]] == own[text]}
+        assert any(r["near_next"] == pytest.approx(sketch_likeness(r["fingerprint"], own[of_text[tuple(sorted(sketch(n)[2].items()))]])) for n in nexts)
+
+
+def test_likeness_follows_the_shared_part(spark):
+    """What two texts share counts alike wherever it stands."""
+    rng = random.Random(3)
+    head, tail = cases.sentence(rng, 60)[:256], cases.sentence(rng, 400)
+    other_head, other_tail = cases.sentence(rng, 60)[:256], cases.sentence(rng, 400)
+    pairs = [(head + "\n" + tail, head + "\n" + other_tail), (head + "\n" + tail, other_head + "\n" + tail)]
+    docs = spark.createDataFrame([(2 * k + j, t) for k, pair in enumerate(pairs) for j, t in enumerate(pair)], "doc_id bigint, text string")
+    near = {r["doc_id"]: r["near_next"] for r in fingerprints.fingerprinted(docs).collect()}
+    assert near[1] < 0.25 and near[3] > 0.75
 
 
 def test_equal_texts_have_equal_sketches(spark):
@@ -48,18 +86,31 @@ def test_equal_texts_have_equal_sketches(spark):
         by.setdefault(r["text"] or "", set()).add(r["fingerprint"])
     assert all(len(v) == 1 for v in by.values())
     assert fingerprints.fingerprinted(cases.empty(spark)).count() == 0
+    one = fingerprints.fingerprinted(docs.filter("text = 'a'").limit(1)).first()
+    assert (one["near_edited"], one["near_next"]) == (1.0, 1.0)
 
 
 def test_peeling_recovers_digests_and_tells_failure(spark):
-    few = "transform(sequence(1, 9), i -> shiftleft(i, 16) | cast(hash(cast(i as bigint)) & 65535 as bigint))"
-    many = few.replace("9", "300")
+    of = lambda n: f"transform(sequence(1L, {n}L), i -> shiftleft(i, 16) | cast(hash(cast(i as bigint)) & 65535 as bigint))"
     row = spark.range(1).select(
-        F.expr(fingerprints.outcome(fingerprints.peel(fingerprints.sketch(few)))).alias("few"),
-        F.expr(fingerprints.outcome(fingerprints.peel(fingerprints.sketch(many)))).alias("many"),
-        F.expr(f"array_sort(transform({fingerprints.peel(fingerprints.sketch(few))}.got, g -> g.x)) = array_sort({few})").alias("same"),
-        F.expr(fingerprints.retry(many, few, 8, 1)).alias("larger"),
+        F.expr(fingerprints.outcome(fingerprints.peel(fingerprints.let("sk", fingerprints.sketch(of(9), "16"), "sk.cells"), "16"))).alias("few"),
+        F.expr(fingerprints.outcome(fingerprints.peel(fingerprints.let("sk", fingerprints.sketch(of(300), "16"), "sk.cells"), "16"))).alias("many"),
+        F.expr(f"array_sort({fingerprints.let('sk', fingerprints.sketch(of(900), '1024'), fingerprints.recovered('sk'))}) = array_sort({of(900)})").alias("same"),
     ).first()
-    assert (row["few"], row["many"], row["same"], row["larger"]) == (9, None, True, 291)
+    assert (row["few"], row["many"], row["same"]) == (9, None, True)
+
+
+def test_sketches_too_small_are_made_larger(spark):
+    """Digests that share all their cells at the first size."""
+    tables = {}
+    for i in range(200_000):
+        x = i << 16 | _murmur(i) & 65535
+        other = tables.setdefault(tuple(place(x, t, 16) for t in range(3)), x)
+        if other != x:
+            break
+    pair = f"array({other}L, {x}L)"
+    made = fingerprints.with_sketch(spark.range(1).select(F.expr(pair).alias("xs")), "xs", "sk").select("sk.s", F.expr(fingerprints.recovered("sk")).alias("got")).first()
+    assert made["s"] > 16 and set(made["got"]) == {x, other}
 
 
 def test_sketches_are_native(spark):
@@ -148,23 +199,25 @@ def expected_pipeline(spark, sf_dir):
     """The stages' rules, one document at a time, given the quality scores and the draws of the mixture."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = sorted((r["doc_id"], r["text"], r["source"]) for r in docs.collect())
-    rows = [r for r, s in zip(rows, model.score(quality.matrix([t for _, t, _ in rows]))) if s >= 0.5]
-    first = components([fingerprint(t) for _, t, _ in rows])
+    rows = sorted((r.asDict() for r in docs.collect()), key=lambda r: r["doc_id"])
+    rows = [r for r, s in zip(rows, model.score(quality.matrix([r["text"] for r in rows]))) if s >= 0.5]
+    first = similar_components([r["text"] for r in rows])
     rows = [r for k, r in enumerate(rows) if first[k] == k]
-    kept = repeats([t for _, t, _ in rows])
-    rows = [(i, k[4].decode("utf-8", "ignore"), s) for (i, _, s), k in zip(rows, kept) if k[1] == 0 or k[4].decode("utf-8", "ignore")]
-    items = [(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    return [r for r in rows if not contaminated(r[1], items)[4]]
+    out, items = [], [(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    for r, (_, removed, _, _, kept) in zip(rows, repeats([r["text"] for r in rows])):
+        text = kept.decode("utf-8", "ignore")
+        if (text or not removed) and not contaminated(text, items)[4]:
+            out.append(r | {"text": text, "n_chars": len(text)})
+    return out
 
 
 def test_pipeline_matches_brute_force(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     want = expected_pipeline(spark, sf_dir)
-    frame = spark.createDataFrame(want, "doc_id bigint, text string, source string")
-    copies = {r["doc_id"]: r["copies"] for r in mixing.counts(frame).collect()}
+    copies = {r["doc_id"]: r["copies"] for r in mixing.counts(spark.createDataFrame([[r[c] for c in schema.names] for r in want], schema)).collect()}
     got = corpus_pipeline.run(spark, sf_dir)
-    assert set(spark.read.parquet(f"{sf_dir}/documents.parquet").columns) <= set(got.columns)
-    assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in got.collect()) == sorted((i, t, len(t)) for i, t, _ in want for _ in range(copies[i]))
+    assert set(schema.names) <= set(got.columns)
+    assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in got.collect()) == sorted((r["doc_id"], r["text"], r["n_chars"]) for r in want for _ in range(copies[r["doc_id"]]))
 
 
 @pytest.mark.parametrize("stage", range(5))

@@ -24,7 +24,7 @@ SIGNED_NUMBER = r"[-+]?[0-9]+(?:\.[0-9]+)?"
 NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
 BIN8 = r"\b[01]{8}\b"
 ROMAN = r"\b[IVXLCDM]+\b"
-ANSWER_LINE = "(?dim)(?:final answer|answer|result|therefore|thus)\\s*[:\uff1a]\\s*(.+)$"
+ANSWER_LINE = "(?dim)(?:final answer|answer|result|therefore|thus)\\s*[:：]\\s*(.+)$"
 SHORT_LINE = 120
 
 
@@ -101,7 +101,7 @@ def with_prediction(df: DataFrame, text_col: str, task_col: str) -> DataFrame:
 
 
 def think_split(text: Column) -> Column:
-    """struct(thinking, answer): what stands in <think> tags, and the rest without tags."""
-    thinking = F.array_join(t.matches(text, r"(?s)<think>(.*?)</think>", 1), "")
-    answer = F.replace(F.replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), F.lit("<think>"), F.lit("")), F.lit("</think>"), F.lit(""))
+    """struct(thinking, answer): what stands behind <think>, up to </think> or the end, and the rest; tags go."""
+    thinking = F.replace(F.array_join(t.matches(text, r"(?s)<think>(.*?)(?:</think>|\z)", 1), ""), F.lit("<think>"), F.lit(""))
+    answer = F.replace(F.regexp_replace(text, r"(?s)<think>.*?(?:</think>|\z)", ""), F.lit("</think>"), F.lit(""))
     return F.struct(thinking.alias("thinking"), answer.alias("answer"))

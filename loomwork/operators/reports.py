@@ -164,3 +164,12 @@ def sample_picks(first_model: DataFrame, ordinal: str, k: int, task: str = "task
     picked = by_task.select(task, F.when(F.col("wrong").isNotNull(), 0).otherwise(1).alias("__late"), F.coalesce("wrong", "first").alias("row"))
     order = [F.col("__late"), F.when(F.col("__late") == 0, F.col(task)), F.col(f"row.{ordinal}")]
     return picked.orderBy(*order).limit(k).select(task, F.col(f"row.{id_col}").alias(id_col))
+
+
+def length_stats(df: DataFrame, text_col: str, by: str) -> DataFrame:
+    """Of the lengths of texts, in code points and in words, by group: rows, mean, median, 95th percentile and longest.
+
+    Percentiles are exact; Spark counts distinct lengths for them, of which there are few."""
+    measured = df.select(by, F.length(F.coalesce(text_col, F.lit(""))).alias("chars"), t.word_count(F.col(text_col)).alias("words"))
+    of = lambda c: [F.avg(c).alias(f"mean_{c}"), F.percentile(c, 0.5).alias(f"median_{c}"), F.percentile(c, 0.95).alias(f"p95_{c}"), F.max(c).cast("long").alias(f"most_{c}")]
+    return measured.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *of("chars"), *of("words"))

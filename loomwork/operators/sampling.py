@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.storage import with_rank
+from loomwork.storage import few, with_rank
 
 
 def shuffle_key(id_col: Column, seed: int) -> Column:
@@ -30,10 +30,10 @@ def split(df: DataFrame, id_col: str, seed: int, fraction: float, minimum: int =
 
 
 def quotas(df: DataFrame, stratum: str, total: int) -> DataFrame:
-    """(stratum, quota): total // strata each, one more for the first total % strata by name. A row per stratum."""
-    names = [r[0] for r in df.select(stratum).distinct().orderBy(stratum).collect()]
-    share, extra = divmod(total, max(1, len(names)))
-    return df.sparkSession.createDataFrame([(x, share + (i < extra)) for i, x in enumerate(names)], f"__stratum {dict(df.dtypes)[stratum]}, __quota int")
+    """(stratum, quota): total // strata each, one more for the first total % strata by name. A row per stratum, made without the driver."""
+    names = with_rank(df.select(F.col(stratum).alias("__stratum")).distinct(), F.col("__stratum"))
+    share, extra = divmod(total, max(1, names.count()))
+    return names.select("__stratum", (F.lit(share) + (F.col("rank") <= extra).cast("int")).cast("int").alias("__quota"))
 
 
 def _first_of_strata(df: DataFrame, stratum: str, order: list[Column], most: int) -> DataFrame:
@@ -46,7 +46,7 @@ def stratified(df: DataFrame, stratum: str, id_col: str, total: int, seed: int)
     wanted = quotas(df, stratum, total)
     most = wanted.agg(F.max("__quota")).first()[0] or 0
     first = _first_of_strata(df, stratum, [shuffle_key(F.col(id_col), seed), F.col(id_col)], most)
-    return first.join(F.broadcast(wanted), F.col(stratum) == F.col("__stratum")).filter("__n <= __quota").drop("__n", "__stratum", "__quota")
+    return first.join(few(wanted), F.col(stratum).eqNullSafe(F.col("__stratum"))).filter("__n <= __quota").drop("__n", "__stratum", "__quota")
 
 
 def balanced_head(df: DataFrame, stratum: str, position: str, total: int) -> DataFrame:
@@ -54,7 +54,7 @@ def balanced_head(df: DataFrame, stratum: str, position: str, total: int) -> Dat
     wanted = quotas(df, stratum, total)
     most = wanted.agg(F.max("__quota")).first()[0] or 0
     first = _first_of_strata(df, stratum, [F.col(position)], most)
-    return first.join(F.broadcast(wanted), F.col(stratum) == F.col("__stratum")).filter("__n <= __quota").drop("__n", "__stratum", "__quota")
+    return first.join(few(wanted), F.col(stratum).eqNullSafe(F.col("__stratum"))).filter("__n <= __quota").drop("__n", "__stratum", "__quota")
 
 
 def round_robin(df: DataFrame, stratum: str, id_col: str, total: int, seed: int) -> DataFrame:

@@ -61,7 +61,8 @@ SELECT concat('s', CAST(s AS STRING)) AS id,
     WHEN 3 THEN concat(why, ' ', chr(92), 'boxed', chr(123), pred, chr(125), ' end')
     WHEN 4 THEN concat(chr(92), 'boxed', chr(123), '1', chr(125), ' then ', chr(92), 'boxed', chr(123), 'x', chr(123), pred, chr(125), 'y', chr(125))
     WHEN 5 THEN concat(why, chr(10), 'Final answer : ', pred, chr(10), 'done')
-    WHEN 6 THEN concat('<think>', why, '</think>', pred)
+    WHEN 6 THEN CASE n % 5 WHEN 0 THEN concat('<think>', why, ' ', pred) WHEN 1 THEN concat('<think>a<think>', why, '</think>', pred, '</think>')
+      WHEN 2 THEN concat('x<think>', why, '</think>', pred, '<think>more</think> <think>') ELSE concat('<think>', why, '</think>', pred) END
     WHEN 7 THEN concat(why, chr(10), chr(96), pred, chr(96), chr(10))
     WHEN 8 THEN ''
     WHEN 9 THEN concat('  ', pred, '  ', chr(10), chr(10), ' ')

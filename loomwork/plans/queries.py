@@ -14,6 +14,7 @@ from loomwork.operators import filters, relational, reports, sampling
 from loomwork.plans import derived
 from loomwork.sources import readers, writers
 from loomwork.storage import fresh_path, saved, table, with_rank
+from loomwork.streaming import resume
 
 CONFIG = Settings()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,10 +82,14 @@ def a4_jsonl_tolerant(spark, sf_dir):
 def a5_jsonl_alias(spark, sf_dir):
     e = F.col("event_id")
     pair = F.concat(F.lit('{"id": '), F.when(e % 3 == 0, "null").otherwise(F.concat(F.lit('"j'), e.cast("string"), F.lit('"'))))
-    ask = F.when(e % 4 == 0, ', "prompt": "", "question": " roman numeral "').when(e % 4 == 1, ', "user": "u"').when(e % 4 == 2, ', "prompt": "p", "question": "q"').otherwise(', "prompt": null')
-    say = F.when(e % 5 == 0, ', "answer": 0, "output": 7').when(e % 5 == 1, ', "target": "t "').otherwise(', "answer": "a"')
-    lines = table(spark, sf_dir, "events").select(F.concat(pair, ask, say, F.lit("}")).alias("value"), e.alias("line"))
-    return readers.aliased_samples(lines)
+    ask = F.when(e % 4 == 0, ', "prompt": "", "question": " roman numeral "').when(e % 4 == 1, ', "prompt": false, "user": "u"').when(e % 4 == 2, ', "prompt": "p", "question": "q"').otherwise(', "prompt": null')
+    say = F.when(e % 7 == 0, ', "answer": 0, "output": 7').when(e % 7 == 1, ', "answer": 0.0, "target": "t "').when(e % 7 == 2, ', "answer": "0"').when(e % 7 == 3, ', "answer": "false"')
+    say = say.when(e % 7 == 4, ', "answer": [], "output": true').when(e % 7 == 5, ', "answer": {}, "target": 2.50').otherwise(', "answer": "a"')
+    path = fresh_path(spark, "aliases")
+    # a file in the order of the ids, with a blank line behind each row
+    lines = table(spark, sf_dir, "events").select(F.concat(pair, ask, say, F.lit("}\n")).alias("value"), e.alias("event_id"))
+    lines.coalesce(1).sortWithinPartitions("event_id").select("value").write.text(path)
+    return readers.read_samples(spark, path)
 
 
 @query
@@ -110,7 +115,7 @@ def a7_append_sink(spark, sf_dir):
 @query
 def a8_ordered_sink(spark, sf_dir):
     path = fresh_path(spark, "ordered")
-    rows = responses(spark, sf_dir).filter("model = 'dune'").select("id", "gold", F.col("n").alias("ordinal"))
+    rows = responses(spark, sf_dir).select(F.concat_ws("/", "id", "model").alias("id"), "gold", F.col("n").alias("ordinal"))
     writers.rewrite_jsonl(rows.filter("ordinal % 3 = 0").select("id", "ordinal"), rows, path)
     # the order within the files is the order of the rows
     back = spark.read.schema("id string, gold string, ordinal bigint").json(path).withColumn("at", F.monotonically_increasing_id()).withColumn("file", F.input_file_name())
@@ -349,14 +354,13 @@ def e1_resume(spark, sf_dir):
 
 @query
 def e2_prefer_new(spark, sf_dir):
-    rows = responses(spark, sf_dir).select("id", "model", "n")
-    return relational.prefer_new(rows.filter("n % 5 = 0"), rows.filter("n % 3 = 0"), "id", origin="origin")
+    new = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
+    return relational.prefer_new(new, documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "lang"), "id", origin="origin")
 
 
 @query
 def e3_overlap(spark, sf_dir):
-    rows = responses(spark, sf_dir)
-    return relational.overlap(rows.filter("n % 3 = 0"), rows.filter("n % 5 = 0")).agg(F.count(F.lit(1)).alias("n_overlap"))
+    return relational.overlap(documents(spark, sf_dir), table(spark, sf_dir, "labels"), "doc_id").agg(F.count(F.lit(1)).alias("n_overlap"))
 
 
 @query
@@ -386,14 +390,14 @@ def e7_with_sample(spark, sf_dir):
 
 @query
 def e8_summary_rows(spark, sf_dir):
-    rows = responses(spark, sf_dir)
-    return relational.overlap(rows.filter("n % 2 = 0").select("id").distinct(), rows.filter("n % 3 = 0"))
+    ids = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id")).distinct()
+    return relational.overlap(ids, table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id"))
 
 
 @query
 def e9_prior_rows(spark, sf_dir):
-    rows = responses(spark, sf_dir)
-    return relational.unfinished_ids(rows.filter("n % 3 = 0").select("id", "n"), rows.filter("n % 2 = 0"))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "turn")
+    return relational.unfinished_ids(turns, table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id"))
 
 
 # aggregations
@@ -560,7 +564,8 @@ def h3_stratified(spark, sf_dir):
 
 @query
 def h4_task_balanced(spark, sf_dir):
-    return sampling.round_robin(responses(spark, sf_dir).filter("model = 'dune'").select("id", "task_type"), "task_type", "id", CONFIG.sample_size, CONFIG.seed)
+    rows = responses(spark, sf_dir).select(F.concat_ws("/", "id", "model").alias("id"), "task_type")
+    return sampling.round_robin(rows, "task_type", "id", CONFIG.sample_size, CONFIG.seed)
 
 
 @query
@@ -605,9 +610,40 @@ def h11_upsert(spark, sf_dir):
     return relational.upsert(rows, new, ["id", "model"], "ordinal")
 
 
+# streams
+
+
+@query
+def s1_streaming_resume(spark, sf_dir):
+    """Every row of the log in its file of three; the second run finds ids that the first one has done."""
+    source, out, checkpoint = (fresh_path(spark, x) for x in ("arriving", "done", "stream"))
+    rows = responses(spark, sf_dir).select(F.concat_ws("/", "id", "model").alias("id"), "gold", "n")
+    process = lambda batch: batch.withColumn("batch", F.col("gold"))
+    for part in (F.col("n") % 3 > 0, F.lit(True)):
+        writers.append_jsonl(rows.filter(part), source)
+        resume.resume_stream(spark, source, "id string, gold string, n bigint", out, checkpoint, process, order_col="n").awaitTermination()
+    return spark.read.parquet(out).select("id", "gold", "n")
+
+
+@query
+def s2_streaming_progress(spark, sf_dir):
+    source, out, checkpoint = (fresh_path(spark, x) for x in ("arriving", "counts", "stream"))
+    saved_rows = scored(spark, sf_dir).select("task_type", "parse_success", "n")
+    saved_rows.write.parquet(source)
+    counts = resume.progress_stream(spark.readStream.schema(saved_rows.schema).parquet(source))
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(out)
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("task_type", "done", "parse_ok")
+
+
 # text of whole tables
 
 
+@query
+def f15_length_stats(spark, sf_dir):
+    return reports.length_stats(documents(spark, sf_dir), "text", "source")
+
+
 @query
 def messages_by_conversation(spark, sf_dir):
     turn = F.struct("turn", "role", F.length("text").alias("chars"))

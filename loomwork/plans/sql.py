@@ -12,7 +12,7 @@ QUALITY = derived.for_duckdb(derived.QUALITY_ROWS)
 
 BOXED = r"\\boxed\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"
 FLOAT = r"^(?i)[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf(?:inity)?|nan)$"
-LINE = "(?im)(?:final answer|answer|result|therefore|thus)\\s*[:\uff1a]\\s*(.+)$"
+LINE = "(?im)(?:final answer|answer|result|therefore|thus)\\s*[:：]\\s*(.+)$"
 NUMERIC = "('gravity', 'unit_conversion')"
 
 
@@ -119,11 +119,12 @@ ORACLES = {
       CASE WHEN task_type IS NOT NULL THEN lower({strip('task_type')}) WHEN contains(lower(p), 'roman numeral') THEN 'roman' WHEN contains(lower(p), 'gravitational') THEN 'gravity' ELSE '' END AS task_type, ordinal FROM ({_KEPT})""",
     "a3_jsonl_strict": f"SELECT id, model, raw, gen_time, n FROM {RESPONSES}",
     "a4_jsonl_tolerant": f"SELECT id, n FROM {RESPONSES} WHERE n % 5 > 2",
-    "a5_jsonl_alias": """SELECT CASE WHEN event_id % 3 = 0 THEN 'jsonl_' ELSE 'j' END || event_id AS sample_id, CASE event_id % 4 WHEN 0 THEN 'roman numeral' WHEN 1 THEN 'u' ELSE 'p' END AS prompt,
-      CASE event_id % 5 WHEN 0 THEN '7' WHEN 1 THEN 't' ELSE 'a' END AS answer, event_id AS line, CASE event_id % 4 WHEN 0 THEN 'roman' ELSE '' END AS task_type FROM events WHERE event_id % 4 <> 3""",
+    "a5_jsonl_alias": """SELECT CASE WHEN event_id % 3 = 0 THEN 'jsonl_' || (2 * place) ELSE 'j' || event_id END AS sample_id, CASE event_id % 4 WHEN 0 THEN 'roman numeral' WHEN 1 THEN 'u' ELSE 'p' END AS prompt,
+      CASE event_id % 7 WHEN 0 THEN '7' WHEN 1 THEN 't' WHEN 2 THEN '0' WHEN 3 THEN 'false' WHEN 4 THEN 'True' WHEN 5 THEN '2.5' ELSE 'a' END AS answer,
+      2 * place AS line, CASE event_id % 4 WHEN 0 THEN 'roman' ELSE '' END AS task_type FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events) WHERE event_id % 4 <> 3""",
     "a6_multi_file_scan": f"SELECT id, n, CASE WHEN n % 2 = 0 THEN 'even' ELSE 'odd' END AS origin, 1::BIGINT AS n_missing FROM {RESPONSES}",
     "a7_append_sink": f"SELECT id, model, n FROM {RESPONSES} WHERE n % 3 = 0 OR id NOT IN (SELECT id FROM {RESPONSES} WHERE n % 3 = 0)",
-    "a8_ordered_sink": f"SELECT id, gold, row_number() OVER (ORDER BY n % 3 <> 0, n) AS position FROM {RESPONSES} WHERE model = 'dune'",
+    "a8_ordered_sink": f"SELECT id || '/' || model AS id, gold, row_number() OVER (ORDER BY n % 3 <> 0, n) AS position FROM {RESPONSES}",
     "a9_split_sinks": f"SELECT doc_id, lang, CASE WHEN position <= floor(total * 0.1) THEN 'val' ELSE 'train' END AS split FROM {_SPLIT}",
     "a10_csv_sink": f"SELECT n, raw, gold FROM {RESPONSES}",
     "a11_json_report": _SUMMARY,
@@ -150,7 +151,8 @@ ORACLES = {
       {last('raw', r'\b[01]{8}\b')} AS last_bin8, regexp_extract(raw, '\b[01]{{8}}\b') AS first_bin8, {last('raw', r'\b[IVXLCDM]+\b')} AS roman, {ANSWER_LINE} AS answer_line FROM {RESPONSES}""",
     "c9_extract_cascade": f"SELECT n, pred, extract_method FROM {CASCADE}",
     "c10_simple_answer": f"SELECT n, {SIMPLE} AS pred FROM {RESPONSES}",
-    "c11_think_split": f"SELECT n, CASE WHEN n % 13 = 6 THEN regexp_extract(raw, '(?s)<think>(.*)</think>', 1) ELSE '' END AS thinking, regexp_replace(raw, '(?s)<think>.*</think>', '') AS answer FROM {RESPONSES}",
+    "c11_think_split": rf"""SELECT n, replace(array_to_string(regexp_extract_all(raw, '(?s)<think>(.*?)(?:</think>|\z)', 1), ''), '<think>', '') AS thinking,
+      replace(regexp_replace(raw, '(?s)<think>.*?(?:</think>|\z)', '', 'g'), '</think>', '') AS answer FROM {RESPONSES}""",
     "c12_collapse": f"SELECT doc_id, {collapse('text')} AS collapsed FROM documents",
     "c13_word_count": f"SELECT doc_id, {words('text')}::BIGINT AS words FROM documents",
     "d1_normalise": f"SELECT n, pn AS pred_norm, gn AS gold_norm FROM {NORMALISED}",
@@ -162,16 +164,16 @@ ORACLES = {
       CASE WHEN ttft > 0 AND tokens_in > 0 THEN round_even(tokens_in / ttft, 1) END AS prefill_speed_tps, CASE WHEN tokens_out > 0 THEN round_even(tokens_out / greatest(gen_time - coalesce(ttft, 0), 0.001), 1) END AS gen_speed_tps FROM {RESULTS}""",
     "d7_ticks": f"SELECT n, CASE WHEN correct THEN '✓' ELSE '✗' END AS tick FROM {SCORED}",
     "e1_resume": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "e2_prefer_new": f"""SELECT id, model, n, 'new' AS origin FROM {RESPONSES} WHERE n % 5 = 0 UNION ALL
-      SELECT id, model, n, 'old' FROM {RESPONSES} WHERE n % 3 = 0 AND id NOT IN (SELECT id FROM {RESPONSES} WHERE n % 5 = 0)""",
-    "e3_overlap": f"SELECT count(*) AS n_overlap FROM {RESPONSES} WHERE n % 3 = 0 AND id IN (SELECT id FROM {RESPONSES} WHERE n % 5 = 0)",
+    "e2_prefer_new": """SELECT doc_id AS id, quality, NULL AS lang, 'new' AS origin FROM labels UNION ALL
+      SELECT doc_id, NULL, lang, 'old' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
+    "e3_overlap": "SELECT count(*) AS n_overlap FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "e4_unfinished": f"SELECT id, 3 - count(DISTINCT model) FILTER (n % 7 <> 0 AND model <> 'dune') AS n_missing FROM {RESPONSES} GROUP BY id HAVING n_missing > 0",
     "e5_not_done_for_model": f"SELECT DISTINCT id FROM {RESPONSES} WHERE id NOT IN (SELECT id FROM {RESPONSES} WHERE n % 7 <> 0 AND model = 'dune')",
     "e6_side_by_side": f"""SELECT id, arg_max(answer, n) FILTER (model = 'amber-1.5') AS model_1, arg_max(answer, n) FILTER (model = 'birch-2') AS model_2, arg_max(answer, n) FILTER (model = '3.1-cedar') AS model_3
       FROM {SCORED} WHERE model <> 'dune' GROUP BY id""",
     "e7_with_sample": f"SELECT r.id, r.model, s.gold, s.prompt FROM {RESPONSES} r JOIN (SELECT id, arg_min(gold, n) AS gold, arg_min(prompt, n) AS prompt FROM {RESPONSES} GROUP BY id) s USING (id)",
-    "e8_summary_rows": f"SELECT DISTINCT id FROM {RESPONSES} WHERE n % 2 = 0 AND id IN (SELECT id FROM {RESPONSES} WHERE n % 3 = 0)",
-    "e9_prior_rows": f"SELECT id, n FROM {RESPONSES} WHERE n % 3 = 0 AND id NOT IN (SELECT id FROM {RESPONSES} WHERE n % 2 = 0)",
+    "e8_summary_rows": "SELECT DISTINCT conv_id AS id FROM conversations WHERE conv_id IN (SELECT doc_id FROM labels)",
+    "e9_prior_rows": "SELECT conv_id AS id, turn FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels)",
     "f1_accuracy": f"SELECT model, task_type, sum(correct::INT)::BIGINT AS correct, count(*) AS total FROM {SCORED} GROUP BY model, task_type",
     "f2_accuracy_with_totals": _TOTALS,
     "f3_summary": _SUMMARY,
@@ -200,6 +202,11 @@ ORACLES = {
     "g4_round_robin": _robin("documents", "lang", "doc_id", 50).replace("{columns}", "doc_id, lang"),
     "g5_sample_picks": f"""WITH f AS (SELECT task_type, coalesce(arg_min(id, n) FILTER (NOT correct), arg_min(id, n)) AS id, count(*) FILTER (NOT correct) = 0 AS late, min(n) AS first_n FROM {SCORED} WHERE model = 'amber-1.5' GROUP BY task_type)
       SELECT task_type, id FROM f ORDER BY late, CASE WHEN NOT late THEN task_type END, first_n LIMIT 3""",
+    "s1_streaming_resume": f"SELECT id || '/' || model AS id, gold, n FROM {RESPONSES}",
+    "s2_streaming_progress": f"SELECT task_type, count(*) AS done, sum(parse_success::INT)::BIGINT AS parse_ok FROM {SCORED} GROUP BY task_type",
+    "f15_length_stats": f"""SELECT source, count(*) AS n, avg(chars) AS mean_chars, quantile_cont(chars, 0.5) AS median_chars, quantile_cont(chars, 0.95) AS p95_chars, max(chars) AS most_chars,
+      avg(words) AS mean_words, quantile_cont(words, 0.5) AS median_words, quantile_cont(words, 0.95) AS p95_words, max(words) AS most_words
+      FROM (SELECT source, length(coalesce(text, '')) AS chars, {words('text')} AS words FROM documents) GROUP BY source""",
     "g6_sorted": "SELECT source, n, row_number() OVER (ORDER BY n DESC, source) AS position FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)",
     "g7_head": f"SELECT n, id FROM {RESPONSES} ORDER BY n LIMIT 100",
     "g7_tail": f"SELECT n, id FROM {RESPONSES} ORDER BY n OFFSET 100",
@@ -207,7 +214,7 @@ ORACLES = {
     "h2_split": f"SELECT doc_id, CASE WHEN position <= floor(total * 0.1) THEN 'val' ELSE 'train' END AS split FROM {_SPLIT}",
     "h2_split_at_least_one": "SELECT r_regionkey, CASE WHEN row_number() OVER (ORDER BY md5('42:' || r_regionkey::VARCHAR), r_regionkey) <= greatest(1, floor(count(*) OVER () * 0.1)) THEN 'val' ELSE 'train' END AS split FROM region",
     "h3_stratified": strata("documents", "lang", "md5('42:' || doc_id::VARCHAR), doc_id", 50).replace("{columns}", "doc_id, lang"),
-    "h4_task_balanced": _robin(f"(SELECT * FROM {RESPONSES} WHERE model = 'dune')", "task_type", "id", 50).replace("{columns}", "id, task_type"),
+    "h4_task_balanced": _robin(f"(SELECT id || '/' || model AS id, task_type FROM {RESPONSES})", "task_type", "id", 50).replace("{columns}", "id, task_type"),
     "h5_balanced_head": strata(_TRAIN, "lang", "position", 50).replace("{columns}", "doc_id, lang"),
     "h6_random_k": "SELECT doc_id, lang FROM documents ORDER BY md5('42:' || doc_id::VARCHAR), doc_id LIMIT 20",
     "h7_union": "SELECT doc_id, lang, NULL::INT AS quality FROM documents UNION ALL SELECT doc_id, NULL, quality FROM labels",

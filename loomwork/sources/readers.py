@@ -1,67 +1,117 @@
 """Scans of problem tables (CSV) and JSONL relations, with explicit schemas.
 
-Order matters to ids made of line numbers and to first-wins rules, and files have no row numbers
-in Spark; a scan that needs them takes the ordinal from the text lines of each file."""
+JSONL is read as text lines that are parsed whole, so that what counts as malformed doesn't depend on the columns
+that a query reads. Order matters to ids made of line numbers, and files have no row numbers in Spark:
+:func:`numbered_lines` counts the lines of each split of a file."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import pytext as t
 from loomwork.functions.extract import task_type
-from loomwork.storage import with_rank
+from loomwork.storage import few, with_rank
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "quote": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 PROBLEMS = "id string, prompt string, answer string, task_type string"
 JSON_FIELDS = ("id", "prompt", "question", "user", "answer", "output", "target", "task_type", "task")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str = PROBLEMS) -> DataFrame:
-    """Empty fields are null; quoted fields may hold line breaks."""
-    return spark.read.options(**CSV_OPTIONS, nullValue="", emptyValue="").schema(schema).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str = PROBLEMS, line_breaks: bool = True) -> DataFrame:
+    """Empty fields are null. Quoted fields may hold line breaks, for which a file has to be read by one task; without
+    ``line_breaks`` files are split."""
+    return spark.read.options(**CSV_OPTIONS | {"multiLine": line_breaks}, nullValue="", emptyValue="").schema(schema).csv(path)
 
 
 def normalised_problems(rows: DataFrame, ordinal: str) -> DataFrame:
     """sample_id, prompt, answer, task_type of rows with a prompt and an answer; an id that is missing is
-    ``row_N``, N the number of kept rows before it in the order of ``ordinal``."""
+    ``row_N``, N the number of kept rows before it in the order of ``ordinal``, which no two rows share.
+
+    Only ordinals are sorted, and only rows without an id are joined to their number."""
     clean = rows.withColumns({"prompt": t.strip(F.coalesce("prompt", F.lit(""))), "answer": t.strip(F.coalesce("answer", F.lit("")))})
-    kept = with_rank(clean.filter("prompt != '' and answer != ''"), F.col(ordinal), name="__n")
-    named = F.coalesce(t.blank_to_null(F.col("id")), F.concat(F.lit("row_"), (F.col("__n") - 1).cast("string")))
-    return kept.select(t.strip(named).alias("sample_id"), "prompt", "answer", task_type(F.col("task_type"), F.col("prompt")).alias("task_type"), ordinal)
+    kept = clean.filter("prompt != '' and answer != ''").withColumn("__name", t.blank_to_null(F.col("id")))
+    ranks = with_rank(kept.select(F.col(ordinal).alias("__of"), F.col("__name").isNull().alias("__missing")), F.col("__of"), name="__n").filter("__missing")
+    named = kept.filter("__name is not null")
+    numbered = kept.filter("__name is null").join(ranks, F.col(ordinal) == F.col("__of")).withColumn("__name", F.concat(F.lit("row_"), (F.col("__n") - 1).cast("string")))
+    task = task_type(F.col("task_type"), F.col("prompt")).alias("task_type")
+    return named.unionByName(numbered.select(*named.columns)).select(t.strip(F.col("__name")).alias("sample_id"), "prompt", "answer", task, ordinal)
+
+
+def parsed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The columns of ``schema`` and ``__bad``, the line itself where it isn't as the schema says; blank lines are skipped."""
+    lines = spark.read.text(path).filter(t.strip(F.col("value")) != "")
+    obj = F.from_json("value", f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    return lines.select(F.inline(F.array(obj)))  # parsed once, whatever is filtered above
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Strict: blank lines are skipped, a malformed line is an error."""
-    return spark.read.schema(schema).json(path, mode="FAILFAST")
+    """Strict: blank lines are skipped, a malformed line is an error, also where only some columns are read or counted."""
+    ok = F.when(F.col("__bad").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("malformed line: "), F.col("__bad"))).cast("boolean"))
+    return parsed_lines(spark, path, schema).filter(ok).drop("__bad")
 
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str, required: str | None = None) -> DataFrame:
     """Malformed lines, and lines without the ``required`` key, are dropped."""
-    rows = spark.read.schema(schema).json(path, mode="DROPMALFORMED")
+    rows = parsed_lines(spark, path, schema).filter("__bad is null").drop("__bad")
     return rows.filter(F.col(required).isNotNull()) if required else rows
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, value: all lines of text files, numbered from 0 within each file, blank ones too.
+
+    A task reads the lines of a split in order, so a line's number is its place in its split and the lines of the
+    file's splits before, of which there is one small row each. Nothing is sorted."""
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("__start")).withColumn("__at", F.monotonically_increasing_id())
+    splits = lines.groupBy("file", "__start").agg(F.count(F.lit(1)).alias("__rows"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__rows").over(Window.partitionBy("file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = splits.select(F.col("file").alias("__file"), F.col("__start").alias("__from"), (before - F.col("__first")).alias("__shift"))
+    joined = lines.join(few(places), (F.col("file") == F.col("__file")) & (F.col("__start") == F.col("__from")))
+    return joined.select("file", (F.col("__at") + F.col("__shift")).alias("line"), "value")
+
+
+def truthy(value: Column) -> Column:
+    """A JSON value as Python's str() shows it, or null where Python takes it for false: null, '', 0, false, [] and {}.
+
+    Arrays and objects are shown as JSON."""
+    kind, text = F.schema_of_variant(value), value.cast("string")
+    number = F.when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), value.cast("double").cast("string")).otherwise(text)
+    shown = (
+        F.when(kind == "STRING", F.nullif(text, F.lit("")))
+        .when(kind == "BOOLEAN", F.when(value.cast("boolean"), F.lit("True")))
+        .when(kind.rlike("^(ARRAY|OBJECT)"), F.when(~text.isin("[]", "{}"), text))
+        .when(kind == "VOID", F.lit(None).cast("string"))
+        .otherwise(F.when(value.cast("double") != 0, number))
+    )
+    return F.when(value.isNotNull(), shown)
+
+
 def aliased(obj: Column, *names: str) -> Column:
-    """The first field of a JSON text that is truthy: null, empty text, 0 and false fall through."""
-    values = [F.get_json_object(obj, f"$.{n}") for n in names]
-    return t.strip(F.coalesce(*[F.when(~v.isin("", "0", "0.0", "false", "[]", "{}"), v) for v in values], F.lit("")))
+    """The first field of a JSON value that is truthy, as text; null if there is none."""
+    return F.coalesce(*[truthy(F.try_variant_get(obj, f"$.{n}", "variant")) for n in names])
 
 
 def aliased_samples(lines: DataFrame, line_col: str = "value", index_col: str = "line") -> DataFrame:
     """Samples of JSONL lines numbered from 0: prompt, question or user; answer, output or target; an id
-    that is missing is ``jsonl_N``. Rows without a prompt or an answer are dropped."""
-    obj = t.strip(F.col(line_col))
-    rows = lines.filter(obj != "").select(
-        F.coalesce(t.blank_to_null(aliased(obj, "id")), F.concat(F.lit("jsonl_"), F.col(index_col).cast("string"))).alias("sample_id"),
-        aliased(obj, "prompt", "question", "user").alias("prompt"),
-        aliased(obj, "answer", "output", "target").alias("answer"),
+    that is missing is ``jsonl_N``. Rows without a prompt or an answer are dropped, blank lines skipped; a malformed line is an error."""
+    obj = F.col("__obj")
+    rows = lines.filter(t.strip(F.col(line_col)) != "").withColumn("__obj", F.parse_json(t.strip(F.col(line_col))))
+    rows = rows.select(
+        t.strip(F.coalesce(aliased(obj, "id"), F.concat(F.lit("jsonl_"), F.col(index_col).cast("string")))).alias("sample_id"),
+        t.strip(F.coalesce(aliased(obj, "prompt", "question", "user"), F.lit(""))).alias("prompt"),
+        t.strip(F.coalesce(aliased(obj, "answer", "output", "target"), F.lit(""))).alias("answer"),
         aliased(obj, "task_type", "task").alias("__task"),
         F.col(index_col),
     )
     return rows.filter("prompt != '' and answer != ''").withColumn("task_type", task_type(F.col("__task"), F.col("prompt"))).drop("__task")
 
 
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """The samples of JSONL files, ids that are missing made of line numbers within the file."""
+    return aliased_samples(numbered_lines(spark, path))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

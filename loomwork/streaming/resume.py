@@ -1,7 +1,8 @@
 """Resumable processing and progress counters as Structured Streaming jobs.
 
 The batch forms (``unfinished_ids`` and ``done_counters``) are preferred; these twins serve inputs that keep
-arriving. A micro-batch that is run again finds its ids in the output and adds nothing."""
+arriving. A micro-batch that is run again finds its ids in the output and adds nothing. The ids that are done are kept in
+folders by their hash, so that a batch reads the folders of its own ids only, and of these one narrow column."""
 
 from __future__ import annotations
 
@@ -15,14 +16,24 @@ from loomwork.operators.relational import keep_first, unfinished_ids
 from loomwork.sources.readers import exists
 
 
-def resume_stream(spark: SparkSession, source: str, schema: str, output: str, checkpoint: str, process: Callable[[DataFrame], DataFrame], id_col: str = "id") -> StreamingQuery:
-    """Read JSONL files as they arrive, skip ids that ``output`` has, append what ``process`` makes of the rest."""
+#: Folders of ids that are done.
+FOLDERS = 256
+
+
+def resume_stream(spark: SparkSession, source: str, schema: str, output: str, checkpoint: str, process: Callable[[DataFrame], DataFrame], id_col: str = "id", order_col: str | None = None) -> StreamingQuery:
+    """Read JSONL files as they arrive, skip ids that ``output`` has, append what ``process`` makes of the rest.
+
+    Of rows of a batch that share an id the first one by ``order_col``, or else by all columns, counts. ``process`` keeps the id.
+    ``output`` is partitioned by ``__folder``, a hash of the id."""
+    folder = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(FOLDERS)).cast("int")
 
     def step(batch: DataFrame, _: int) -> None:
-        fresh = keep_first(batch.filter(F.col(id_col).isNotNull()), [id_col], [F.col(id_col)])
+        order = [F.col(order_col)] if order_col else [F.col(c) for c in batch.columns]
+        fresh = keep_first(batch.filter(F.col(id_col).isNotNull()), [id_col], order)
         if exists(spark, output):
-            fresh = unfinished_ids(fresh, spark.read.parquet(output), id_col)
-        process(fresh).write.mode("append").parquet(output)
+            wanted = [r[0] for r in fresh.select(folder.alias("f")).distinct().collect()]  # FOLDERS rows at most
+            fresh = unfinished_ids(fresh, spark.read.parquet(output).filter(F.col("__folder").isin(wanted)), id_col)
+        process(fresh).withColumn("__folder", folder).write.mode("append").partitionBy("__folder").parquet(output)
 
     stream = spark.readStream.schema(schema).json(source)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -103,6 +103,22 @@ def test_official(spark):
     assert official("1", "01", "roman") == (False, "none")
 
 
+@pytest.mark.parametrize(
+    ("text", "thinking", "answer"),
+    [
+        ("<think>abc truncated", "abc truncated", ""),
+        ("<think>a</think>b", "a", "b"),
+        ("x<think>a<think>b</think>c</think>d", "ab", "xcd"),
+        ("<think>a</think>b<think>c</think>d<think>e", "ace", "bd"),
+        ("a</think>b", "", "ab"),
+        ("", "", ""),
+        ("<think>", "", ""),
+    ],
+)
+def test_think_split(spark, text, thinking, answer):
+    assert tuple(value(spark, extract.think_split(F.lit(text)))) == (thinking, answer)
+
+
 def test_labels(spark):
     assert column(spark, ["amber-1.5", "3.1-cedar", "1-2", ""], t.short_name) == ["amber", "cedar", "1", ""]
     assert value(spark, t.percent_label(F.lit(2), F.lit(3))) == "2/3  66%"

@@ -117,6 +117,70 @@ def test_jsonl_strict_raises_and_tolerant_drops(spark, tmp_path):
     assert [r[0] for r in readers.read_jsonl_tolerant(spark, str(tmp_path), "id string", required="id").collect()] == ["a"]
 
 
+def test_jsonl_is_judged_by_whole_lines(spark, tmp_path):
+    """What a query reads of a line doesn't change what counts as malformed."""
+    (tmp_path / "x.jsonl").write_text('{"id": "a", "n": 1}\n{"id": "b", "n": "zz"}\n{"id": "c"\n')
+    schema = "id string, n bigint"
+    rows = readers.read_jsonl_tolerant(spark, str(tmp_path), schema)
+    assert (rows.count(), [r[0] for r in rows.select("id").collect()], [tuple(r) for r in rows.collect()]) == (1, ["a"], [("a", 1)])
+    strict = readers.read_jsonl(spark, str(tmp_path), schema)
+    for action in (strict.count, strict.collect, strict.select("id").collect):
+        with pytest.raises(Exception, match="malformed"):
+            action()
+
+
+def test_lines_are_numbered_within_their_file(spark, tmp_path):
+    for name, n in (("a", 2000), ("b", 3), ("c", 0)):
+        (tmp_path / name).write_text("".join(f"{name}{i}\n" + ("\n" if i % 10 == 9 else "") for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = sorted((r["file"][-1], r["line"], r["value"]) for r in readers.numbered_lines(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(name, i, line) for name in "abc" for i, line in enumerate((tmp_path / name).read_text().splitlines())]
+
+
+def test_samples_take_the_first_truthy_alias(spark, tmp_path):
+    objects = [
+        {"prompt": "p", "answer": "0"}, {"prompt": 0, "question": " q ", "answer": False, "output": "false"}, {"id": 7, "user": "u", "answer": 0.0, "target": 7},
+        {"prompt": "p", "answer": 1.5, "task": "Roman"}, {"prompt": [], "question": {}, "user": "u", "answer": True}, {"prompt": "p", "answer": ""}, {"id": "  ", "prompt": " ", "question": "q", "answer": "a"},
+        {"id": "i", "prompt": None, "question": "roman numeral", "answer": "  x"}, {"prompt": "p", "answer": -3}, {"prompt": "é\n", "answer": "\\boxed{1}"},
+    ]
+    (tmp_path / "x.jsonl").write_text("\n\n".join(map(json.dumps, objects)) + "\n")
+    want = []
+    for i, o in enumerate(objects):
+        prompt, answer = (str(next((o[k] for k in keys if o.get(k)), "")).strip() for keys in (("prompt", "question", "user"), ("answer", "output", "target")))
+        if prompt and answer:
+            want.append((str(o.get("id") or f"jsonl_{2 * i}").strip(), prompt, answer, 2 * i))
+    got = readers.read_samples(spark, str(tmp_path))
+    assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(want)
+    assert {r["line"]: r["task_type"] for r in got.collect() if r["task_type"]} == {6: "roman", 14: "roman"}
+    (tmp_path / "y.jsonl").write_text("{broken\n")
+    with pytest.raises(Exception):
+        readers.read_samples(spark, str(tmp_path)).collect()
+
+
+def test_problem_ids_are_made_of_places(spark):
+    rows = [(None, "p", "a", None, 5), ("", "p", "a", None, 2), ("x", "p", "a", None, 3), (None, " ", "a", None, 1), (" ", "p", "a", None, 9)]
+    df = spark.createDataFrame(rows, readers.PROBLEMS + ", ordinal bigint")
+    assert {r["ordinal"]: r["sample_id"] for r in readers.normalised_problems(df, "ordinal").collect()} == {2: "row_0", 3: "x", 5: "row_2", 9: ""}
+
+
+def test_quotas_of_many_strata(spark):
+    df = spark.range(1000).select(F.col("id"), F.concat(F.lit("s"), F.col("id") % 300).alias("s"))
+    out = sampling.stratified(df, "s", "id", 450, 1)
+    counts = {r["s"]: r["count"] for r in out.groupBy("s").count().collect()}
+    names = sorted({f"s{i % 300}" for i in range(300)})
+    assert counts == {x: 1 + (i < 150) for i, x in enumerate(names)}
+
+
+def test_length_stats(spark):
+    df = spark.createDataFrame([("a", "x yy"), ("a", None), ("a", " z  "), ("b", "")], "g string, text string")
+    got = {r["g"]: tuple(r)[1:] for r in reports.length_stats(df, "text", "g").collect()}
+    assert got == {"a": (3, 8 / 3, 4.0, 4.0, 4, 1.0, 1.0, pytest.approx(1.9), 2), "b": (1, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, 0)}
+
+
 def test_csv_round_trip(spark, tmp_path):
     rows = [("1", 'a "quoted"\nline', " b ", None), (None, "p", "q", "t")]
     df = spark.createDataFrame(rows, readers.PROBLEMS)

@@ -107,7 +107,9 @@ _RECORDED: dict[tuple[str, str, str], str] = {}
 def recorded(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
     """The relation as a table, written once for an application: responses are recorded data, and
     queries over them should read columns and not derive them anew."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    changed = max((s.getModificationTime() for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)), default=0)
+    key = (spark.sparkContext.applicationId, f"{sf_dir} {changed}", name)
     df = of_spark(spark, sf_dir, sql)
     if key not in _RECORDED or not exists(spark, _RECORDED[key]):
         path = fresh_path(spark, name)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +29,42 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[app]
 
 
+_OWN_FOLDER: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomwork-{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder. What is written there goes when the application's JVM ends, or with its :func:`scratch`."""
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDER:
+        folder = f"{shared_dir(spark)}/loomwork-{app}-{uuid.uuid4().hex[:8]}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _OWN_FOLDER[app] = folder
+    path = f"{_OWN_FOLDER[app]}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was written to fresh paths within; what is to stay is written to a path from before."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            delete(spark, path)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

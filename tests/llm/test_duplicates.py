@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from pathlib import Path
 
 import cases
 import numpy as np
@@ -190,6 +191,63 @@ def test_near_duplicates_match_brute_force(spark):
     assert simhash.near_duplicates(cases.empty(spark)).count() == 0
 
 
+def test_near_duplicates_in_shards(spark):
+    """The sharded path: many fingerprints, some a few bits apart, with few to a shard."""
+    rng = random.Random(9)
+    texts = [cases.sentence(rng, rng.randint(20, 60)) for _ in range(260)]
+    for t in list(texts[:120]):
+        words = t.split()
+        words[rng.randrange(len(words))] = "other"
+        texts.append(" ".join(words))
+    prints = [fingerprint(t) for t in texts]
+    group = components(prints)
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, fp int, root string")
+    got = {r["doc_id"]: (r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.near_duplicates(docs, shard_rows=16).collect()}
+    assert got == {i: (p, g) for i, (p, g) in enumerate(zip(prints, group))}
+    assert len(set(group)) < len(set(prints))
+
+
+def test_links_over_the_shard_tree(spark):
+    rng = np.random.default_rng(8)
+    x = np.unique(rng.integers(0, 2**63, 1500).astype(np.uint64))
+    x = np.unique(np.concatenate([x, x[:300] ^ np.uint64(9), x[:100] ^ np.uint64(1 << 40)]))
+    nodes = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp bigint")
+    forest = simhash.Forest()
+    for r in simhash.links(nodes, 2, shard_rows=64, sample_per_shard=8).collect():
+        forest.join(r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1)
+    assert [forest.find(int(v)) for v in x] == [int(x[i]) for i in components([int(v) for v in x])]
+
+
+def test_very_long_texts(spark):
+    """Texts of over a megabyte: fingerprints, sketches and removed bytes."""
+    rng = random.Random(6)
+    unit = cases.sentence(rng, 40_000)
+    long = "\n".join(f"{k} {unit[k:]}" for k in range(7))
+    rows = [(1, long), (2, "short"), (3, long[:700_000] + "!" + long[700_000:])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert len(long) > 1_000_000
+    assert {r["doc_id"]: r["fp"] & (1 << 64) - 1 for r in simhash.near_duplicates(docs).collect()} == {i: fingerprint(t) for i, t in rows}
+    after = by_next(rows)
+    for r in fingerprints.fingerprinted(docs).collect():
+        t = dict(rows)[r["doc_id"]]
+        n = after[r["doc_id"], t]
+        assert read_sketch(r["fingerprint"]) == sketch(t) and r["near_next"] == pytest.approx(likeness(t, n))
+    got = {r["doc_id"]: tuple(r["d"]) for r in suffix.removals(docs, block=1 << 18).select("doc_id", suffix.digests().alias("d")).collect()}
+    assert [got[i] for i, _ in rows] == [w[:4] for w in repeats([t for _, t in rows])]
+
+
+def test_shared_folder_is_needed_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace as Of
+
+    from loomwork.storage import shared_dir
+
+    session = lambda master: Of(sparkContext=Of(getConf=lambda: Of(get=lambda k, d: d), master=master, applicationId="app-x"))
+    for master in ("spark://a:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared_dir(session(master))
+    assert shared_dir(session("local[4]")).startswith("file://")
+
+
 def test_near_duplicates_with_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (None, "only here x y"), (4, "a b c d")], "doc_id bigint, text string")
     assert sorted(map(repr, (r["component_id"] for r in simhash.near_duplicates(docs).collect()))) == ["4", "4", "4", "None"]
@@ -220,6 +278,33 @@ def test_pipeline_matches_brute_force(spark, sf_dir):
     assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in got.collect()) == sorted((r["doc_id"], r["text"], r["n_chars"]) for r in want for _ in range(copies[r["doc_id"]]))
 
 
+def test_repeated_rows_leave_near_dedup_as_one(spark, sf_dir):
+    rng = random.Random(12)
+    a, b = cases.sentence(rng, 80), cases.sentence(rng, 80)
+    docs = spark.createDataFrame([(4, a, "x")] * 3 + [(9, a, "x"), (5, b, "y"), (None, b, "y"), (None, None, "z"), (None, None, "z")], "doc_id bigint, text string, source string")
+    out = corpus_pipeline.one_of_near_duplicates(spark, docs, sf_dir)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(4, a, "x"), (5, b, "y"), (None, None, "z")], key=repr)
+    assert corpus_pipeline.without_repeats(spark, out, sf_dir).count() == 3
+
+
+def test_stages_without_labels_or_items(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = cases.documents(spark)
+    assert corpus_pipeline.quality_filter(spark, docs, str(tmp_path)).count() == docs.count()
+    assert corpus_pipeline.without_benchmark(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_pipeline_leaves_only_its_last_table(spark, sf_dir):
+    from loomwork.storage import fresh_path
+
+    folder = Path(fresh_path(spark, "probe").removeprefix("file://")).parent
+    before = set(folder.iterdir())
+    out = corpus_pipeline.run(spark, sf_dir)
+    left = [p.name for p in set(folder.iterdir()) - before]
+    assert len(left) == 1 and left[0].startswith("mixing-sources") and out.count() > 0
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_take_awkward_tables(spark, sf_dir, stage):
     name, f = corpus_pipeline.STAGES[stage]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 
 import cases
 import pytest
@@ -47,6 +48,53 @@ def test_warc_index_and_selected_ranges(spark):
     assert {(r["page_id"], r["payload_bytes"]) for r in some} == {(4, 99), (14, 500_000)} and all(r["digest_ok"] for r in some)
 
 
+def parse_archive(raw: bytes) -> list[tuple[dict, bytes]]:
+    """A strict reader of WARC 1.1: (fields, block) of each record."""
+    out, at = [], 0
+    while at < len(raw):
+        head, _, _ = raw[at:].partition(b"\r\n\r\n")
+        first, *lines = head.split(b"\r\n")
+        assert first == b"WARC/1.1"
+        fields = {}
+        for line in lines:
+            name, colon, value = line.decode("utf-8").partition(": ")
+            assert colon and name not in fields and "\r" not in value and "\n" not in value
+            fields[name] = value
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(fields)
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"])
+        assert re.fullmatch(r"<urn:(page:-?\d+|uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})>", fields["WARC-Record-ID"])
+        start, size = at + len(head) + 4, int(fields["Content-Length"])
+        assert raw[start + size : start + size + 4] == b"\r\n\r\n"
+        out.append((fields, raw[start : start + size]))
+        at = start + size + 4
+    return out
+
+
+def test_warc_records_are_valid(spark, tmp_path):
+    path = f"file://{tmp_path}/archives"
+    warc.write(pages(spark), path, records_per_archive=4, date="2025-01-31T12:00:00Z")
+    records = [r for f in sorted((tmp_path / "archives").glob("part-*")) for r in parse_archive(f.read_bytes())]
+    assert len(records) == len(PAGES) and {f["WARC-Date"] for f, _ in records} == {"2025-01-31T12:00:00Z"}
+    for fields, block in records:
+        http, _, body = block.partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n")
+        if fields["WARC-Type"] == "response":
+            assert hashlib.sha256(body).hexdigest() == fields["WARC-Payload-Digest"].removeprefix("sha256:") and "WARC-Profile" not in fields
+        else:
+            assert fields["WARC-Type"] == "revisit" and not body and fields["WARC-Refers-To"]
+            assert fields["WARC-Profile"] == "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+    nameless = [f["WARC-Record-ID"] for f, _ in records if "uuid" in f["WARC-Record-ID"]]
+    assert len(nameless) == len(set(nameless)) == 2
+
+
+@pytest.mark.parametrize("range_bytes", [64, 700, 8 << 20])
+def test_warc_index_in_ranges(spark, range_bytes):
+    path = fresh_path(spark, "archives")
+    warc.write(pages(spark), path, records_per_archive=5)
+    got = warc.read(warc.index(spark, path, range_bytes=range_bytes))
+    assert got.count() == len(PAGES) and got.filter("not digest_ok").count() == 0
+
+
 def test_warc_of_nothing(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
 
@@ -83,6 +131,31 @@ def test_chat_mask_covers_the_output(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_tampered_masks_are_told(spark):
+    turns = spark.createDataFrame([t for t in TURNS if t[0] is not None], "conv_id bigint, turn bigint, role string, text string")
+    chats = chat.format_chats(turns)
+    read = lambda df: {r["conv_id"]: r for r in chat.read_chats(df).collect()}
+    good = read(chats)
+    longer = chats.withColumn("loss_mask", F.expr("transform(loss_mask, (r, i) -> named_struct('chars', r.chars + if(i % 2 = 0, 5, 0), 'loss', r.loss))"))
+    moved = chats.withColumn("loss_mask", F.expr("transform(loss_mask, (r, i) -> named_struct('chars', if(i = 0, r.chars + 1, if(i = size(loss_mask) - 1, r.chars - 1, r.chars)), 'loss', r.loss))"))
+    # conversation 3 has but an empty text, which may stand anywhere
+    for bad in (read(longer), read(moved)):
+        assert not any(r["mask_ok"] for c, r in bad.items() if c != 3)
+        assert any(bad[c]["loss_text"] != good[c]["loss_text"] for c in good)
+    # a text run said to carry loss shows in the loss text
+    all_loss = read(chats.withColumn("loss_mask", F.expr("transform(loss_mask, (r, i) -> named_struct('chars', r.chars, 'loss', i % 2 = 1))")))
+    assert all(r["loss_text"] == "".join(t["text"] for t in r["turns"]) for r in all_loss.values())
+
+
+def test_runs_are_cut_in_long_conversations(spark):
+    """More runs than one stretch of them, characters of every width, and a first U+FEFF."""
+    text = lambda i: ["a", "\ufeffé", "漢<|im_sep|>", "😀😀", ""][i % 5] * (i % 7)
+    turns = spark.createDataFrame([(1, i, ["user", "assistant", "assistant"][i % 3], text(i)) for i in range(900)] + [(2, 0, "assistant", "x" * 1_200_000 + "é")], "conv_id bigint, turn bigint, role string, text string")
+    got = {r["conv_id"]: r for r in chat.read_chats(chat.format_chats(turns)).collect()}
+    assert got[1]["mask_ok"] and got[1]["loss_text"] == "".join(text(i) for i in range(900) if i % 3)
+    assert got[2]["mask_ok"] and got[2]["loss_text"] == "x" * 1_200_000 + "é"
+
+
 def test_chats_are_native(spark):
     turns = spark.createDataFrame([t for t in TURNS], "conv_id bigint, turn bigint, role string, text string")
     plan = chat.read_chats(chat.format_chats(turns))._jdf.queryExecution().toString()
@@ -104,6 +177,32 @@ def test_large_rates_are_summed(spark):
     assert out[0]["rate"] == 250 and all(150 < r["copies"] < 350 for r in out)
 
 
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_rows_without_ids_draw_for_themselves(spark, most):
+    """Null ids, with different texts and with equal ones, spread over draws and partitions."""
+    n = 4000
+    docs = spark.range(2 * n).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.when(F.col("id") < n, F.concat(F.lit("t"), F.col("id") + 10_000)).otherwise("txxxxx").alias("text"))
+    for seed in ("mix", "a"):
+        drawn = mixing.counts(docs, seed=seed, broadcast_sources=most).withColumn("same", F.col("text") == "txxxxx")
+        for r in drawn.groupBy("same").agg(F.count(F.lit(1)).alias("n"), F.avg("copies").alias("m"), F.variance("copies").alias("v")).collect():
+            assert r["n"] == n and abs(r["m"] - 1) < 0.08 and abs(r["v"] - 1) < 0.12
+    out = mixing.mix(docs, broadcast_sources=most)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 2 * min(sizes)
+    assert out.select("shuffle_key").distinct().count() == out.count()
+
+
+def test_equal_rows_are_made_anew(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 3)
+    docs = spark.createDataFrame([(1, "a", "x")] * 8 + [(1, "a", "y"), (None, None, None), (None, None, None)], "doc_id bigint, source string, text string")
+    got = mixing.known(docs, "text", 100).groupBy("doc_id", "source", "text").agg(F.sort_array(F.collect_list("__nth")).alias("n")).collect()
+    assert sorted((r["text"] or "", r["n"]) for r in got) == [("", [1, 2]), ("x", list(range(1, 9))), ("y", [1])]
+
+
 @pytest.mark.parametrize("most", [10_000, 0])
 def test_mixing_cases(spark, most):
     docs = cases.documents(spark)

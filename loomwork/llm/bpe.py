@@ -99,7 +99,10 @@ class TokenCounter:
         self.special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self.normaliser = Tokenizer.from_file(path).normalizer
         self.splitter = pre_tokenizers.Split(Regex(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), "removed", invert=True)
-        self.odd = re.compile(ranges(differing(self.normaliser, self.splitter)))
+        odd = differing(self.normaliser, self.splitter)
+        # one look at each character; those beyond U+FFFF, which are rare, are then looked up
+        self.unusual = re.compile(ranges([*(c for c in odd if c < 0x10000), *range(0x10000, 0x110000)]))
+        self.odd = frozenset(map(chr, odd))
         self.cache: dict[str, int] = {}
         self.cache_words = cache_words
 
@@ -158,7 +161,7 @@ class TokenCounter:
     def _plain(self, text: str) -> int:
         if text.isascii():
             text, pattern = text.lower(), ASCII_WORDS
-        elif self.odd.search(text):
+        elif self.unusual.search(text) and not self.odd.isdisjoint(text):
             return self._words([w for w, _ in self.splitter.pre_tokenize_str(self.normaliser.normalize_str(text))])
         else:
             text, pattern = plain_lower(text), ALL_WORDS

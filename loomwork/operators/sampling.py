@@ -24,8 +24,7 @@ def shuffled(df: DataFrame, id_col: str, seed: int) -> DataFrame:
 def split(df: DataFrame, id_col: str, seed: int, fraction: float, minimum: int = 0) -> DataFrame:
     """``split``: the first int(n * fraction) rows of the seeded order, ``minimum`` at least, are val."""
     ranked = shuffled(df, id_col, seed)
-    n = df.count()
-    n_val = max(minimum, int(n * fraction))
+    n_val = max(minimum, int(ranked.count() * fraction))  # from the files' footers
     return ranked.withColumn("split", F.when(F.col("position") <= n_val, "val").otherwise("train"))
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.storage import fresh_path, saved, shared_dir, table
+from loomwork.storage import few, fresh_path, saved, shared_dir, table
 
 __all__ = ["FAR", "KNOWN", "UNKNOWN", "batches_of", "crc_mod", "drop_saved", "few", "fresh_path", "kinds", "repeated", "sample_below", "saved", "shared_dir", "ship", "table", "worker_udf"]
 
@@ -29,15 +29,6 @@ def drop_saved(*tables: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-#: Narrow tables are broadcast up to this many rows; larger ones are joined by shuffling.
-BROADCAST_ROWS = 500_000
-
-
-def few(df: DataFrame) -> DataFrame:
-    """A narrow table, marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def crc_mod(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(modulus)

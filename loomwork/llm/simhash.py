@@ -191,14 +191,20 @@ def links(nodes: DataFrame, r: int, *, shard_rows: int = 1 << 15, sample_per_sha
     return nodes.select("fp").mapInArrow(batches_of(route), "shard bigint, fp bigint").groupBy("shard").applyInArrow(within, "a bigint, b bigint")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node ``a`` has one edge, and none of the nodes ``b``, which are smaller, is such a node."""
+    several = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not several.isEmpty():
+        return False
+    return edges.join(edges.select(F.col("b").alias("__b")).distinct(), F.col("a") == F.col("__b"), "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge that isn't its component's smallest: alternating
-    large-star and small-star contraction. Each round is a table in the shared folder."""
+    large-star and small-star contraction, until only stars are left. Each round is a table in the shared folder."""
     oriented = lambda df: df.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
     now = saved(oriented(edges), "edges")
-    seen = state(now)
-    while seen[0]:
+    while not _stars(now):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = oriented(both.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")))
@@ -206,9 +212,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "a")
         after = saved(oriented(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))), "edges")
         drop_saved(now)
-        now, before, seen = after, seen, state(after)
-        if seen == before:
-            break
+        now = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

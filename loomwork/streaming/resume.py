@@ -33,7 +33,7 @@ def resume_stream(spark: SparkSession, source: str, schema: str, output: str, ch
         if exists(spark, output):
             wanted = [r[0] for r in fresh.select(folder.alias("f")).distinct().collect()]  # FOLDERS rows at most
             fresh = unfinished_ids(fresh, spark.read.parquet(output).filter(F.col("__folder").isin(wanted)), id_col)
-        process(fresh).withColumn("__folder", folder).write.mode("append").partitionBy("__folder").parquet(output)
+        process(fresh).withColumn("__folder", folder).repartition("__folder").write.mode("append").partitionBy("__folder").parquet(output)
 
     stream = spark.readStream.schema(schema).json(source)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -25,7 +25,6 @@ import unicodedata
 import pyarrow as pa
 import regex
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from loomwork.llm.common import worker_udf
@@ -52,8 +51,8 @@ def ranges(points: list[int]) -> str:
 
 def differing(normaliser, splitter) -> list[int]:
     """Code points that Python doesn't know, or that it normalises or cuts in another way than the library does."""
-    kind = {c: unicodedata.category(chr(c)) for c in range(0x110000)}
-    known = [c for c in kind if kind[c] not in ("Cn", "Cs", "Co") and chr(c) != "|"]
+    kind = [unicodedata.category(chr(c)) for c in range(0x110000)]
+    known = [c for c, k in enumerate(kind) if k not in ("Cn", "Cs", "Co") and chr(c) != "|"]
     lower = normaliser.normalize_str("|".join(map(chr, known))).split("|")
     odd = {c for c, x in zip(known, lower) if x != plain_lower(chr(c)) and not (x == " " and chr(c).isspace())}
     # between a letter and a sign: a letter joins the first, a sign the second, a digit stands alone, a space goes
@@ -67,7 +66,7 @@ def differing(normaliser, splitter) -> list[int]:
         ours.setdefault(known[m.start() // 4], []).append(m[0])
     theirs, ours = of(theirs), of(ours)
     odd |= {c for c in known if theirs[c] != ours[c]}
-    return sorted(odd | {c for c in kind if kind[c] in ("Cn", "Cs")})
+    return [c for c, k in enumerate(kind) if k in ("Cn", "Cs") or c in odd]
 
 
 def byte_symbols() -> dict[int, str]:
@@ -100,9 +99,9 @@ class TokenCounter:
         self.normaliser = Tokenizer.from_file(path).normalizer
         self.splitter = pre_tokenizers.Split(Regex(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), "removed", invert=True)
         odd = differing(self.normaliser, self.splitter)
-        # one look at each character; those beyond U+FFFF, which are rare, are then looked up
+        # one quick look at each character; only a text that has one beyond U+FFFF, or an odd one, is held against all ranges
         self.unusual = re.compile(ranges([*(c for c in odd if c < 0x10000), *range(0x10000, 0x110000)]))
-        self.odd = frozenset(map(chr, odd))
+        self.odd = re.compile(ranges(odd))
         self.cache: dict[str, int] = {}
         self.cache_words = cache_words
 
@@ -161,7 +160,7 @@ class TokenCounter:
     def _plain(self, text: str) -> int:
         if text.isascii():
             text, pattern = text.lower(), ASCII_WORDS
-        elif self.unusual.search(text) and not self.odd.isdisjoint(text):
+        elif self.unusual.search(text) and self.odd.search(text):
             return self._words([w for w, _ in self.splitter.pre_tokenize_str(self.normaliser.normalize_str(text))])
         else:
             text, pattern = plain_lower(text), ALL_WORDS

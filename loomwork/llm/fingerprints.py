@@ -27,7 +27,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import drop_saved, saved
 from loomwork.storage import with_rank
 
 SHORT, LONG = 96, 256
@@ -143,21 +142,19 @@ def as_text(of: str) -> str:
     return f"concat(hex({of}.s), ';', hex({of}.n), ';', array_join(transform({of}.cells, c -> concat(hex(c.c), ':', hex(c.n), ':', hex(c.x))), ','))"
 
 
-def neighbours(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(__of_id, __of_h): each document, and the document before it with the number of code points that it takes;
-    and the table that is to be dropped when this has been read."""
-    ranked = saved(with_rank(keyed.select("__id", "__h", F.length("__text").alias("__chars")).distinct(), F.col("__id").desc_nulls_last(), F.col("__h")), "order")
+def neighbours(keyed: DataFrame) -> DataFrame:
+    """(__of_id, __of_h): each document, and (__to_id, __to_h, __take) the one before it with the number of code points that it takes."""
+    ranked = with_rank(keyed.select("__id", "__h", F.length("__text").alias("__chars")).distinct(), F.col("__id").desc_nulls_last(), F.col("__h"))
     n = max(1, ranked.count())
     before = ranked.select((F.col("rank") % n + 1).alias("rank"), F.col("__id").alias("__to_id"), F.col("__h").alias("__to_h"), F.expr("__chars div 3").cast("int").alias("__take"))
-    return ranked.join(before, "rank").select(F.col("__id").alias("__of_id"), F.col("__h").alias("__of_h"), "__to_id", "__to_h", "__take"), ranked
+    return ranked.join(before, "rank").select(F.col("__id").alias("__of_id"), F.col("__h").alias("__of_h"), "__to_id", "__to_h", "__take")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """__id, __text, __sketch and __sketch_xs of every row, and of the next document the beginning that this one takes (__begin),
     its sketch's sizes (__next) and what that is peeled into (__next_xs)."""
     keyed = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumn("__h", F.xxhash64("__text"))
-    pairs, _ = neighbours(keyed)
-    given = keyed.join(pairs, F.col("__id").eqNullSafe(F.col("__of_id")) & (F.col("__h") == F.col("__of_h")))
+    given = keyed.join(neighbours(keyed), F.col("__id").eqNullSafe(F.col("__of_id")) & (F.col("__h") == F.col("__of_h")))
     given = given.select("__to_id", "__to_h", F.expr("substring(__text, 1, __take)").alias("__begin"), F.expr(digests("__text")).alias("__xs"))
     given = with_sketch(given, "__xs", "__next").withColumn("__next", F.struct("__next.s", "__next.n")).drop("__xs")
     given = given.dropDuplicates(["__to_id", "__to_h"])

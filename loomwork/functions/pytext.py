@@ -48,10 +48,11 @@ def lines(s: Column) -> Column:
 
 
 def word_count(s: Column) -> Column:
-    """Runs of non-space characters; 0 for null. The spaces between them are counted, so that no array of words is made."""
-    single = collapse(s)
-    spaces = F.length(single) - F.length(F.replace(single, F.lit(" "), F.lit("")))
-    return F.when(F.length(single) > 0, spaces + 1).otherwise(0).cast("long")
+    """Runs of non-space characters; 0 for null. The spaces between them are counted, so that no array of words is made.
+
+    The text is collapsed within a transform, which evaluates it once wherever the expression stands."""
+    count = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + (x != "").cast("int")
+    return F.coalesce(F.element_at(F.transform(F.array(collapse(s)), count), 1), F.lit(0)).cast("long")
 
 
 def last(items: Column) -> Column:

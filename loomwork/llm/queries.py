@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, chat, decontaminate, fingerprints, langid, mixing, quality, simhash, suffix, toxicity, warc
+from loomwork.llm import bpe, chat, decontaminate, fingerprints, langid, mixing, quality, repair, simhash, suffix, toxicity, warc
 from loomwork.llm.common import crc_mod, table
 
 CHAT_PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -84,6 +84,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")), absent_col="absent")
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(whole, 256).alias("repaired_sha256"))
+
+
 def op13_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))

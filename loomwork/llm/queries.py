@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, chat, decontaminate, fingerprints, langid, mixing, quality, repair, simhash, suffix, toxicity, warc
+from loomwork.llm import bpe, chat, decontaminate, fingerprints, langid, mixing, quality, repair, simhash, suffix, toxicity, warc, whitening
 from loomwork.llm.common import crc_mod, table
 
 CHAT_PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -90,6 +90,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(whole, 256).alias("repaired_sha256"))
 
 
+def op12_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.fixed_point(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding")
+    model = whitening.fit(rows)
+    found = rows.select("vec_id", whitening.whitened(rows, model).alias("r")).select("vec_id", "r.deviation", F.posexplode("r.whitened").alias("at", "whitened"))
+    explained = F.element_at(F.lit(model.explained.tolist()).cast("array<double>"), F.col("at") + 1)
+    return found.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", explained.alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
 def op13_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))

@@ -75,16 +75,18 @@ def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, np.n
 
 def features(texts: list[str | None], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text number, coordinate) of every n-gram of the texts, block by block; repeats stay."""
-    shift = np.uint64(64 - bits)
-    for first, seen, raw, starts in _blocks(texts):
+    shift, before = np.uint64(64 - bits), np.zeros(0, dtype=np.uint64)  # the last words of a text that goes on
+    for first, goes_on, raw, starts in _blocks(texts):
         start, words, begun = word_hashes(raw)
         of = (np.searchsorted(starts, start, side="right") - 1 + first).astype(np.int64)
-        found = [(of[seen:], words[seen:] ^ np.uint64(_SALTS["word"]))]
-        found += [(of[seen:], (h[seen:] + np.uint64(k)) ^ np.uint64(_SALTS["start"])) for k, h in begun.items()]
+        found = [(of, words ^ np.uint64(_SALTS["word"]))]
+        found += [(of, (h + np.uint64(k)) ^ np.uint64(_SALTS["start"])) for k, h in begun.items()]
+        seen, words, of = len(before), np.concatenate([before, words]), np.concatenate([np.full(len(before), first), of])
         for gap, kind in ((1, "pair"), (2, "over1"), (3, "over2")):
             at = np.arange(max(0, seen - gap), max(0, len(words) - gap))
             at = at[of[at] == of[at + gap]]
             found.append((of[at], (words[at] * np.uint64(3) + words[at + gap]) ^ np.uint64(_SALTS[kind])))
+        before = words[-3:] if goes_on else words[:0]
         yield np.concatenate([x for x, _ in found]), (_mixed(np.concatenate([h for _, h in found])) >> shift).astype(np.int64)
 
 
@@ -95,10 +97,8 @@ def distinct_features(texts: list[str | None], bits: int) -> tuple[np.ndarray, n
     return keys >> bits, keys & ((1 << bits) - 1)
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, how many words at the beginning the block before has had, bytes, where texts start) of blocks of texts.
-
-    A long text is cut into blocks that begin with the last three words of the block before."""
+def _blocks(texts: list[str | None]) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
+    """(first text, whether it goes on in the next block, bytes, where texts start) of blocks of texts, cut between words."""
     held, first, size = [], 0, 0
     for i, text in enumerate(texts):
         raw = (text or "").lower().encode("utf-8", "surrogatepass")
@@ -109,33 +109,21 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.
             held.append(raw)
             size += len(raw) + 1
             continue
-        yield from _long(np.frombuffer(raw, dtype=np.uint8), i)
-        first = i + 1
+        first, at, whole = i + 1, 0, np.frombuffer(raw, dtype=np.uint8)
+        while at < len(whole):
+            stop = min(len(whole), at + BLOCK)
+            while stop < len(whole) and _WORD[whole[stop]]:  # to the end of the word
+                rest = np.flatnonzero(~_WORD[whole[stop : stop + BLOCK]])
+                stop = stop + int(rest[0]) if len(rest) else min(len(whole), stop + BLOCK)
+            yield i, stop < len(whole), whole[at:stop], np.zeros(1, dtype=np.int64)
+            at = stop
     if held:
         yield _joined(held, first)
 
 
-def _joined(held: list[bytes], first: int) -> tuple[int, int, np.ndarray, np.ndarray]:
-    lengths = np.array([len(x) + 1 for x in held])
-    return first, 0, np.frombuffer(b"\n".join(held), dtype=np.uint8), np.concatenate([[0], np.cumsum(lengths)[:-1]])
-
-
-def _long(raw: np.ndarray, i: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    at, seen = 0, 0
-    while at < len(raw):
-        stop = min(len(raw), at + BLOCK)
-        while stop < len(raw) and _WORD[raw[stop]]:
-            rest = np.flatnonzero(~_WORD[raw[stop : stop + BLOCK]])
-            stop = stop + int(rest[0]) if len(rest) else min(len(raw), stop + BLOCK)
-        block = raw[at:stop]
-        yield i, seen, block, np.zeros(1, dtype=np.int64)
-        if stop == len(raw):
-            return
-        inside = np.concatenate([[False], _WORD[block]])
-        begins = np.flatnonzero(inside[1:] & ~inside[:-1])
-        seen = min(3, len(begins))
-        at = at + int(begins[-seen]) if 0 < seen < len(begins) else stop
-        seen = seen if at < stop else 0
+def _joined(held: list[bytes], first: int) -> tuple[int, bool, np.ndarray, np.ndarray]:
+    starts = np.cumsum([0, *(len(x) + 1 for x in held[:-1])])
+    return first, False, np.frombuffer(b"\n".join(held), dtype=np.uint8), starts
 
 
 @dataclass

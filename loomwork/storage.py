@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
+import itertools
+import json
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
@@ -30,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _OWN_FOLDER: dict[str, str] = {}
-_SCOPES: list[list[str]] = []
+_SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -44,8 +47,9 @@ def fresh_path(spark: SparkSession, name: str) -> str:
         system.deleteOnExit(path)
         _OWN_FOLDER[app] = folder
     path = f"{_OWN_FOLDER[app]}/{name}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
     return path
 
 
@@ -56,13 +60,13 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end what was written to fresh paths within; what is to stay is written to a path from before."""
+    """Deletes at its end what its own thread has written to fresh paths within; what is to stay is written to a path from before."""
     made: list[str] = []
-    _SCOPES.append(made)
+    token = _SCOPE.set(made)
     try:
         yield
     finally:
-        _SCOPES.remove(made)
+        _SCOPE.reset(token)
         for path in made:
             delete(spark, path)
 
@@ -97,9 +101,11 @@ def with_rank(df: DataFrame, *order, name: str = "rank") -> DataFrame:
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
     ordered = saved(ordered, "ranked").withColumn("__part", F.shiftright("__at", 33)).withColumn("__row", F.col("__at").bitwiseAND((1 << 33) - 1))
     sizes = ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).collect()  # a row per partition
-    before, total = {}, 0
-    for part, n in sorted((r[0], r[1]) for r in sizes):
-        before[part] = total
-        total += n
-    offsets = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
-    return ordered.withColumn(name, (offsets[F.col("__part")] + F.col("__row") + 1).cast("long")).drop("__at", "__part", "__row")
+    of = {r[0]: r[1] for r in sizes}
+    before = [0, *itertools.accumulate(of.get(k, 0) for k in range(max(of, default=0)))]
+    return ordered.withColumn(name, looked_up(before, F.col("__part")) + F.col("__row") + 1).drop("__at", "__part", "__row")
+
+
+def looked_up(values: list[int], place: Column) -> Column:
+    """``values[place]``, a long: an array that is built once and indexed, so that a row's cost doesn't grow with their number."""
+    return F.get(F.from_json(F.lit(json.dumps(values)), "array<bigint>"), place.cast("int"))

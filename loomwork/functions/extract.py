@@ -22,9 +22,9 @@ NUMERIC_TASKS = ("gravity", "unit_conversion")
 BOXED = r"\\boxed\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"
 SIGNED_NUMBER = r"[-+]?[0-9]+(?:\.[0-9]+)?"
 NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
-BIN8 = r"\b[01]{8}\b"
-ROMAN = r"\b[IVXLCDM]+\b"
-ANSWER_LINE = "(?dim)(?:final answer|answer|result|therefore|thus)\\s*[:：]\\s*(.+)$"
+BIN8 = r"(?U)\b[01]{8}\b"
+ROMAN = r"(?U)\b[IVXLCDM]+\b"
+ANSWER_LINE = f"(?dim)(?:final answer|answer|result|therefore|thus)[{t.SPACE}]*[:：][{t.SPACE}]*(.+)$"
 SHORT_LINE = 120
 
 
@@ -43,10 +43,10 @@ def parsed(text: Column) -> Column:
     Reasoning runs to the first ``ANSWER:`` behind it or to the end, the answer from the first
     ``ANSWER:`` of the text to the end of its line. If either is missing the reasoning is the
     whole text and the answer ``PARSE_ERROR``."""
-    answer = r"(?d)ANSWER:\s*(.+?)(?:\n|$)"
+    answer = rf"(?d)ANSWER:[{t.SPACE}]*(.+?)(?:\n|$)"
     ok = text.rlike(r"REASONING:") & text.rlike(answer)
     return F.struct(
-        t.strip(F.when(ok, F.regexp_extract(text, r"(?s)REASONING:\s*(.*?)(?=ANSWER:|\z)", 1)).otherwise(text)).alias("reasoning"),
+        t.strip(F.when(ok, F.regexp_extract(text, rf"(?s)REASONING:[{t.SPACE}]*(.*?)(?=ANSWER:|\z)", 1)).otherwise(text)).alias("reasoning"),
         F.when(ok, t.strip(F.regexp_extract(text, answer, 1))).otherwise(F.lit("PARSE_ERROR")).alias("answer"),
         ok.alias("parse_success"),
     )

@@ -7,6 +7,9 @@ which looks at the ends of a text only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +45,58 @@ def to_float(s: Column) -> Column:
     return F.when(s.rlike(FLOAT), s.try_cast("double"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def ten_decimals(x: Column) -> Column:
+    """``'%.10f' % x`` of a double: its binary value, exactly, rounded half to even; ``inf``, ``-inf`` and ``nan`` as Python writes them.
+
+    What is behind the point is a whole number of 2**-87, as far as it matters: less than 2**-35 rounds to nothing, and more has no
+    smaller bits. Times 10**10 that fits a decimal of 38 digits. From 2**63 on all digits are those of a whole number."""
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    text = once(F.abs(x), lambda a: F.when(a < float(1 << 63), _fixed(a)).otherwise(F.concat(_whole_digits(a), F.lit("." + "0" * 10))))
+    return F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, text))
+
+
+def _fixed(a: Column) -> Column:
+    dec = lambda c, digits: c.cast(f"decimal({digits},0)")
+    fraction = a - F.floor(a).cast("double")
+    high = F.floor(fraction * float(1 << 43))
+    low = lambda h: F.floor((fraction * float(1 << 43) - h.cast("double")) * float(1 << 44))
+    units = once(high, lambda h: dec(h, 13) * F.lit(1 << 44).cast("decimal(14,0)") + dec(low(h), 14))
+    scaled = units * F.lit(5**10).cast("decimal(7,0)")  # 10**10 / 2**87 is 5**10 / 2**77
+    one = F.lit(Decimal(1 << 77))
+    parts = once(scaled, lambda p: F.struct(F.call_function("div", p, one).alias("q"), (p % one).alias("r")))
+
+    def rounded(p: Column) -> Column:
+        twice = p["r"] * F.lit(Decimal(2))
+        return p["q"] + F.when((twice > one) | ((twice == one) & (p["q"] % 2 == 1)), 1).otherwise(0)
+
+    digits = once(parts, rounded)
+    return once(digits, lambda d: F.concat((F.floor(a) + F.when(d == 10**10, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((d % 10**10).cast("string"), 10, "0")))
+
+
+def _whole_digits(a: Column) -> Column:
+    """The digits of a double from 2**63 on, by limbs of nine digits: 54 bits, multiplied by what power of two is left."""
+    limb, step = 10**9, 29
+
+    def times(limbs: Column, factor: Column) -> Column:
+        start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("bigint").alias("carry"))
+        add = lambda acc, x: once(x * factor + acc["carry"], lambda v: F.struct(F.concat(acc["done"], F.array(v % limb)).alias("done"), F.call_function("div", v, F.lit(limb)).alias("carry")))
+        return F.aggregate(limbs, start, add, lambda acc: F.concat(acc["done"], F.array(acc["carry"])))
+
+    def digits(k: Column) -> Column:
+        m = F.floor(a * F.pow(F.lit(2.0), -k))
+        limbs = F.array(m % limb, F.call_function("div", m, F.lit(limb)) % limb, F.call_function("div", m, F.lit(limb**2)))
+        factors = F.concat(F.array_repeat(F.lit(1 << step).cast("bigint"), F.call_function("div", k, F.lit(step)).cast("int")), F.array(F.pow(F.lit(2.0), k % step).cast("bigint")))
+        parts = F.aggregate(factors, limbs, times)
+        return F.ltrim(F.array_join(F.transform(F.reverse(parts), lambda x: F.lpad(x.cast("string"), 9, "0")), ""), F.lit("0"))
+
+    return once(F.floor(F.log2(a)) - 53, digits)
+
+
 def lines(s: Column) -> Column:
     """The non-blank lines of a text, stripped."""
     return F.filter(F.transform(F.split(s, LINE_BREAKS), strip), lambda x: x != "")
@@ -50,9 +105,9 @@ def lines(s: Column) -> Column:
 def word_count(s: Column) -> Column:
     """Runs of non-space characters; 0 for null. The spaces between them are counted, so that no array of words is made.
 
-    The text is collapsed within a transform, which evaluates it once wherever the expression stands."""
+    The text is collapsed once, wherever the expression stands."""
     count = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + (x != "").cast("int")
-    return F.coalesce(F.element_at(F.transform(F.array(collapse(s)), count), 1), F.lit(0)).cast("long")
+    return F.coalesce(once(collapse(s), count), F.lit(0)).cast("long")
 
 
 def last(items: Column) -> Column:

@@ -13,9 +13,8 @@ def normalised(value: Column, task: Column) -> Column:
     """An answer in its task's normal form."""
     s = t.strip(value)
     bare = F.btrim(s, F.lit(".,;: "))
-    # ten decimals without trailing zeros; infinities and NaN as Python writes them
-    digits = F.regexp_replace(F.format_string("%.10f", bare.try_cast("double")), r"\.?0+$", "")
-    digits = F.replace(F.lower(digits), F.lit("infinity"), F.lit("inf"))
+    # ten decimals without trailing zeros
+    digits = F.regexp_replace(t.ten_decimals(bare.try_cast("double")), r"\.?0+$", "")
     first_byte = F.regexp_extract(s, extract.BIN8, 0)
     return (
         F.when(task == "roman", F.regexp_replace(F.upper(s), f"[{t.SPACE}]+", ""))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomwork.functions import pytext as t
 
 KEPT = "kept"
+#: What :func:`reject_reason` gives.
+REASONS = ["quality", "words", "downweight", KEPT]
 
 
 def not_blank(s: Column) -> Column:
@@ -55,6 +59,21 @@ def reject_counts(df: DataFrame, reason: str) -> DataFrame:
     return df.groupBy(reason).agg(F.count(F.lit(1)).alias("n"))
 
 
+def counted(df: DataFrame, counters: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """``df`` as it is, and an observation that has, once a job has run through it, how many rows each counter is true for.
+
+    So a job that writes what a filter keeps also counts what it rejects: the rows are read once. A counter's name is its key in ``observation.get``."""
+    seen = Observation()
+    return df.observe(seen, *[F.count(F.when(flag, F.lit(1))).alias(name) for name, flag in counters.items()]), seen
+
+
+def write_kept(df: DataFrame, reason: Column, write: Callable[[DataFrame], None], reasons: list[str] = REASONS) -> dict[str, int]:
+    """Write the rows that no filter rejects, and return how many each reason has; one job does both."""
+    rows, seen = counted(df.withColumn("__reason", reason), {r: F.col("__reason") == r for r in reasons})
+    write(rows.filter(F.col("__reason") == KEPT).drop("__reason"))
+    return seen.get
+
+
 def one_by_id(df: DataFrame, id_col: str, value: str) -> DataFrame:
     """The rows of one id; an error if there are none."""
     found = df.filter(F.col(id_col) == value)

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import pytext as t
+from loomwork.operators.filters import counted
 from loomwork.storage import with_rank
 
 TOTAL = "TOTAL"
 
 
+def _named(task: str) -> list[Column]:
+    """``task_type`` and ``is_total`` of a row of grouping sets with its ``g``, the grouping of the task."""
+    total = F.col("g") == 1
+    return [F.when(total, TOTAL).otherwise(F.col(task)).alias("task_type"), total.alias("is_total")]
+
+
 def as_long(flag: Column) -> Column:
     return F.coalesce(flag.cast("long"), F.lit(0)).cast("long")
 
@@ -21,26 +30,29 @@ def accuracy(df: DataFrame, correct: str = "correct", model: str = "model", task
 
 
 def accuracy_with_totals(df: DataFrame, correct: str = "correct", model: str = "model", task: str = "task_type") -> DataFrame:
-    """:func:`accuracy` plus a ``TOTAL`` row per model, from one aggregation with two grouping levels."""
+    """:func:`accuracy` plus a row per model that ``is_total``, called ``TOTAL``, from one aggregation with two grouping levels.
+
+    A task may be called ``TOTAL`` as well, so it's the flag that tells them apart."""
     by = df.select(F.col(model).alias("model"), F.coalesce(F.col(task), F.lit("")).alias("task"), as_long(F.col(correct)).alias("ok"))
     both = by.groupingSets([[F.col("model"), F.col("task")], [F.col("model")]], F.col("model"), F.col("task"))
     out = both.agg(F.sum("ok").alias("correct"), F.count(F.lit(1)).alias("total"), F.grouping("task").alias("g"))
-    return out.select("model", F.when(F.col("g") == 1, TOTAL).otherwise(F.col("task")).alias("task_type"), "correct", "total")
+    return out.select("model", *_named("task"), "correct", "total")
 
 
 def winners(table: DataFrame, task: str = "task_type", n_models: int = 1) -> DataFrame:
-    """Per task the short name of the model with the best rate, or ``tie``. ``table`` has a row per model and task.
+    """Per task the short name of the model with the best rate, or ``tie``. ``table`` has a row per model and task, and totals if they are marked.
 
     Of ``n_models`` compared, those without rows for a task have rate 0, so a best rate of 0 is a tie."""
     best = table.withColumn("rate", F.coalesce(F.try_divide(F.col("correct").cast("double"), F.col("total").cast("double")), F.lit(0.0)))
     # rates are compared exactly: the largest rate and how many models have it, in one pass
-    top = best.groupBy(task).agg(F.max("rate").alias("best_rate"), F.collect_list(F.struct("rate", "model")).alias("all"))  # an entry per model
+    keys = [task, *(c for c in ["is_total"] if c in table.columns)]
+    top = best.groupBy(*keys).agg(F.max("rate").alias("best_rate"), F.collect_list(F.struct("rate", "model")).alias("all"))  # an entry per model
     top = top.withColumn("at_top", F.transform(F.filter("all", lambda x: x["rate"] == F.col("best_rate")), lambda x: x["model"]))
-    return top.select(task, F.when((F.size("at_top") > 1) | ((F.col("best_rate") == 0) & F.lit(n_models > 1)), "tie").otherwise(t.short_name(F.col("at_top")[0])).alias("winner"))
+    return top.select(*keys, F.when((F.size("at_top") > 1) | ((F.col("best_rate") == 0) & F.lit(n_models > 1)), "tie").otherwise(t.short_name(F.col("at_top")[0])).alias("winner"))
 
 
 def summary(df: DataFrame, digits: int = 6, correct: str = "correct", model: str = "model", task: str = "task_type") -> DataFrame:
-    """Accuracy by model and by model and task, blank tasks as ``unknown``; ``TOTAL`` for the model's own row."""
+    """Accuracy by model and by model and task, blank tasks as ``unknown``; the model's own row ``is_total``."""
     named = df.withColumn(task, F.coalesce(F.nullif(F.col(task), F.lit("")), F.lit("unknown")))
     return accuracy_with_totals(named, correct, model, task).withColumn("accuracy", t.rate(F.col("correct"), F.col("total"), digits))
 
@@ -48,13 +60,13 @@ def summary(df: DataFrame, digits: int = 6, correct: str = "correct", model: str
 def nested_summary(flat: DataFrame) -> DataFrame:
     """:func:`summary` as a row per model with a map of its tasks, for a JSON report."""
     entry = F.struct("task_type", F.struct("correct", "total", "accuracy"))
-    total = lambda c: F.max(F.when(F.col("task_type") == TOTAL, F.col(c))).alias(c)
-    tasks = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("task_type") != TOTAL, entry))))
+    total = lambda c: F.max(F.when(F.col("is_total"), F.col(c))).alias(c)
+    tasks = F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("is_total"), entry))))
     return flat.groupBy("model").agg(total("correct"), total("total"), total("accuracy"), tasks.alias("by_task"))
 
 
 def flat_rates(df: DataFrame, flags: dict[str, str], task: str = "task_type", digits: int = 4, round_total: bool = True, drop_blank: bool = False) -> DataFrame:
-    """Rates of flags overall (task null) and by task, from one aggregation. ``drop_blank`` leaves blank
+    """Rates of flags overall (``is_total``) and by task, from one aggregation. ``drop_blank`` leaves blank
     tasks out of the rows by task, but not out of the overall row."""
     by = df.select(F.col(task).alias("task"), *[as_long(F.col(c)).alias(f"__{name}") for name, c in flags.items()])
     sets = by.groupingSets([[F.col("task")], []], F.col("task"))
@@ -63,7 +75,7 @@ def flat_rates(df: DataFrame, flags: dict[str, str], task: str = "task_type", di
         out = out.filter((F.col("g") == 1) | (F.coalesce(F.col("task"), F.lit("")) != ""))
     exact = lambda name: F.try_divide(F.col(f"__{name}").cast("double"), F.col("n").cast("double"))
     rate = lambda name: F.when((F.col("g") == 1) & F.lit(not round_total), exact(name)).otherwise(F.bround(exact(name), digits))
-    return out.select(F.when(F.col("g") == 1, TOTAL).otherwise(F.col("task")).alias("task_type"), "n", *[rate(name).alias(name) for name in flags])
+    return out.select(*_named("task"), "n", *[rate(name).alias(name) for name in flags])
 
 
 def quality_metrics(df: DataFrame, model: str = "model") -> DataFrame:
@@ -120,11 +132,22 @@ def recommendation(metrics: DataFrame, model: str = "model") -> DataFrame:
 
 
 def done_counters(df: DataFrame, failed: Column, task: str = "task_type") -> DataFrame:
-    """Per task: rows done without failing, parsed, correct; and a ``TOTAL`` row whose ``done`` counts failed rows too."""
+    """Per task: rows done without failing, parsed, correct; and a row that ``is_total``, whose ``done`` counts failed rows too."""
     flags = df.select(F.col(task).alias("task"), failed.cast("long").alias("f"), as_long(F.col("parse_success")).alias("p"), as_long(F.col("correct")).alias("c"))
     both = flags.groupingSets([[F.col("task")], []], F.col("task"))
     out = both.agg(F.sum(1 - F.col("f")).alias("ok"), F.count(F.lit(1)).alias("all"), F.sum("f").alias("errors"), F.sum(F.col("p") * (1 - F.col("f"))).alias("parse_ok"), F.sum(F.col("c") * (1 - F.col("f"))).alias("correct"), F.grouping("task").alias("g"))
-    return out.select(F.when(F.col("g") == 1, TOTAL).otherwise(F.col("task")).alias("task_type"), F.when(F.col("g") == 1, F.col("all")).otherwise(F.col("ok")).alias("done"), "errors", "parse_ok", "correct")
+    return out.select(*_named("task"), F.when(F.col("g") == 1, F.col("all")).otherwise(F.col("ok")).alias("done"), "errors", "parse_ok", "correct")
+
+
+def write_with_progress(df: DataFrame, failed: Column, tasks: list[str], write: Callable[[DataFrame], None], task: str = "task_type") -> list[tuple[str | None, int, int, int, int]]:
+    """Write all rows, and return (task, done, errors, parse_ok, correct) of each of ``tasks`` and, as task None, of all rows, counted by the
+    job that writes. In the last one ``done`` counts failed rows too, and other tasks' rows."""
+    ok, right = F.coalesce("parse_success", F.lit(False)), F.coalesce("correct", F.lit(False))
+    flags = {"done": ~failed, "errors": failed, "parse_ok": ~failed & ok, "correct": ~failed & right}
+    per_task = {f"{i}:{name}": (F.col(task) == x) & flag for i, x in enumerate(tasks) for name, flag in flags.items()}
+    rows, seen = counted(df, per_task | {f"all:{name}": flag for name, flag in (flags | {"done": F.lit(True)}).items()})
+    write(rows)
+    return [(x, *(seen.get[f"{i}:{name}"] for name in flags)) for i, x in [*enumerate(tasks), ("all", None)]]
 
 
 def correct_models(results: DataFrame, ordinal: str, id_col: str = "id", model: str = "model", keep: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from loomwork.config import Settings
 from loomwork.functions import extract, score
 from loomwork.functions import pytext as t
-from loomwork.operators import filters, relational, reports, sampling
+from loomwork.operators import evaluations, filters, relational, reports, sampling
 from loomwork.plans import derived
-from loomwork.sources import readers, writers
+from loomwork.sources import publish, readers, writers
 from loomwork.storage import fresh_path, saved, table, with_rank
 from loomwork.streaming import resume
 
@@ -73,7 +74,12 @@ def a3_jsonl_strict(spark, sf_dir):
 @query
 def a4_jsonl_tolerant(spark, sf_dir):
     path = fresh_path(spark, "broken")
-    line = F.when(F.col("n") % 5 == 0, F.concat(F.lit('{"id": "'), F.col("id"))).when(F.col("n") % 5 == 1, "").when(F.col("n") % 5 == 2, F.to_json(F.struct("n"))).otherwise(F.to_json(F.struct("id", "n")))
+    n, good = F.col("n"), F.to_json(F.struct("id", "n"))
+    # cut off, with text behind, two objects, two with a comma, an array's end within, single quotes, an array, null
+    broken = [F.concat(F.lit('{"id": "'), F.col("id")), F.concat(good, F.lit(" junk")), F.concat(good, good), F.concat(good, F.lit(", "), good)]
+    broken += [F.concat(good, F.lit("] ["), good), F.replace(good, F.lit('"'), F.lit("'")), F.concat(F.lit("["), good, F.lit("]")), F.lit("null")]
+    which = F.element_at(F.array(*broken), (n % len(broken) + 1).cast("int"))
+    line = F.when(n % 5 == 0, which).when(n % 5 == 1, "").when(n % 5 == 2, F.to_json(F.struct("n"))).otherwise(good)
     responses(spark, sf_dir).select(line.alias("value")).write.text(path)
     return readers.read_jsonl_tolerant(spark, path, "id string, n bigint", required="id")
 
@@ -86,9 +92,9 @@ def a5_jsonl_alias(spark, sf_dir):
     say = F.when(e % 7 == 0, ', "answer": 0, "output": 7').when(e % 7 == 1, ', "answer": 0.0, "target": "t "').when(e % 7 == 2, ', "answer": "0"').when(e % 7 == 3, ', "answer": "false"')
     say = say.when(e % 7 == 4, ', "answer": [], "output": true').when(e % 7 == 5, ', "answer": {}, "target": 2.50').otherwise(', "answer": "a"')
     path = fresh_path(spark, "aliases")
-    # a file in the order of the ids, with a blank line behind each row
-    lines = table(spark, sf_dir, "events").select(F.concat(pair, ask, say, F.lit("}\n")).alias("value"), e.alias("event_id"))
-    lines.coalesce(1).sortWithinPartitions("event_id").select("value").write.text(path)
+    # a file for each 5,000 ids, in their order, with a blank line behind each row
+    lines = table(spark, sf_dir, "events").select(F.concat(pair, ask, say, F.lit("}\n")).alias("value"), e.alias("event_id"), F.floor(e / 5000).alias("part"))
+    lines.repartition("part").sortWithinPartitions("part", "event_id").select("value", "part").write.partitionBy("part").text(path)
     return readers.read_samples(spark, path)
 
 
@@ -122,6 +128,16 @@ def a8_ordered_sink(spark, sf_dir):
     return with_rank(saved(back, "back"), F.col("file"), F.col("at"), name="position").select("id", "gold", "position")
 
 
+@query
+def a8_published(spark, sf_dir):
+    """An output replaced by one that is made from itself."""
+    path = fresh_path(spark, "published")
+    publish.publish(responses(spark, sf_dir).select("id", "model", "gold", "n"), path)
+    again = lambda: publish.read_published(spark, path, "id string, model string, gold string, n bigint")
+    publish.publish(again().withColumn("gold", F.concat("gold", F.lit("!"))).filter("n % 5 != 0"), path)
+    return again()
+
+
 @query
 def a9_split_sinks(spark, sf_dir):
     path = fresh_path(spark, "splits")
@@ -147,13 +163,14 @@ def a11_json_report(spark, sf_dir):
 
 @query
 def a12_settings(spark, sf_dir):
-    settings = Settings.from_dict({"seed": 7, "val_fraction": 0.2}).to_dict()
-    return spark.createDataFrame([(k, str(v)) for k, v in settings.items() if not isinstance(v, dict)], "name string, value string")
+    """The split that a configuration asks for, others of its settings by default."""
+    settings = Settings.from_dict({"seed": 7, "val_fraction": 0.2})
+    return sampling.split(documents(spark, sf_dir).select("doc_id"), "doc_id", settings.seed, settings.val_fraction).select("doc_id", "split", F.lit(settings.max_words).alias("max_words"))
 
 
 @query
 def a13_columns(spark, sf_dir):
-    return readers.columns_of(documents(spark, sf_dir)).select("place", "name")
+    return readers.preview(documents(spark, sf_dir), "doc_id", 3).select("place", "name", "present", F.array_join("head", "|", "null").alias("head"))
 
 
 # projections, filters, predicates
@@ -216,6 +233,16 @@ def b7_reject_counts(spark, sf_dir):
     return filters.reject_counts(_quality(spark, sf_dir).withColumn("reason", _REASON()), "reason")
 
 
+@query
+def b7_counted_write(spark, sf_dir):
+    """Reject counts from the job that writes what is kept, beside what was written."""
+    path = fresh_path(spark, "kept")
+    counts = filters.write_kept(_quality(spark, sf_dir), _REASON(), lambda rows: writers.append_jsonl(rows.select("id"), path))
+    written = spark.read.schema("id bigint").json(path).agg(F.count(F.lit(1)).alias("written"))
+    reasons = F.from_json(F.lit(json.dumps(counts)), "map<string, bigint>")
+    return written.select(F.explode(reasons).alias("reason", "n"), "written")
+
+
 @query
 def b8_one_by_id(spark, sf_dir):
     return filters.one_by_id(responses(spark, sf_dir), "id", "s17").select("id", "model", "gold")
@@ -311,6 +338,12 @@ def d1_normalise(spark, sf_dir):
     return rows.select("n", score.normalised(F.col("pred"), F.col("task_type")).alias("pred_norm"), score.normalised(F.col("gold"), F.col("task_type")).alias("gold_norm"))
 
 
+@query
+def d1_ten_decimals(spark, sf_dir):
+    value = F.col("value")
+    return table(spark, sf_dir, "events").select("event_id", t.ten_decimals(value).alias("plain"), t.ten_decimals(value / 3e7).alias("small"), t.ten_decimals(value * -1e19).alias("large"))
+
+
 @query
 def d2_to_float(spark, sf_dir):
     rows = responses(spark, sf_dir)
@@ -379,7 +412,7 @@ def e5_not_done_for_model(spark, sf_dir):
 
 @query
 def e6_side_by_side(spark, sf_dir):
-    return relational.side_by_side(scored(spark, sf_dir), list(derived.MODELS[:3]), "answer", "n")
+    return relational.side_by_side(scored(spark, sf_dir), list(derived.MODELS), "answer", "n")
 
 
 @query
@@ -489,6 +522,38 @@ def f13_counters(spark, sf_dir):
     return reports.done_counters(scored(spark, sf_dir), F.col("gen_time") < 0)
 
 
+@query
+def f13_written_progress(spark, sf_dir):
+    """The counters of a run from the job that writes its rows."""
+    path = fresh_path(spark, "run")
+    found = reports.write_with_progress(scored(spark, sf_dir), F.col("gen_time") < 0, list(derived.TASKS), lambda rows: writers.append_jsonl(rows.select("n"), path))
+    return spark.createDataFrame(found, "task_type string, done bigint, errors bigint, parse_ok bigint, correct bigint")
+
+
+SAMPLE = ["task_type", "gold", "prompt"]
+
+
+def _evaluations(spark, sf_dir):
+    return results(spark, sf_dir).select("id", F.col("model").alias("model_label"), *SAMPLE, "pred", "correct", "n")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """Nested rows as a JSONL file has them."""
+    path = fresh_path(df.sparkSession, name)
+    publish.publish(df, path)
+    return publish.read_published(df.sparkSession, path, df.schema)
+
+
+@query
+def f14_clean_answers(spark, sf_dir):
+    """Right answers by sample, gathered in two runs."""
+    rows = _kept(evaluations.nested(_evaluations(spark, sf_dir), SAMPLE, "n"), "evaluations")
+    answers = lambda keep: evaluations.clean_answers(rows.withColumn("results", F.map_filter("results", keep)), SAMPLE, fields={"answer": "pred"})
+    first = _kept(answers(lambda label, _: label < F.lit("c")), "answers")
+    found = evaluations.merged_answers(first, answers(lambda label, _: F.lit(True)), SAMPLE)
+    return found.select("id", *SAMPLE, F.array_join(F.transform("correct_models", lambda m: F.concat(m["model"], F.lit("="), m["answer"])), "|").alias("models"))
+
+
 @query
 def f14_correct_models(spark, sf_dir):
     found = reports.correct_models(results(spark, sf_dir), "n", keep=["pred"])
@@ -598,7 +663,7 @@ def h9_keep_last(spark, sf_dir):
 
 @query
 def h10_label_difference(spark, sf_dir):
-    have = responses(spark, sf_dir).filter("n % 7 != 0").groupBy("id").agg(F.collect_set("model").alias("have"))
+    have = responses(spark, sf_dir).groupBy("id").agg(F.collect_set(F.when(F.col("n") % 7 != 0, F.col("model"))).alias("have"))  # a model four at most
     wanted = F.array(*[F.lit(m) for m in derived.MODELS])
     return have.select("id", F.array_join(relational.label_difference(wanted, F.col("have")), ",").alias("missing"))
 
@@ -610,6 +675,17 @@ def h11_upsert(spark, sf_dir):
     return relational.upsert(rows, new, ["id", "model"], "ordinal")
 
 
+@query
+def h11_nested_upsert(spark, sf_dir):
+    """Nested rows of a file, with the results of another run put in twice."""
+    rows = _evaluations(spark, sf_dir)
+    old = _kept(evaluations.nested(rows, SAMPLE, "n"), "evaluations")
+    again = rows.filter("n % 4 = 1").withColumns({"pred": F.concat("pred", F.lit("!")), "correct": F.lit(False), "gold": F.lit("other")})
+    new = evaluations.nested(again, SAMPLE, "n")
+    once = _kept(evaluations.merged(old, new, SAMPLE), "evaluations")
+    return evaluations.flattened(evaluations.merged(once, new, SAMPLE), SAMPLE)
+
+
 # streams
 
 

@@ -106,8 +106,8 @@ _RATES = "count(*) AS n, round_even(avg(correct::INT), 4) AS accuracy, round_eve
 _BOX = f"regexp_matches(raw, '{BOXED}')"
 _FIRST_TWO = "row_number() OVER (ORDER BY match_rate DESC, parse_rate DESC, model)"
 _METRICS = f"SELECT model, avg(correct::INT) AS match_rate, avg(parse_success::INT) AS parse_rate, avg({words('reasoning')}) AS avg_words, coalesce(avg(CASE WHEN gen_time >= 0 THEN gen_time END), 0) AS avg_time FROM {SCORED} GROUP BY model"
-_TOTALS = f"SELECT model, CASE WHEN grouping(task_type) = 1 THEN 'TOTAL' ELSE task_type END AS task_type, sum(correct::INT)::BIGINT AS correct, count(*) AS total FROM {SCORED} GROUP BY GROUPING SETS ((model, task_type), (model))"
-_SUMMARY = f"""SELECT model, CASE WHEN grouping(task) = 1 THEN 'TOTAL' ELSE task END AS task_type, sum(correct::INT)::BIGINT AS correct, count(*) AS total, round_even(sum(correct::INT) / count(*), 6) AS accuracy
+_TOTALS = f"SELECT model, CASE WHEN grouping(task_type) = 1 THEN 'TOTAL' ELSE task_type END AS task_type, grouping(task_type) = 1 AS is_total, sum(correct::INT)::BIGINT AS correct, count(*) AS total FROM {SCORED} GROUP BY GROUPING SETS ((model, task_type), (model))"
+_SUMMARY = f"""SELECT model, CASE WHEN grouping(task) = 1 THEN 'TOTAL' ELSE task END AS task_type, grouping(task) = 1 AS is_total, sum(correct::INT)::BIGINT AS correct, count(*) AS total, round_even(sum(correct::INT) / count(*), 6) AS accuracy
   FROM (SELECT *, coalesce(nullif(task_type, ''), 'unknown') AS task FROM {RESULTS}) GROUP BY GROUPING SETS ((model, task), (model))"""
 _SHORT = "coalesce(list_filter(string_split(model, '-'), lambda p: p <> '' AND NOT regexp_matches(replace(p, '.', ''), '^[0-9]+$'))[1], string_split(model, '-')[1])"
 _MOVING = f"""SELECT *, row_number() OVER w AS done, avg(gen_time) OVER (PARTITION BY model ORDER BY n ROWS 99 PRECEDING) AS recent, count(*) OVER (PARTITION BY model) AS total FROM {RESPONSES} WINDOW w AS (PARTITION BY model ORDER BY n)"""
@@ -121,16 +121,19 @@ ORACLES = {
     "a4_jsonl_tolerant": f"SELECT id, n FROM {RESPONSES} WHERE n % 5 > 2",
     "a5_jsonl_alias": """SELECT CASE WHEN event_id % 3 = 0 THEN 'jsonl_' || (2 * place) ELSE 'j' || event_id END AS sample_id, CASE event_id % 4 WHEN 0 THEN 'roman numeral' WHEN 1 THEN 'u' ELSE 'p' END AS prompt,
       CASE event_id % 7 WHEN 0 THEN '7' WHEN 1 THEN 't' WHEN 2 THEN '0' WHEN 3 THEN 'false' WHEN 4 THEN 'True' WHEN 5 THEN '2.5' ELSE 'a' END AS answer,
-      2 * place AS line, CASE event_id % 4 WHEN 0 THEN 'roman' ELSE '' END AS task_type FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events) WHERE event_id % 4 <> 3""",
+      2 * place AS line, CASE event_id % 4 WHEN 0 THEN 'roman' ELSE '' END AS task_type FROM (SELECT event_id, row_number() OVER (PARTITION BY event_id // 5000 ORDER BY event_id) - 1 AS place FROM events) WHERE event_id % 4 <> 3""",
     "a6_multi_file_scan": f"SELECT id, n, CASE WHEN n % 2 = 0 THEN 'even' ELSE 'odd' END AS origin, 1::BIGINT AS n_missing FROM {RESPONSES}",
     "a7_append_sink": f"SELECT id, model, n FROM {RESPONSES} WHERE n % 3 = 0 OR id NOT IN (SELECT id FROM {RESPONSES} WHERE n % 3 = 0)",
     "a8_ordered_sink": f"SELECT id || '/' || model AS id, gold, row_number() OVER (ORDER BY n % 3 <> 0, n) AS position FROM {RESPONSES}",
+    "a8_published": f"SELECT id, model, gold || '!' AS gold, n FROM {RESPONSES} WHERE n % 5 <> 0",
     "a9_split_sinks": f"SELECT doc_id, lang, CASE WHEN position <= floor(total * 0.1) THEN 'val' ELSE 'train' END AS split FROM {_SPLIT}",
     "a10_csv_sink": f"SELECT n, raw, gold FROM {RESPONSES}",
     "a11_json_report": _SUMMARY,
-    "a12_settings": """SELECT * FROM (VALUES ('seed', '7'), ('val_fraction', '0.2'), ('sample_size', '50'), ('smoke_size', '20'), ('sample_mode', 'task_balanced'), ('gate', '0.95'), ('pilot_rows', '100'), ('numeric_rel_tol', '0.001'),
-      ('numeric_abs_tol', '1e-06'), ('min_quality', '0.5'), ('max_words', '400'), ('downweight', '0.5'), ('default_max_new_tokens', '512'), ('workers', '15')) AS v(name, value)""",
-    "a13_columns": "SELECT column_index::INT - 1 AS place, column_name AS name FROM duckdb_columns() WHERE table_name = 'documents'",
+    "a12_settings": "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('7:' || doc_id::VARCHAR), doc_id) <= floor(count(*) OVER () * 0.2) THEN 'val' ELSE 'train' END AS split, 400 AS max_words FROM documents",
+    "a13_columns": " UNION ALL ".join(
+        f"SELECT {i} AS place, '{c}' AS name, (SELECT count({c}) FROM documents) AS present, (SELECT string_agg(coalesce({c}::VARCHAR, 'null'), '|' ORDER BY doc_id) FROM (SELECT doc_id AS doc_id, * EXCLUDE (doc_id) FROM documents ORDER BY doc_id LIMIT 3)) AS head"
+        for i, c in enumerate(("doc_id", "text", "lang", "source", "n_chars"))
+    ),
     "b1_labelled": f"SELECT ordinal, task_type FROM {PROBLEMS} WHERE task_type IS NOT NULL AND {strip('task_type')} <> ''",
     "b2_not_empty": f"SELECT ordinal FROM ({_KEPT})",
     "b3_required": f"SELECT count(*) AS n FROM {RESPONSES}",
@@ -139,6 +142,8 @@ ORACLES = {
     "b5_word_cap": f"SELECT id FROM {QUALITY} WHERE {_W_OK}",
     "b6_downweight": f"SELECT id FROM {QUALITY} WHERE {_S_OK}",
     "b7_reject_counts": f"SELECT CASE WHEN NOT {_Q_OK} THEN 'quality' WHEN NOT {_W_OK} THEN 'words' WHEN NOT {_S_OK} THEN 'downweight' ELSE 'kept' END AS reason, count(*) AS n FROM {QUALITY} GROUP BY 1",
+    "b7_counted_write": f"""WITH r AS (SELECT CASE WHEN NOT {_Q_OK} THEN 'quality' WHEN NOT {_W_OK} THEN 'words' WHEN NOT {_S_OK} THEN 'downweight' ELSE 'kept' END AS reason FROM {QUALITY})
+      SELECT v.reason, (SELECT count(*) FROM r WHERE r.reason = v.reason) AS n, (SELECT count(*) FROM r WHERE r.reason = 'kept') AS written FROM (VALUES ('quality'), ('words'), ('downweight'), ('kept')) AS v(reason)""",
     "b8_one_by_id": f"SELECT id, model, gold FROM {RESPONSES} WHERE id = 's17'",
     "b9_positive_time": f"SELECT model, avg(CASE WHEN gen_time >= 0 THEN gen_time END) AS avg_time FROM {RESPONSES} GROUP BY model",
     "b10_first_failures": f"SELECT id, model, answer, gold FROM {SCORED} WHERE NOT parse_success OR NOT correct ORDER BY n LIMIT 3",
@@ -156,6 +161,7 @@ ORACLES = {
     "c12_collapse": f"SELECT doc_id, {collapse('text')} AS collapsed FROM documents",
     "c13_word_count": f"SELECT doc_id, {words('text')}::BIGINT AS words FROM documents",
     "d1_normalise": f"SELECT n, pn AS pred_norm, gn AS gold_norm FROM {NORMALISED}",
+    "d1_ten_decimals": "SELECT event_id, printf('%.10f', value) AS plain, printf('%.10f', value / 3e7::DOUBLE) AS small, printf('%.10f', value * -1e19::DOUBLE) AS large FROM events",
     "d2_to_float": f"SELECT n, {to_float('x')} AS number FROM (SELECT n, CASE n % 6 WHEN 0 THEN gold || '_0' WHEN 1 THEN gold || 'd' WHEN 2 THEN gold || 'e2' ELSE gold END AS x FROM {RESPONSES})",
     "d3_score_relative": f"SELECT n, correct FROM {SCORED}",
     "d4_score_lenient": f"SELECT n, {lenient('pred', 'gold')} AS correct FROM (SELECT *, {SIMPLE} AS pred FROM {RESPONSES})",
@@ -169,17 +175,17 @@ ORACLES = {
     "e3_overlap": "SELECT count(*) AS n_overlap FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "e4_unfinished": f"SELECT id, 3 - count(DISTINCT model) FILTER (n % 7 <> 0 AND model <> 'dune') AS n_missing FROM {RESPONSES} GROUP BY id HAVING n_missing > 0",
     "e5_not_done_for_model": f"SELECT DISTINCT id FROM {RESPONSES} WHERE id NOT IN (SELECT id FROM {RESPONSES} WHERE n % 7 <> 0 AND model = 'dune')",
-    "e6_side_by_side": f"""SELECT id, arg_max(answer, n) FILTER (model = 'amber-1.5') AS model_1, arg_max(answer, n) FILTER (model = 'birch-2') AS model_2, arg_max(answer, n) FILTER (model = '3.1-cedar') AS model_3
-      FROM {SCORED} WHERE model <> 'dune' GROUP BY id""",
+    "e6_side_by_side": f"""SELECT id, arg_max(answer, n) FILTER (model = 'amber-1.5') AS model_1, arg_max(answer, n) FILTER (model = 'birch-2') AS model_2, arg_max(answer, n) FILTER (model = '3.1-cedar') AS model_3,
+      arg_max(answer, n) FILTER (model = 'dune') AS model_4 FROM {SCORED} GROUP BY id""",
     "e7_with_sample": f"SELECT r.id, r.model, s.gold, s.prompt FROM {RESPONSES} r JOIN (SELECT id, arg_min(gold, n) AS gold, arg_min(prompt, n) AS prompt FROM {RESPONSES} GROUP BY id) s USING (id)",
     "e8_summary_rows": "SELECT DISTINCT conv_id AS id FROM conversations WHERE conv_id IN (SELECT doc_id FROM labels)",
     "e9_prior_rows": "SELECT conv_id AS id, turn FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels)",
     "f1_accuracy": f"SELECT model, task_type, sum(correct::INT)::BIGINT AS correct, count(*) AS total FROM {SCORED} GROUP BY model, task_type",
     "f2_accuracy_with_totals": _TOTALS,
     "f3_summary": _SUMMARY,
-    "f3_nested_summary": f"WITH s AS ({_SUMMARY}) SELECT a.model, a.correct, a.total, a.accuracy, b.task_type, b.accuracy AS task_accuracy FROM s a JOIN s b USING (model) WHERE a.task_type = 'TOTAL' AND b.task_type <> 'TOTAL'",
-    "f4_flat_rates": f"SELECT CASE WHEN grouping(task_type) = 1 THEN 'TOTAL' ELSE task_type END AS task_type, {_RATES} FROM (SELECT *, {relative('pred', 'gold')} AS correct FROM (SELECT *, {SIMPLE} AS pred, {_BOX} AS has_boxed FROM {RESPONSES})) GROUP BY GROUPING SETS ((task_type), ())",
-    "f4_flat_rates_lenient": f"""SELECT * FROM (SELECT CASE WHEN g = 1 THEN 'TOTAL' ELSE t END AS task_type, n, CASE WHEN g = 1 THEN c ELSE round_even(c, 4) END AS accuracy, CASE WHEN g = 1 THEN b ELSE round_even(b, 4) END AS boxed_rate
+    "f3_nested_summary": f"WITH s AS ({_SUMMARY}) SELECT a.model, a.correct, a.total, a.accuracy, b.task_type, b.accuracy AS task_accuracy FROM s a JOIN s b USING (model) WHERE a.is_total AND NOT b.is_total",
+    "f4_flat_rates": f"SELECT CASE WHEN grouping(task_type) = 1 THEN 'TOTAL' ELSE task_type END AS task_type, grouping(task_type) = 1 AS is_total, {_RATES} FROM (SELECT *, {relative('pred', 'gold')} AS correct FROM (SELECT *, {SIMPLE} AS pred, {_BOX} AS has_boxed FROM {RESPONSES})) GROUP BY GROUPING SETS ((task_type), ())",
+    "f4_flat_rates_lenient": f"""SELECT * FROM (SELECT CASE WHEN g = 1 THEN 'TOTAL' ELSE t END AS task_type, g = 1 AS is_total, n, CASE WHEN g = 1 THEN c ELSE round_even(c, 4) END AS accuracy, CASE WHEN g = 1 THEN b ELSE round_even(b, 4) END AS boxed_rate
       FROM (SELECT grouping(task_type) AS g, task_type AS t, count(*) AS n, avg(correct::INT) AS c, avg(has_boxed::INT) AS b FROM (SELECT *, {lenient('pred', 'gold')} AS correct FROM (SELECT *, {SIMPLE} AS pred, {_BOX} AS has_boxed FROM {RESPONSES})) GROUP BY GROUPING SETS ((task_type), ()))) WHERE task_type <> ''""",
     "f5_quality_metrics": _METRICS,
     "f6_percent_labels": f"SELECT model, task_type, c || '/' || t || '  ' || floor(100.0 * c / t)::INT || '%' AS label FROM (SELECT model, task_type, sum(correct::INT)::BIGINT AS c, count(*) AS t FROM {SCORED} GROUP BY model, task_type)",
@@ -189,12 +195,15 @@ ORACLES = {
     "f9_costs": f"""SELECT model, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, (sum(tokens_in)::DOUBLE * any_value(i) + sum(tokens_out)::DOUBLE * any_value(o)) / 1e6 AS cost
       FROM {RESPONSES} JOIN (VALUES {', '.join(f"('{m}', {i}::DOUBLE, {o}::DOUBLE)" for m, (i, o) in derived.PRICES.items())}) AS p(model, i, o) USING (model) GROUP BY model""",
     "f10_gate": f"SELECT count(*) AS n, avg(parse_success::INT) AS parse_rate, avg(correct::INT) AS match_rate, parse_rate >= 0.95 AND match_rate >= 0.95 AS passed FROM (SELECT * FROM {SCORED} ORDER BY n LIMIT 100)",
-    "f11_winners": f"""WITH t AS (SELECT *, correct::DOUBLE / total AS rate, max(correct::DOUBLE / total) OVER (PARTITION BY task_type) AS best FROM ({_TOTALS}))
-      SELECT task_type, CASE WHEN count(*) > 1 OR any_value(best) = 0 THEN 'tie' ELSE any_value({_SHORT}) END AS winner FROM t WHERE rate = best GROUP BY task_type""",
+    "f11_winners": f"""WITH t AS (SELECT *, correct::DOUBLE / total AS rate, max(correct::DOUBLE / total) OVER (PARTITION BY task_type, is_total) AS best FROM ({_TOTALS}))
+      SELECT task_type, is_total, CASE WHEN count(*) > 1 OR any_value(best) = 0 THEN 'tie' ELSE any_value({_SHORT}) END AS winner FROM t WHERE rate = best GROUP BY task_type, is_total""",
     "f12_recommendation": f"""WITH r AS (SELECT *, {_FIRST_TWO} AS rn FROM ({_METRICS}))
       SELECT a.model AS winner, a.match_rate AS winner_rate, b.model AS second, b.match_rate AS second_rate FROM r a, r b WHERE a.rn = 1 AND b.rn = 2""",
-    "f13_counters": f"""SELECT CASE WHEN grouping(task_type) = 1 THEN 'TOTAL' ELSE task_type END AS task_type, CASE WHEN grouping(task_type) = 1 THEN count(*) ELSE count(*) FILTER (gen_time >= 0) END AS done, count(*) FILTER (gen_time < 0) AS errors,
+    "f13_counters": f"""SELECT CASE WHEN grouping(task_type) = 1 THEN 'TOTAL' ELSE task_type END AS task_type, grouping(task_type) = 1 AS is_total, CASE WHEN grouping(task_type) = 1 THEN count(*) ELSE count(*) FILTER (gen_time >= 0) END AS done, count(*) FILTER (gen_time < 0) AS errors,
       count(*) FILTER (gen_time >= 0 AND parse_success) AS parse_ok, count(*) FILTER (gen_time >= 0 AND correct) AS correct FROM {SCORED} GROUP BY GROUPING SETS ((task_type), ())""",
+    "f13_written_progress": f"""SELECT CASE WHEN grouping(task_type) = 1 THEN NULL ELSE task_type END AS task_type, CASE WHEN grouping(task_type) = 1 THEN count(*) ELSE count(*) FILTER (gen_time >= 0) END AS done, count(*) FILTER (gen_time < 0) AS errors,
+      count(*) FILTER (gen_time >= 0 AND parse_success) AS parse_ok, count(*) FILTER (gen_time >= 0 AND correct) AS correct FROM {SCORED} GROUP BY GROUPING SETS ((task_type), ())""",
+    "f14_clean_answers": f"SELECT id, any_value(task_type) AS task_type, any_value(gold) AS gold, any_value(prompt) AS prompt, string_agg(model || '=' || pred, '|' ORDER BY model >= 'c', n) AS models FROM {RESULTS} WHERE correct GROUP BY id",
     "f14_correct_models": f"SELECT id, string_agg(model || '=' || pred, '|' ORDER BY n) AS models FROM (SELECT id, model, min(n) AS n, arg_min(pred, n) AS pred FROM {RESULTS} WHERE correct GROUP BY id, model) GROUP BY id",
     "g1_moving_average": f"SELECT n, done, recent, (total - done) * recent / 15 AS seconds_left FROM ({_MOVING})",
     "g2_progress": f"SELECT model, done, recent FROM ({_MOVING}) WHERE done % 100 = 0",
@@ -221,7 +230,8 @@ ORACLES = {
     "h8_keep_first": f"SELECT id, arg_min(coalesce(answer, '~'), ordinal) AS answer, min(ordinal) AS ordinal FROM {PROBLEMS} WHERE id IS NOT NULL GROUP BY id".replace("arg_min(coalesce(answer, '~'), ordinal)", "nullif(arg_min(coalesce(answer, '~'), ordinal), '~')"),
     "h9_keep_last": f"SELECT id, nullif(arg_max(coalesce(answer, '~'), ordinal), '~') AS answer, max(ordinal) AS ordinal FROM {PROBLEMS} WHERE id IS NOT NULL GROUP BY id",
     "h10_label_difference": f"""SELECT id, array_to_string(list_sort(list_filter(['amber-1.5', 'birch-2', '3.1-cedar', 'dune'], lambda x: NOT list_contains(have, x))), ',') AS missing
-      FROM (SELECT id, list(DISTINCT model) AS have FROM {RESPONSES} WHERE n % 7 <> 0 GROUP BY id)""",
+      FROM (SELECT id, coalesce(list(DISTINCT model) FILTER (n % 7 <> 0), []) AS have FROM {RESPONSES} GROUP BY id)""",
     "h11_upsert": f"SELECT id, model, CASE WHEN n % 4 = 1 THEN gold || '!' ELSE gold END AS gold, CASE WHEN n % 4 = 1 THEN -n ELSE n END AS ordinal FROM {RESPONSES}",
+    "h11_nested_upsert": f"SELECT id, task_type, gold, prompt, model AS model_label, CASE WHEN n % 4 = 1 THEN pred || '!' ELSE pred END AS pred, n % 4 <> 1 AND correct AS correct FROM {RESULTS}",
     "messages_by_conversation": "SELECT conv_id, count(*) AS n_messages, string_agg(role || ':' || length(text), ',' ORDER BY turn) AS shape FROM conversations GROUP BY conv_id",
 }

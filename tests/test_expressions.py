@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import random
+import struct
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -42,6 +44,8 @@ def test_to_float(spark):
         ("REASONING: only", ("REASONING: only", "PARSE_ERROR", False)),
         ("REASONING: ANSWER: 7", ("", "7", True)),
         ("", ("", "PARSE_ERROR", False)),
+        ("REASONING:\u2003r ANSWER:\u00a0\n42", ("r", "42", True)),
+        ("REASONING: r ANSWER:\x1c\x85\u3000\n 7 \nx", ("r", "7", True)),
     ],
 )
 def test_parsed(spark, text, expected):
@@ -135,3 +139,21 @@ def test_properties(spark, texts):
     assert column(spark, texts, t.strip) == [x.strip() for x in texts]
     assert column(spark, texts, t.word_count) == [len(x.split()) for x in texts]
     assert all(column(spark, texts, lambda v: score.score_relative(v, v, F.lit("gravity"))))
+
+
+def test_word_borders_follow_unicode(spark):
+    cases = {"x 10101010 y": "10101010", "é10101010": None, "10101010ñ": None, "漢10101010 11110000": "11110000"}
+    assert column(spark, list(cases), lambda c: t.last(t.matches(c, extract.BIN8))) == list(cases.values())
+    assert column(spark, ["éXIV", "XIV é", "XIVñ"], lambda c: t.last(t.matches(c, extract.ROMAN))) == [None, "XIV", None]
+    assert column(spark, ["Answer\u00a0:\u2003 5", "thus\u3000：\x1f6"], extract.last_answer_line) == ["5", "6"]
+
+
+def test_ten_decimals_are_those_of_python(spark):
+    rng = random.Random(3)
+    ties = [(2 * rng.randint(0, 10**6) + 1) / 2**k for k in (11, 12, 20) for _ in range(300)]
+    some = [0.0, -0.0, 1e22, 1e23, 2.0**63, 2.0**63 - 1024, 9.99999999995, 0.99999999995, 5e-11, 1.5e-10, 5e-324, -1e-20, 2.0**-34, 2.0**-35, 3 * 2.0**-36, 1.7976931348623157e308, math.inf, -math.inf, math.nan]
+    drawn = [struct.unpack("d", struct.pack("Q", rng.getrandbits(64)))[0] for _ in range(1500)] + [rng.random() * 10 ** rng.randint(-14, 20) for _ in range(1500)]
+    values = [*some, *ties, *drawn]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in values], "x double").select(t.ten_decimals(F.col("x"))).collect()]
+    assert [(x, g) for x, g in zip(values, got) if g != f"{x:.10f}"] == []
+    assert value(spark, score.normalised(F.lit("0.00048828125"), F.lit("gravity"))) == "0.0004882812"

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import csv
 import json
+import os
+import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomwork.config import Settings
-from loomwork.operators import filters, relational, reports, sampling
-from loomwork.sources import readers, writers
-from loomwork.storage import with_rank
+from loomwork.operators import evaluations, filters, relational, reports, sampling
+from loomwork.sources import publish, readers, writers
+from loomwork.storage import looked_up, saved, scratch, with_rank
 from loomwork.streaming import resume
 
 SIX = ["bit_manipulation", "cipher_text", "gravity", "roman", "symbol_transform", "unit_conversion"]
@@ -90,7 +94,7 @@ def test_golden_totals_winner_and_recommendation(spark):
     rows = [("one-1", x, i < right[x], True, "w", 1.0) for x in SIX for i in range(total[x])] + [("two-2", x, True, True, "w w", -1.0) for x in SIX for _ in range(total[x])]
     df = spark.createDataFrame(rows, "model string, task_type string, correct boolean, parse_success boolean, reasoning string, gen_time double")
     table = reports.accuracy_with_totals(df)
-    totals = {r["model"]: (r["correct"], r["total"]) for r in table.filter("task_type = 'TOTAL'").collect()}
+    totals = {r["model"]: (r["correct"], r["total"]) for r in table.filter("is_total").collect()}
     assert totals == {"one-1": (45, 50), "two-2": (50, 50)}
     winners = {r["task_type"]: r["winner"] for r in reports.winners(table).collect()}
     assert winners["gravity"] == "tie" and winners["symbol_transform"] == "two" and winners["TOTAL"] == "two"
@@ -104,6 +108,16 @@ def test_golden_totals_winner_and_recommendation(spark):
     assert (gate["match_rate"], gate["passed"]) == (0.9, False)
 
 
+def test_a_task_may_be_called_total(spark):
+    df = spark.createDataFrame([("m", "TOTAL", True, True), ("m", "x", False, True), ("m", "x", True, False)], "model string, task_type string, correct boolean, parse_success boolean")
+    assert sorted(map(tuple, reports.accuracy_with_totals(df).collect())) == [("m", "TOTAL", False, 1, 1), ("m", "TOTAL", True, 2, 3), ("m", "x", False, 1, 2)]
+    nested = reports.nested_summary(reports.summary(df)).first()
+    assert (nested["correct"], nested["total"], set(nested["by_task"])) == (2, 3, {"TOTAL", "x"})
+    assert sorted((r["task_type"], r["is_total"]) for r in reports.winners(reports.accuracy_with_totals(df)).collect()) == [("TOTAL", False), ("TOTAL", True), ("x", False)]
+    assert sorted((r["task_type"], r["is_total"], r["n"]) for r in reports.flat_rates(df, {"a": "correct"}).collect()) == [("TOTAL", False, 1), ("TOTAL", True, 3), ("x", False, 2)]
+    assert sorted((r["task_type"], r["is_total"], r["done"]) for r in reports.done_counters(df, F.lit(False)).collect()) == [("TOTAL", False, 1), ("TOTAL", True, 3), ("x", False, 2)]
+
+
 def test_reports_of_nothing(spark):
     empty = spark.createDataFrame([], "model string, task_type string, correct boolean, parse_success boolean, reasoning string, gen_time double")
     assert reports.summary(empty).count() == 0 and reports.quality_metrics(empty).count() == 0
@@ -129,6 +143,161 @@ def test_jsonl_is_judged_by_whole_lines(spark, tmp_path):
             action()
 
 
+GOOD = ['{"id":"a","n":1}', ' {"id":"b","n":2}\t', '{"id":"c","__end":"z"}', '{"id":"d","x":[{"y":"}"}]}']
+BROKEN = [
+    '{"id":"a","n":1} junk', '{"id":"a","n":3}{"id":"b","n":4}', "{'id':'e','n':5}", '{"id":"a"},{"id":"b"}', '{"id":"a"}] [{"id":"b"}', '{"id":"a"},{"__end":true}] x', '{"id":"a"},true',
+    '[{"id":"a"}]', "42", '"x"', "null", '{"id":"a"', '{"id":"a"},', "{id:1}", "",
+]
+
+
+def test_a_line_holds_one_object(spark):
+    rows = spark.createDataFrame([(x,) for x in GOOD + BROKEN], "line string").select("line", readers.one_object(F.col("line")).alias("ok")).collect()
+    assert {r["line"] for r in rows if r["ok"]} == set(GOOD)
+
+
+@pytest.mark.parametrize("line", BROKEN[:-1])
+def test_readers_refuse_lines_of_more_or_less_than_one_object(spark, tmp_path, line):
+    (tmp_path / "x.jsonl").write_text("\n".join([*GOOD, line, '{"id":"last","prompt":"p","answer":"a"}']) + "\n")
+    schema = "id string, n bigint"
+    kept = readers.read_jsonl_tolerant(spark, str(tmp_path), schema)
+    assert [r["id"] for r in kept.collect()] == ["a", "b", "c", "d", "last"] and kept.count() == 5
+    for read in (lambda: readers.read_jsonl(spark, str(tmp_path), schema).count(), lambda: readers.read_samples(spark, str(tmp_path)).collect()):
+        with pytest.raises(Exception, match="malformed line"):
+            read()
+
+
+def test_numbered_lines_read_twice_at_most(spark, tmp_path):
+    (tmp_path / "x").write_text("a\nb\n")
+    got = readers.numbered_lines(spark, str(tmp_path))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("text") == 1  # and one read for the table of places
+
+
+def csv_file(path, rng, rows, ending):
+    fields = ["", "plain", "with, comma", 'say "x", ""y""', "two\nlines", "crlf\r\nin\n\n\nblank", " spaced ", "é漢", "z" * 400]
+    with open(path, "w", newline="") as f:
+        out = csv.writer(f, lineterminator=ending)
+        out.writerow(["id", "prompt", "answer", "task_type"])
+        out.writerows([f"i{i}", *(rng.choice(fields) for _ in range(3))] for i in range(rows))
+
+
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_csv_with_line_breaks_is_split(spark, tmp_path, ending):
+    rng = random.Random(1)
+    for name, n in (("a", 1500), ("b", 40), ("c", 0)):
+        csv_file(tmp_path / f"{name}.csv", rng, n, ending)
+    # a record over many splits; no last line feed
+    (tmp_path / "long.csv").write_text('id,prompt,answer,task_type\n1,"' + "line\n" * 4000 + '",x,\n\n2,y,"z"', newline="")
+    want = []
+    for file in sorted(tmp_path.iterdir()):
+        with open(file, newline="") as f:
+            want += [tuple(x or None for x in r) + (None,) * (4 - len(r)) for r in list(csv.reader(f))[1:] if r]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "6k")
+    try:
+        got = [tuple(r) for r in readers.read_csv(spark, str(tmp_path)).collect()]
+        assert spark.read.text(str(tmp_path), lineSep="\n").withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    if ending == "\n":
+        assert sorted(map(repr, got)) == sorted(repr(tuple(r)) for r in readers.read_csv(spark, str(tmp_path), whole_files=True).collect())
+
+
+@pytest.mark.parametrize("text", ['1,a"b,c,d\n2,"x",y,z\n', '1,"ab"c,c,d\n', '1,"abc,c,d\n2,a,b,c\n', '1,b,c,d\n2, "q",r,s\n', '1,b,c,"\n'])
+def test_csv_with_quotes_within_fields_is_refused(spark, tmp_path, text):
+    (tmp_path / "x.csv").write_text("id,prompt,answer,task_type\n" + text)
+    with pytest.raises(Exception, match="whole_files"):
+        readers.read_csv(spark, str(tmp_path)).collect()
+
+
+def test_rank_offsets_are_an_array(spark):
+    """Ten thousand partitions' offsets, looked up by index; the plan holds no map."""
+    values = [7 * i for i in range(10_000)]
+    df = spark.range(30_000).select("id", looked_up(values, F.col("id") % 10_000).alias("x"))
+    assert df.filter("x != 7 * (id % 10000)").count() == 0
+    assert "map" not in with_rank(spark.range(50), F.desc("id"))._jdf.queryExecution().optimizedPlan().toString()
+    assert with_rank(spark.range(0), F.col("id")).count() == 0
+
+
+def test_scratch_scopes_are_per_thread(spark, tmp_path):
+    made = []
+    with scratch(spark):
+        inside = saved(spark.range(3), "inside")
+        other = threading.Thread(target=lambda: made.append(saved(spark.range(4), "other")))
+        other.start()
+        other.join()
+        assert inside.count() == 3
+    assert made[0].count() == 4
+    with pytest.raises(Exception):
+        inside.count()
+
+
+def test_preview(spark):
+    df = spark.createDataFrame([(2, None), (1, "a"), (3, "c")], "n int, s string")
+    assert [tuple(r) for r in readers.preview(df, "n", 2).orderBy("place").collect()] == [(0, "n", "int", 3, ["1", "2"]), (1, "s", "string", 2, ["a", None])]
+    assert [tuple(r) for r in readers.preview(df.limit(0), "n", 2).orderBy("place").collect()] == [(0, "n", "int", 0, []), (1, "s", "string", 0, [])]
+
+
+def test_published_output_is_old_or_new(spark, tmp_path):
+    path = str(tmp_path / "out")
+    with pytest.raises(FileNotFoundError):
+        publish.read_published(spark, path)
+    ids = lambda: sorted(r[0] for r in publish.read_published(spark, path, "id bigint").collect())
+    publish.publish(spark.range(3), path)
+    with pytest.raises(Exception):  # fails while it is written
+        publish.publish(spark.range(100, 1000, 1, 8).withColumn("id", F.when(F.col("id") < 900, F.col("id")).otherwise(F.raise_error(F.lit("lost")).cast("long"))), path)
+    assert ids() == [0, 1, 2] and len([x for x in os.listdir(path) if x.startswith("version-")]) == 1
+    with pytest.MonkeyPatch.context() as m:  # fails between the rows and the pointer to them
+        m.setattr(publish, "_make_current", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            publish.publish(spark.range(9), path)
+    assert ids() == [0, 1, 2]
+    reading = publish.read_published(spark, path, "id bigint")
+    publish.publish(reading.select(F.col("id") + 10), path, fmt="json")
+    publish.publish(spark.range(5), path)
+    assert ids() == [0, 1, 2, 3, 4]
+    assert len(publish.versions(spark, path)) == 2 and not [x for x in os.listdir(path) if "next" in x]
+
+
+def test_counters_come_from_the_writing_job(spark, tmp_path):
+    df = spark.range(100).withColumns({"text": F.lit("a b"), "q": F.col("id") % 10})
+    reason = filters.reject_reason(F.col("q") > 0, F.col("q") > 1, F.lit(True))
+    spark.sparkContext.setJobGroup("counted", "")
+    got = filters.write_kept(df, reason, lambda rows: writers.append_jsonl(rows, str(tmp_path / "kept")))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted")) == 1
+    assert got == {"quality": 10, "words": 10, "downweight": 0, "kept": 80} and spark.read.json(str(tmp_path / "kept")).count() == 80
+    rows = spark.createDataFrame([("t", True, True, False), ("t", None, None, False), ("t", True, True, True), ("u", True, False, False), (None, True, True, False)], "task_type string, parse_success boolean, correct boolean, failed boolean")
+    spark.sparkContext.setJobGroup("progress", "")
+    progress = reports.write_with_progress(rows, F.col("failed"), ["t", "v"], lambda df: writers.append_jsonl(df, str(tmp_path / "all")))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("progress")) == 1
+    spark.sparkContext.setJobGroup("", "")
+    assert progress == [("t", 2, 1, 1, 1), ("v", 0, 0, 0, 0), (None, 5, 1, 3, 2)]
+
+
+FLAT = "id string, model_label string, task_type string, prompt string, gold_answer string, prediction_extracted string, correct boolean, n bigint"
+SAMPLE = ["task_type", "prompt", "gold_answer"]
+
+
+def test_nested_evaluations_round_trip(spark, tmp_path):
+    flat = spark.createDataFrame([
+        ("a", "m2", "t", "p", "g", "x", True, 1), ("a", "m1", "t2", "p2", "g2", "y", False, 2), ("a", "m2", "t", "p", "g", "z", False, 3), ("b", "m1", "t", None, "g", None, None, 4), (None, "m1", "t", "p", "g", "x", True, 5), ("c", None, "t", "p", "g", "x", True, 6),
+    ], FLAT)
+    rows = evaluations.nested(flat, SAMPLE, "n")
+    publish.publish(rows, str(tmp_path / "e"))
+    back = publish.read_published(spark, str(tmp_path / "e"), rows.schema)
+    shown = lambda df: {r["id"]: (tuple(r[c] for c in SAMPLE), [(e["key"], e["value"]["prediction_extracted"], e["value"]["correct"]) for e in r["e"]]) for r in df.withColumn("e", F.map_entries("results")).collect()}
+    assert shown(back) == {"a": (("t", "p", "g"), [("m2", "z", False), ("m1", "y", False)]), "b": (("t", None, "g"), [("m1", None, None)])}
+    new = evaluations.nested(spark.createDataFrame([("a", "m1", "T", "P", "G", "new", True, 1), ("a", "m3", "T", "P", "G", "w", True, 2), ("d", "m1", "t", "p", "g", "v", True, 3)], FLAT), SAMPLE, "n")
+    merged = evaluations.merged(back, new, SAMPLE)
+    want = {"a": (("t", "p", "g"), [("m2", "z", False), ("m1", "new", True), ("m3", "w", True)]), "b": (("t", None, "g"), [("m1", None, None)]), "d": (("t", "p", "g"), [("m1", "v", True)])}
+    assert shown(merged) == want and shown(evaluations.merged(merged, new, SAMPLE)) == want
+    assert evaluations.flattened(merged, SAMPLE).count() == 5
+    fields = {"answer": "prediction_extracted"}
+    old = evaluations.clean_answers(evaluations.nested(flat.filter("n = 1"), SAMPLE, "n"), SAMPLE, fields=fields)
+    clean = evaluations.merged_answers(old, evaluations.clean_answers(merged, SAMPLE, fields=fields), SAMPLE)
+    assert {r["id"]: [tuple(m) for m in r["correct_models"]] for r in clean.collect()} == {"a": [("m2", "x"), ("m1", "new"), ("m3", "w")], "d": [("m1", "v")]}
+
+
 def test_lines_are_numbered_within_their_file(spark, tmp_path):
     for name, n in (("a", 2000), ("b", 3), ("c", 0)):
         (tmp_path / name).write_text("".join(f"{name}{i}\n" + ("\n" if i % 10 == 9 else "") for i in range(n)))
@@ -203,12 +372,48 @@ def test_settings():
 
 def test_resume_stream_is_idempotent(spark, tmp_path):
     source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
-    writers.append_jsonl(spark.createDataFrame([("a",), ("b",), ("a",)], "id string"), source)
-    run = lambda: resume.resume_stream(spark, source, "id string", out, mark, lambda df: df).awaitTermination()
+    schema = "id string, v int"
+    put = lambda *rows: writers.append_jsonl(spark.createDataFrame(rows, schema).coalesce(1), source)
+    run = lambda at=mark: resume.resume_stream(spark, source, schema, out, at, lambda df: df, order_col="v").awaitTermination()
+    done = lambda: sorted(((r["id"], r["v"]) for r in spark.read.parquet(out).collect()), key=str)
+    put(("a", 3), ("b", 2), ("a", 1), (None, 7))
+    run()
+    put(("b", 0), ("c", 4), ("c", None), (None, 7), ("a", 0))
     run()
-    writers.append_jsonl(spark.createDataFrame([("b",), ("c",)], "id string"), source)
+    want = sorted([("a", 1), ("b", 2), ("c", None), (None, 7), (None, 7)], key=str)
+    assert done() == want
     run()
-    assert sorted(r[0] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+    assert done() == want
+    run(str(tmp_path / "other"))  # another checkpoint reads all files anew, and finds what is done in the output
+    assert [x for x in done() if x[0]] == [x for x in want if x[0]]
+
+
+def test_resume_stream_runs_a_batch_again(spark, tmp_path):
+    """A batch that fails before it is committed leaves nothing twice."""
+    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    writers.append_jsonl(spark.range(50).select(F.col("id").cast("string")), source)
+    runs = []
+
+    def process(batch):
+        runs.append(1)
+        return batch if len(runs) > 1 else batch.withColumn("id", F.when(F.col("id") != "17", F.col("id")).otherwise(F.raise_error(F.lit("lost")).cast("string")))
+
+    with pytest.raises(Exception):
+        resume.resume_stream(spark, source, "id string", out, mark, process).awaitTermination()
+    resume.resume_stream(spark, source, "id string", out, mark, process).awaitTermination()
+    assert sorted(int(r["id"]) for r in spark.read.parquet(out).collect()) == list(range(50))
+
+
+def test_resume_batch_cost_does_not_follow_the_output(spark, tmp_path):
+    """A later batch writes a file of its own and reads no file of the output."""
+    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    seen = []
+    process = lambda df: (seen.append(df._jdf.queryExecution().analyzed().toString()), df)[1]
+    for k in range(3):
+        writers.append_jsonl(spark.range(k * 2000, (k + 1) * 2000 + 100).select(F.col("id").cast("string")), source)
+        resume.resume_stream(spark, source, "id string", out, mark, process).awaitTermination()
+    assert spark.read.parquet(out).count() == 6100 and not any("parquet" in x for x in seen)
+    assert [len([f for f in fs if f.endswith(".parquet")]) for d, _, fs in os.walk(out) if "__batch=" in d] == [1, 1, 1]
 
 
 def test_progress_stream(spark, tmp_path):

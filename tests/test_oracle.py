@@ -20,5 +20,5 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     rows = entry.entry(spark).collect()
-    assert rows and {"model", "task_type", "correct", "total", "winner"} == set(rows[0].asDict())
+    assert rows and {"model", "task_type", "is_total", "correct", "total", "winner"} == set(rows[0].asDict())
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -16,6 +16,7 @@ in blocks; repeated rows are counted row by row; other columns aren't looked at;
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 import json
@@ -69,6 +70,22 @@ def differing(normaliser, splitter) -> list[int]:
     return [c for c, k in enumerate(kind) if k in ("Cn", "Cs") or c in odd]
 
 
+def library_parts(path: str):
+    """The library's normaliser, and its splitter of normalised texts."""
+    with open(path, encoding="utf-8") as f:
+        pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    return Tokenizer.from_file(path).normalizer, pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+
+
+@functools.cache
+def odd_classes(path: str) -> tuple[str, str]:
+    """Patterns of a character that may be odd, and of one that is.
+
+    One quick look at each character; only a text that has one beyond U+FFFF, or an odd one, is held against all ranges."""
+    odd = differing(*library_parts(path))
+    return ranges([*(c for c in odd if c < 0x10000), *range(0x10000, 0x110000)]), ranges(odd)
+
+
 def byte_symbols() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -79,7 +96,7 @@ def byte_symbols() -> dict[int, str]:
 class TokenCounter:
     """Counts tokens of texts under one vocabulary file. Words seen before are looked up."""
 
-    def __init__(self, path: str, cache_words: int = 300_000) -> None:
+    def __init__(self, path: str, cache_words: int = 300_000, odd: tuple[str, str] | None = None) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -96,12 +113,8 @@ class TokenCounter:
         self.rules = {(num(a), num(b)): (rank, num(a + b)) for rank, (a, b) in enumerate(pairs)}
         specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
-        self.normaliser = Tokenizer.from_file(path).normalizer
-        self.splitter = pre_tokenizers.Split(Regex(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), "removed", invert=True)
-        odd = differing(self.normaliser, self.splitter)
-        # one quick look at each character; only a text that has one beyond U+FFFF, or an odd one, is held against all ranges
-        self.unusual = re.compile(ranges([*(c for c in odd if c < 0x10000), *range(0x10000, 0x110000)]))
-        self.odd = re.compile(ranges(odd))
+        self.normaliser, self.splitter = library_parts(path)
+        self.unusual, self.odd = map(re.compile, odd or odd_classes(path))
         self.cache: dict[str, int] = {}
         self.cache_words = cache_words
 
@@ -183,11 +196,14 @@ _COUNTERS: dict[str, TokenCounter] = {}
 
 
 def token_counts(text: Column, vocabulary: str) -> Column:
-    """A struct column (n_bytes, n_tokens) of whole texts; ``vocabulary`` is the file's path on every worker."""
+    """A struct column (n_bytes, n_tokens) of whole texts; ``vocabulary`` is the file's path on the driver and on every worker.
+
+    Odd code points are found once, on the driver, whose Python is that of the workers."""
+    odd = odd_classes(vocabulary)
 
     @worker_udf("struct<n_bytes: bigint, n_tokens: bigint>")
     def count(texts: pa.Array) -> pa.Array:
-        counter = _COUNTERS.get(vocabulary) or _COUNTERS.setdefault(vocabulary, TokenCounter(vocabulary))
+        counter = _COUNTERS.get(vocabulary) or _COUNTERS.setdefault(vocabulary, TokenCounter(vocabulary, odd=odd))
         sizes, tokens = [], []
         for x in texts:
             t = x.as_py()

@@ -201,13 +201,17 @@ def with_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
             out.append(_result(text, len(words(text)), merge((y["a"], y["b"]) for y in r.as_py() or ()), set(f.as_py() or ())))
         return pa.array(out, out_type)
 
-    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "texts")
+    # a row's columns stay within a struct, so that none of their names meets one of these
+    rows = saved(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "texts")
+    text = F.col("doc")[text_col]
     found = []
     for block in itertools.chain([first, second], blocks):  # executors hold one at a time
         shared = _Shared(spark, block)
-        scanned = rows.select("__row", _scan(shared, width)(F.col(text_col)).alias("p"))
-        found.append(saved(scanned.filter("size(p.runs) > 0").select("__row", "p.runs", "p.items"), "hits"))
+        scanned = rows.select("row", _scan(shared, width)(text).alias("p"))
+        found.append(saved(scanned.filter("size(p.runs) > 0").select("row", "p.runs", "p.items"), "hits"))
         shared.gone()
-    by_row = functools.reduce(DataFrame.unionByName, found).groupBy(F.col("__row").alias("__of")).agg(F.flatten(F.collect_list("runs")).alias("__runs"), F.flatten(F.collect_list("items")).alias("__items"))
-    full = rows.join(by_row, F.col("__row") == F.col("__of"), "left")
-    return full.withColumn(into, joined(F.col(text_col), F.col("__runs"), F.col("__items"))).drop("__row", "__of", "__runs", "__items")
+    by_row = functools.reduce(DataFrame.unionByName, found).groupBy(F.col("row").alias("of")).agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
+    full = rows.join(by_row, F.col("row") == F.col("of"), "left").select("doc", joined(text, F.col("runs"), F.col("items")).alias("result"))
+    replaced = [c.lower() == into.lower() for c in docs.columns]
+    kept = [F.col("result").alias(into) if again else F.col("doc")[c].alias(c) for c, again in zip(docs.columns, replaced)]
+    return full.select(*kept, *([] if any(replaced) else [F.col("result").alias(into)]))

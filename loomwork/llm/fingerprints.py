@@ -8,10 +8,12 @@ kept. Sketches of two versions subtract cell by cell; what they share cancels. P
 digest, by count, check and place, removes it from its other cells, and so recovers the digests that differ.
 
 The fingerprint is the sketch as text, ``tables' size;digests;cell:count:digests,...`` in hexadecimal. It is a function
-of the text alone: the sketch is peeled by itself, and if it gets stuck, made again twice as large, up to ``TRIES`` times.
+of the text alone: the sketch is peeled by itself, and while it gets stuck, made again twice as large.
 ``likeness`` is 1 - differing / (all digests of both), 1 for two empty sets, and comes from two sketches alone: they are
 subtracted and peeled; of two sizes the smaller sketch is first brought to the larger size, from the digests that it was
-peeled into. Where peeling the difference gets stuck, larger sketches with other hashes are made of these digests.
+peeled into. Where peeling the difference gets stuck, sketches of these digests with other hashes are made, each twice as large
+as the one before, up to 2**28 cells. Digests that shared their cells in all of these sizes would at last be compared as they are,
+so a likeness is always the true one.
 
 The next document is that of the next smaller id, nulls last, ties by a hash of the text; after the last comes
 the first. Rows that repeat id and text are one document here, each with the same next one. The order is made
@@ -31,8 +33,9 @@ from loomwork.storage import with_rank
 
 SHORT, LONG = 96, 256
 LEAST = 16
+#: Passes of one peeling; one that needs more counts as stuck, and is made larger.
 ROUNDS = 64
-TRIES = 3
+LARGEST = 1 << 28
 SALT = 7919
 
 
@@ -48,12 +51,12 @@ def digests(text: str) -> str:
     return f"array_distinct(transform({pieces}, p -> {let('h', top, 'shiftleft(h, 16) | cast(hash(h) & 65535 as bigint)')}))"
 
 
-def cell(x: str, table: str, s: str, salt: int) -> str:
+def cell(x: str, table: str, s: str, salt: int | str) -> str:
     """SQL: the cell of digest ``x`` in a table."""
-    return f"cast(3 * (xxhash64({x}, {salt}L + {table}) & ({s} - 1)) + {table} as int)"
+    return f"cast(3 * (xxhash64({x}, cast({salt} as bigint) + {table}) & ({s} - 1)) + {table} as int)"
 
 
-def entries(xs: str, n: int, s: str, salt: int = 0) -> str:
+def entries(xs: str, n: int, s: str, salt: int | str = 0) -> str:
     """SQL: what digests add to cells, each ``n`` times."""
     one = ", ".join(f"named_struct('c', {cell('x', str(t), s, salt)}, 'n', {n}, 'x', x)" for t in range(3))
     return f"flatten(transform({xs}, x -> array({one})))"
@@ -69,7 +72,7 @@ def combined(entries_: str) -> str:
     return let("es", f"sort_array({entries_})", f"if(size(es) = 0, es, {cells})")
 
 
-def sketch(xs: str, s: str, salt: int = 0) -> str:
+def sketch(xs: str, s: str, salt: int | str = 0) -> str:
     """SQL: struct (s, n, cells) of an array of distinct digests."""
     return f"named_struct('s', {s}, 'n', size({xs}), 'cells', {combined(entries(xs, 1, s, salt))})"
 
@@ -78,7 +81,7 @@ def negated(cells: str) -> str:
     return f"transform({cells}, e -> named_struct('c', e.c, 'n', -e.n, 'x', e.x))"
 
 
-def peel(cells: str, s: str, salt: int = 0) -> str:
+def peel(cells: str, s: str, salt: int | str = 0) -> str:
     """SQL: struct (cells, plus, minus): the cells left after peeling, and the digests recovered by sign.
 
     A digest and a table are one number, 4 * digest + table. Cells that hold one digest go as they are, and only
@@ -94,7 +97,7 @@ def peel(cells: str, s: str, salt: int = 0) -> str:
     taken = let("plus", of("ups"), let("minus", of("downs"), state(rest, "concat(s_.plus, plus)", "concat(s_.minus, minus)", "size(plus) + size(minus) = 0")))
     step = let("split", split, let("ups", at(1), let("downs", at(-1), taken)))
     none = "cast(array() as array<bigint>)"
-    return f"aggregate(sequence(1, {ROUNDS}), {state(cells, none, none, 'false')}, (s_, k_) -> if(s_.stop or size(s_.cells) = 0, s_, {step}))"
+    return f"aggregate(sequence(1, {ROUNDS}), {state(cells, none, none, 'false')}, (s_, r_) -> if(s_.stop or size(s_.cells) = 0, s_, {step}))"
 
 
 def outcome(peeled: str) -> str:
@@ -107,14 +110,22 @@ def recovered(of: str) -> str:
     return let("r", peel(f"{of}.cells", f"{of}.s"), "if(size(r.cells) = 0, r.plus, cast(null as array<bigint>))")
 
 
+CELLS = "array<struct<c: int, n: int, x: bigint>>"
+
+
+def first_of(s: str, body: str, kind: str) -> str:
+    """SQL: ``body``, an expression of a size ``s_of``, at ``s``, 2 * ``s`` and so on up to LARGEST, of the first for which it isn't null."""
+    sizes = f"transform(sequence(0, greatest(0, {LARGEST.bit_length() - 1} - length(bin({s})) + 1)), d_ -> shiftleft({s}, d_))"
+    return f"aggregate({sizes}, cast(null as {kind}), (f_, s_of) -> if(f_ is not null, f_, {body}))"
+
+
 def with_sketch(rows: DataFrame, xs: str, into: str) -> DataFrame:
     """Add the sketch of the digests ``xs``, of the first size at which it can be peeled, and as ``into``_xs what it is peeled into."""
     least = f"shiftleft(1, length(bin(greatest(size({xs}), {LEAST}) - 1)))"
-    rows = rows.withColumn(into, F.expr(sketch(xs, least))).withColumn(f"{into}_xs", F.expr(recovered(into)))
-    for _ in range(TRIES):
-        rows = rows.withColumn(into, F.expr(f"if({into}_xs is null, {sketch(xs, f'2 * {into}.s')}, {into})"))
-        rows = rows.withColumn(f"{into}_xs", F.expr(f"coalesce({into}_xs, {recovered(into)})"))
-    return rows
+    peeled = let("xs_", recovered("sk_"), "if(xs_ is null, null, named_struct('sk', sk_, 'xs', xs_))")
+    made = first_of(least, let("sk_", sketch(xs, "s_of"), peeled), f"struct<sk: struct<s: int, n: int, cells: {CELLS}>, xs: array<bigint>>")
+    rows = rows.withColumn("__made", F.expr(f"coalesce({made}, named_struct('sk', {sketch(xs, least)}, 'xs', {xs}))"))
+    return rows.withColumns({into: F.col("__made.sk"), f"{into}_xs": F.col("__made.xs")}).drop("__made")
 
 
 def with_likeness(rows: DataFrame, name: str, a: str, b: str, b_cells: bool = True) -> DataFrame:
@@ -128,12 +139,12 @@ def with_likeness(rows: DataFrame, name: str, a: str, b: str, b_cells: bool = Tr
     if b_cells:
         two = f"if({b}.s = {s}, {negated(f'{b}.cells')}, {two})"
     rows = rows.withColumn(diff, F.expr(outcome(peel(combined(f"concat({one}, {two})"), s))))
-    for k in range(1, TRIES + 1):
-        more = f"shiftleft({s}, {k})"
-        again = outcome(peel(combined(f"concat({entries(xs, 1, more, SALT * k)}, {entries(ys, -1, more, SALT * k)})"), more, SALT * k))
-        rows = rows.withColumn(diff, F.expr(f"coalesce({diff}, {again})"))
-    # sketches that can't be read at all are taken to share nothing
-    share = f"try_divide(cast(coalesce({diff}, {a}.n + {b}.n) as double), {a}.n + {b}.n)"
+    salt = f"{SALT} * (length(bin(s_of)) - length(bin({s})))"  # by how often it was doubled
+    again = outcome(peel(combined(f"concat({entries(xs, 1, 's_of', salt)}, {entries(ys, -1, 's_of', salt)})"), "s_of", salt))
+    larger = first_of(f"least(2 * {s}, {LARGEST})", again, "int")
+    compared = f"size(array_except({xs}, {ys})) + size(array_except({ys}, {xs}))"
+    rows = rows.withColumn(diff, F.expr(f"coalesce({diff}, {larger}, {compared})"))
+    share = f"try_divide(cast({diff} as double), {a}.n + {b}.n)"
     return rows.withColumn(name, F.expr(f"coalesce(1 - {share}, 1D)")).drop(diff)
 
 

@@ -134,14 +134,16 @@ def fit(
 ) -> LanguageFilters:
     """Learn the filters from labelled rows.
 
-    Of the values of ``lang_col`` the ``max_languages`` most frequent ones are learned (the filters take 8 MB for each 62).
+    All values of ``lang_col`` are learned. The filters take 8 MB for each 62 of them, and more than ``max_languages`` are an error, as a
+    bound on memory that left some out would give their texts other names.
     About ``docs_per_language`` rows of each are used at most, chosen by a hash of ``sample_key`` and text. An n-gram enters a language's filter if it occurs ``min_count`` times there and
     its relative frequency is at least ``min_relative`` of the largest in any language. What reaches
     the driver is one row per filled slot: ``n_slots`` at most for each 62 languages."""
     ship(labelled.sparkSession)
     rows = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    most = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_languages)
-    counts = {r[0]: r[1] for r in most.collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(max_languages + 1).collect()}
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     languages = sorted(counts)
     n_planes = max(1, -(-len(languages) // PLANE_BITS))
     planes = np.zeros((n_planes, n_slots), dtype=np.int64)

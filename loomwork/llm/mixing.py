@@ -59,11 +59,12 @@ def rates(docs: DataFrame, source_col: str, text_col: str, alpha: float, weights
 
 
 def known(docs: DataFrame, text_col: str, broadcast_rows: int) -> DataFrame:
-    """``docs`` with ``__row``, the columns as a string with the text's md5, and ``__nth``, the number among rows equal in all of them.
+    """``docs`` with ``__row``, the columns as a JSON object with the text's md5, so that rows that differ have different ones, and
+    ``__nth``, the number among rows equal in all of them.
 
     Rows that have no equal aren't moved. Others are counted by value, which combines map-side, and made anew from the count."""
-    shown = [F.md5(F.col(c).cast("binary")) if c == text_col else F.col(c).cast("string") for c in docs.columns]
-    rows = docs.withColumn("__row", F.concat_ws(chr(31), *[F.coalesce(x, F.lit("null")) for x in shown]))
+    shown = [F.md5(F.col(c).cast("binary")).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    rows = docs.withColumn("__row", F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}))
     again = rows.groupBy(F.md5("__row").alias("__again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__again")
     again = saved(again, "repeated-rows")
     n = again.count()

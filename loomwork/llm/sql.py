@@ -63,7 +63,7 @@ c AS (
   SELECT source, draws, list_transform(range(0, 161), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(-mean + j * ln(mean) - lgamma(j + 1))))) AS cdf FROM m
 ), d AS (
   SELECT doc_id, source, text, row_number() OVER (PARTITION BY doc_id, source, text) AS nth,
-         concat_ws(chr(31), coalesce(doc_id::VARCHAR, 'null'), coalesce(source, 'null'), coalesce(md5(text), 'null')) AS row
+         to_json({'doc_id': doc_id, 'source': source, 'text': md5(text)})::VARCHAR AS row
   FROM documents
 ), u AS (
   SELECT doc_id, d.source, text, row, nth, draws, cdf, list_transform(range(1, draws + 1), lambda j: (('0x' || substr(md5('mix:' || row || ':' || nth || ':' || j), 1, 12))::BIGINT + 0.5) / 281474976710656.0) AS us

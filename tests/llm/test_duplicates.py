@@ -114,6 +114,20 @@ def test_sketches_too_small_are_made_larger(spark):
     assert made["s"] > 16 and set(made["got"]) == {x, other}
 
 
+def test_likeness_of_sketches_that_never_peel(spark, monkeypatch):
+    """Where no size peels the digests are compared as they are; a peeling that is cut off is made larger."""
+    of = lambda a, b: f"transform(sequence({a}L, {b}L), i -> shiftleft(i, 16) | cast(hash(cast(i as bigint)) & 65535 as bigint))"
+    rows = fingerprints.with_sketch(fingerprints.with_sketch(spark.range(1).select(F.expr(of(1, 40)).alias("a"), F.expr(of(11, 60)).alias("b")), "a", "one"), "b", "two")
+    with_all = fingerprints.with_likeness(rows, "near", "one", "two").first()
+    assert with_all["near"] == pytest.approx(1 - 30 / 90)
+    monkeypatch.setattr(fingerprints, "outcome", lambda peeled: f"if(size({peeled}.cells) < 0, 0, cast(null as int))")
+    assert fingerprints.with_likeness(rows, "near", "one", "two").first()["near"] == pytest.approx(1 - 30 / 90)
+    monkeypatch.undo()
+    monkeypatch.setattr(fingerprints, "ROUNDS", 1)
+    cut = fingerprints.with_sketch(spark.range(1).select(F.expr(of(1, 60)).alias("a")), "a", "one").select("one.s", F.size("one_xs").alias("n")).first()
+    assert cut["n"] == 60 and cut["s"] > 64
+
+
 def test_sketches_are_native(spark):
     plan = fingerprints.fingerprinted(cases.documents(spark))._jdf.queryExecution().toString()
     assert "ArrowEval" not in plan and "BatchEval" not in plan

@@ -203,6 +203,21 @@ def test_equal_rows_are_made_anew(spark, monkeypatch):
     assert sorted((r["text"] or "", r["n"]) for r in got) == [("", [1, 2]), ("x", list(range(1, 9))), ("y", [1])]
 
 
+def test_rows_that_differ_have_keys_that_differ(spark):
+    """A null and the text "null", and values that hold what separates them from others."""
+    rows = [(1, None, "x"), (1, "null", "x"), (1, "a\x1fb", None), (1, "a", "b"), (1, 'a","text":"b', "c"), (1, "", None), (1, None, None), (None, "1", "x"), (1, "a", ""), (1, "a\x1f", "b")]
+    for columns in ("doc_id bigint, source string, text string", "doc_id bigint, text string, source string"):
+        docs = spark.createDataFrame(rows, columns)
+        assert mixing.known(docs, "text", 100).select("__row").distinct().count() == len(rows)
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string, text string"), weights={"a": 1.0, "null": 30.0})
+    assert out.select("shuffle_key").distinct().count() == out.count() > 0
+
+
+def test_mixing_is_native(spark):
+    plan = mixing.mix(cases.documents(spark))._jdf.queryExecution().toString()
+    assert "ArrowEval" not in plan and "BatchEval" not in plan and "InArrow" not in plan
+
+
 @pytest.mark.parametrize("most", [10_000, 0])
 def test_mixing_cases(spark, most):
     docs = cases.documents(spark)

@@ -148,7 +148,9 @@ def test_languages_are_learned_at_any_count(spark, monkeypatch):
     monkeypatch.undo()
     few = langid.fit(docs, docs_per_language=40)
     assert few.languages == ["de", "en"] and few.predict(["the and of", "der die das"])[0] == ["en", "de"]
-    assert langid.fit(docs, max_languages=1).languages == ["de"]
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        langid.fit(docs, max_languages=1)
+    assert langid.fit(docs, max_languages=2).languages == ["de", "en"]
 
 
 def test_many_languages(spark):
@@ -268,11 +270,14 @@ def test_long_items_are_scanned_in_parts(spark):
     long = cases.sentence(rng, 500).split()
     items = [(1, " ".join(long)), (2, " ".join(long[40:60])), (3, cases.sentence(rng, 30))]
     texts = [" ".join(long[a:b]) for a, b in ((0, 500), (3, 13), (95, 111), (488, 500), (0, 9), (200, 260))]
-    docs = spark.createDataFrame([(t, 1, 2) for t in texts], "text string, __row long, item_id int")
+    docs = spark.createDataFrame([(t, *range(7)) for t in texts], "text string, __row long, item_id int, row int, of int, doc int, runs int, items int")
     for most in (2_000_000, 200, 1000):
-        got = decontaminate.with_contamination(docs.drop("__row"), spark.createDataFrame(items, "item_id bigint, text string"), max_window_words=most, into="contamination")
+        got = decontaminate.with_contamination(docs, spark.createDataFrame(items, "item_id bigint, text string"), max_window_words=most, into="contamination")
+        assert got.columns == [*docs.columns, "contamination"] and {tuple(r)[1:-1] for r in got.collect()} == {tuple(range(7))}
         for r in got.select("text", "contamination.*").collect():
             assert tuple(r)[1:6] == contaminated(r["text"], items)
+        # a column named as the result is replaced where it stands
+        assert decontaminate.with_contamination(docs, spark.createDataFrame(items, "item_id bigint, text string"), max_window_words=most, into="of").columns == docs.columns
 
 
 def test_contamination_of_very_long_texts(spark):

@@ -79,19 +79,22 @@ def sides(x: np.ndarray, pivot: int, mu: int, r: int) -> tuple[np.ndarray, np.nd
 
 
 class ShardTree:
-    """The top of the vantage-point tree, of ``2 ** depth`` shards at most."""
+    """The top of the vantage-point tree. A part of the sample is split while it is over ``most``, copies counted, so
+    that depth follows what a shard really gets, and only shards that are too large get deeper.
 
-    def __init__(self, sample: np.ndarray, depth: int, r: int) -> None:
+    Of random fingerprints, the worst case, n in all and b to a shard, copies make n * (n / b) ** 0.37 rows."""
+
+    def __init__(self, sample: np.ndarray, most: float, r: int) -> None:
         self.r, self.shards = r, 0
-        self.root = self._grow(sample, depth)
+        self.root = self._grow(sample, most)
 
-    def _grow(self, x: np.ndarray, depth: int):
-        cut = vantage(x, self.r) if depth and len(x) > 8 else None
+    def _grow(self, x: np.ndarray, most: float):
+        cut = vantage(x, self.r) if len(x) > max(8, most) else None
         if cut is None:
             self.shards += 1
             return self.shards - 1
         near, far = sides(x, *cut, self.r)
-        return (*cut, self._grow(x[near], depth - 1), self._grow(x[far], depth - 1))
+        return (*cut, self._grow(x[near], most), self._grow(x[far], most))
 
     def route(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         todo = [(self.root, x)]
@@ -167,15 +170,14 @@ def local_links(x: np.ndarray, r: int) -> list[tuple[int, int]]:
 def links(nodes: DataFrame, r: int, *, shard_rows: int = 1 << 15, sample_per_shard: int = 64, most_sampled: int = 1 << 21) -> DataFrame:
     """Edges (a, b) that connect the fingerprints ``fp`` of ``nodes`` just as all links within r bits do.
 
-    The tree comes from a sample of ``sample_per_shard`` fingerprints for each shard wanted, about ``most_sampled`` (16 MB) in
+    The tree comes from a sample of ``sample_per_shard`` fingerprints for each ``shard_rows``, about ``most_sampled`` (16 MB) in
     all at most; the links are exact for any tree, and a shard is split further by the task that has it."""
     ship(nodes.sparkSession)
     n = nodes.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / shard_rows))))
-    share = min(most_sampled, sample_per_shard << depth) / max(1, n)
-    sample = nodes.filter(sample_below(share, F.col("fp"))).select("fp").toArrow()["fp"] if depth else pa.array([], pa.int64())
+    share = min(1.0, most_sampled / max(1, n), sample_per_shard / shard_rows)
+    sample = nodes.filter(sample_below(share, F.col("fp"))).select("fp").toArrow()["fp"] if n > shard_rows else pa.array([], pa.int64())
     drawn = np.sort(np.asarray(sample).astype(np.int64)).view(np.uint64)
-    tree = ShardTree(np.random.default_rng(0).permutation(drawn), depth, r)
+    tree = ShardTree(np.random.default_rng(0).permutation(drawn), share * shard_rows, r)
     shared = nodes.sparkSession.sparkContext.broadcast(tree)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

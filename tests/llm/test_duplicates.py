@@ -221,6 +221,18 @@ def test_near_duplicates_in_shards(spark):
     assert len(set(group)) < len(set(prints))
 
 
+@pytest.mark.parametrize("wanted", [1, 16, 128])
+def test_shards_keep_to_their_bound(wanted):
+    """With their copies, over twice the bound in no shard, and growing as the docstring says."""
+    x = np.random.default_rng(1).integers(0, 2**63, 1 << 17).astype(np.uint64)
+    rows = len(x) // wanted
+    share = min(1.0, 64 / rows)
+    tree = simhash.ShardTree(x[: int(len(x) * share)], share * rows, 2)
+    sizes = [len(part) for _, part in tree.route(x)]
+    assert max(sizes) <= 2 * rows and sum(sizes) <= 1.35 * len(x) * wanted**0.37
+    assert set(np.concatenate([part for _, part in tree.route(x)]).tolist()) == set(x.tolist())
+
+
 def test_links_over_the_shard_tree(spark):
     rng = np.random.default_rng(8)
     x = np.unique(rng.integers(0, 2**63, 1500).astype(np.uint64))

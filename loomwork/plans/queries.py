@@ -157,7 +157,7 @@ def a10_csv_sink(spark, sf_dir):
 @query
 def a11_json_report(spark, sf_dir):
     text = writers.report_json({"summary": reports.summary(results(spark, sf_dir))})
-    rows = F.explode(F.from_json(F.get_json_object(F.lit(text), "$.summary"), "array<struct<model: string, task_type: string, correct: bigint, total: bigint, accuracy: double>>"))
+    rows = F.explode(F.from_json(F.get_json_object(F.lit(text), "$.summary"), "array<struct<model: string, task_type: string, is_total: boolean, correct: bigint, total: bigint, accuracy: double>>"))
     return spark.range(1).select(rows.alias("r")).select("r.*")
 
 

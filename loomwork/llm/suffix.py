@@ -14,9 +14,9 @@ still repeat is dropped:
 3. Pairs. A window has 38 bytes more on at least one side of its anchor. The pairs (rank of the anchor, rank
    of what stands at that offset) are sorted, which ranks 62 bytes; unique ones drop out.
 4. Windows. The stretches of windows around what is left are sorted by anchor and position, and
-   windows are compared over the whole threshold: the first of each stays, the others go. A task holds
-   at most ``held`` windows of one anchor; windows beyond are passed on as rows and sorted by
-   Spark on their own rank, so that no anchor is too frequent for a task.
+   windows are compared over the whole threshold: the first of each stays, the others go. The windows of
+   an anchor that has more than ``held`` of them never meet in its task: each goes, where it stands, to
+   the sort by its own rank, so that no anchor is too frequent for a task.
 
 Each round is one shuffle of small rows. Texts are shuffled once, compressed, into a table bucketed by
 document that later rounds join without moving it. Digests have 128 bits; anchors are only a filter.
@@ -30,12 +30,14 @@ whatever these are, but those that begin with two underscores. An empty table gi
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +53,8 @@ UNITS = "struct<packed: binary, units: array<struct<u1: bigint, u2: bigint, a: i
 _UNIT_TYPE = pa.list_(pa.struct([("u1", pa.int64()), ("u2", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
 KEY = ["__doc", "__tie"]
 CHUNK_BYTES = 8 << 20
+#: Bytes of stretches whose windows a task ranks at a time.
+PART_BYTES = 1 << 19
 #: Bytes of text in a bucket of the table of texts, at most about; buckets aren't split when they are read.
 BUCKET_BYTES = 256 << 20
 
@@ -227,15 +231,15 @@ def anchors(texts: DataFrame, threshold: int, gram: int, block: int) -> DataFram
 
 
 def stretches(texts: DataFrame, threshold: int, gram: int, block: int) -> DataFrame:
-    """(h, doc, tie, a, b, bytes) for each run of open windows that share an anchor with a repeated rank pair.
+    """(h, doc, tie, a, b, n, bytes) for each run of open windows that share an anchor with a repeated rank pair.
 
-    A run equal to an earlier one among the texts scanned together is settled: its bytes are null."""
-    names, kinds = ["h", *KEY, "a", "b", "bytes"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    ``n`` is the number of its windows. A run equal to an earlier one among the texts scanned together is settled: n is 0, its bytes are null."""
+    names, kinds = ["h", *KEY, "a", "b", "n", "bytes"], [*[pa.int64()] * 6, pa.binary()]
     side = (threshold - gram + 1) // 2
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[0], r[5], r[1], r[2], r[3]))
-        rows[1:] = [(*r[:5], None) if (r[0], r[5]) == before else r for r, before in zip(rows[1:], [(q[0], q[5]) for q in rows])]
+        rows.sort(key=lambda r: (r[0], r[6], r[1], r[2], r[3]))
+        rows[1:] = [(*r[:5], 0, None) if (r[0], r[6]) == before else r for r, before in zip(rows[1:], [(q[0], q[6]) for q in rows])]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +264,7 @@ def stretches(texts: DataFrame, threshold: int, gram: int, block: int) -> DataFr
                     if key[a]:
                         for x in range(a, b, STRETCH):
                             y = min(b, x + STRETCH)
-                            out.append((int(key[a].view(np.int64)), row["__doc"].as_py(), row["__tie"].as_py(), s + x, s + y, raw[s + x : s + y + threshold - 1]))
+                            out.append((int(key[a].view(np.int64)), row["__doc"].as_py(), row["__tie"].as_py(), s + x, s + y, y - x, raw[s + x : s + y + threshold - 1]))
                             size += y - x + threshold
             if size >= CHUNK_BYTES:
                 yield emit(out)
@@ -268,71 +272,90 @@ def stretches(texts: DataFrame, threshold: int, gram: int, block: int) -> DataFr
         if out:
             yield emit(out)
 
-    return texts.mapInArrow(batches_of(scan), "h bigint, __doc bigint, __tie bigint, a bigint, b bigint, bytes binary")
+    return texts.mapInArrow(batches_of(scan), "h bigint, __doc bigint, __tie bigint, a bigint, b bigint, n bigint, bytes binary")
 
 
-def compared(rows: DataFrame, threshold: int, held: int) -> DataFrame:
-    """Windows of stretches, compared within their anchor in order of position.
-
-    Returns settled runs (w1 null; window starts a to b aren't first) and, beyond ``held`` windows of
-    an anchor, open windows with their rank (w1, w2) for another sort."""
-    spread = rows.repartition(F.when(F.col("bytes").isNull(), F.xxhash64("h", *KEY, "a")).otherwise(F.col("h"))).sortWithinPartitions("h", *KEY, "a")
-    names = ["w1", "w2", *KEY, "a", "b"]
+def _windows(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, row, start, hash, other hash) by window, for the stretches in parts of about PART_BYTES."""
+    for batch in batches:
+        size = np.cumsum(np.asarray(pc.binary_length(batch["bytes"]), dtype=np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PART_BYTES, side="right")))
+            part = batch.slice(at, stop - at)
+            text = part["bytes"].to_pylist()
+            data, length = np.frombuffer(b"".join(text), dtype=np.uint8), np.array([len(t) for t in text])
+            n = length - threshold + 1
+            row = np.repeat(np.arange(len(n)), n)
+            within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            place = (np.cumsum(length) - length)[row] + within
+            one, two = (Rolling(data, k).all(threshold)[place] for k in (0, 1))
+            yield part, row, np.asarray(part["a"])[row] + within, one, two
+            at = stop
+
+
+def _first(order: np.ndarray, *ranks: np.ndarray) -> np.ndarray:
+    """Of rows that ``order`` sorts by rank, those that come first of their rank."""
+    first = np.ones(len(order), dtype=bool)
+    first[order[1:]] = np.any([r[order][1:] != r[order][:-1] for r in ranks], axis=0)
+    return first
+
+
+def _runs(rows: pa.RecordBatch, row: np.ndarray, start: np.ndarray, index: np.ndarray) -> list[pa.Array]:
+    """doc, tie, a, b of the windows at ``index``, neighbours of one stretch as one run."""
+    cut = np.flatnonzero((np.diff(index) != 1) | (row[index][1:] != row[index][:-1])) + 1
+    lo, hi = index[np.concatenate([[0], cut])], index[np.append(cut, len(index)) - 1]
+    return [*(rows[c].take(pa.array(row[lo])) for c in KEY), pa.array(start[lo]), pa.array(start[hi] + 1)]
+
+
+def compared(rows: DataFrame, threshold: int) -> DataFrame:
+    """(doc, tie, a, b): starts from a to b of windows that aren't first, of stretches compared within their anchor in order of position."""
+    spread = rows.repartition("h").sortWithinPartitions("h", *KEY, "a")
+    names = [*KEY, "a", "b"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none_seen = np.zeros((2, 0), dtype=np.uint64)
         group, seen = None, none_seen  # the anchor at the end of the last part, its windows by both hashes
-        for batch in batches:
-            settled = batch.filter(batch["bytes"].is_null())
-            if settled.num_rows:
-                none = pa.nulls(settled.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, *(settled[c] for c in names[2:])], names)
-            batch = batch.filter(batch["bytes"].is_valid())
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                h, doc, tie, a = (np.asarray(part[c]) for c in ("h", *KEY, "a"))
-                text = part["bytes"].to_pylist()
-                data = np.frombuffer(b"".join(text), dtype=np.uint8)
-                length = np.array([len(t) for t in text])
-                n = length - threshold + 1
-                row = np.repeat(np.arange(len(n)), n)
-                within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                place = (np.cumsum(length) - length)[row] + within
-                one, two = (Rolling(data, k).all(threshold)[place] for k in (0, 1))
-                start = a[row] + within
-                key, of = mixed(one ^ mixed(h[row].view(np.uint64))), h[row]
-                order = np.lexsort((two, key))  # positions stay in order
-                first = np.ones(len(key), dtype=bool)
-                first[order[1:]] = (key[order][1:] != key[order][:-1]) | (two[order][1:] != two[order][:-1])
-                open_rows = np.zeros(len(key), dtype=bool)
-                if group is not None and h[0] == group:
-                    mine = of == group
-                    if seen.shape[1]:
-                        at = np.minimum(np.searchsorted(seen[0], key), seen.shape[1] - 1)
-                        first &= ~(mine & (seen[0, at] == key) & (seen[1, at] == two))
-                    if seen.shape[1] >= held:
-                        open_rows = mine & first
-                if h[-1] != group:
-                    group, seen = h[-1], none_seen
-                new = (of == group) & first & ~open_rows
-                seen = np.concatenate([seen, np.stack([key[new], two[new]])], axis=1)
-                seen = seen[:, np.argsort(seen[0], kind="stable")]
-                gone = ~first
-                index = np.flatnonzero(gone)
-                if len(index):
-                    # neighbours of one stretch make a run
-                    cut = np.flatnonzero((np.diff(index) != 1) | (row[index][1:] != row[index][:-1])) + 1
-                    lo, hi = index[np.concatenate([[0], cut])], index[np.append(cut, len(index)) - 1]
-                    none = pa.nulls(len(lo), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, pa.array(doc[row[lo]]), pa.array(tie[row[lo]]), pa.array(start[lo]), pa.array(start[hi] + 1)], names)
-                if open_rows.any():
-                    o = np.flatnonzero(open_rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(one[o].view(np.int64)), pa.array(two[o].view(np.int64)), pa.array(doc[row[o]]), pa.array(tie[row[o]]), pa.array(start[o]), pa.array(start[o] + 1)], names)
-
-    return spread.mapInArrow(batches_of(scan), "w1 bigint, w2 bigint, __doc bigint, __tie bigint, a bigint, b bigint")
-
-
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: int = THRESHOLD, gram: int = GRAM, held: int = 1_000_000, block: int = BLOCK) -> DataFrame:
+        for part, row, start, one, two in _windows(batches, threshold):
+            h = np.asarray(part["h"])
+            of = h[row]
+            key = mixed(one ^ mixed(of.view(np.uint64)))
+            first = _first(np.lexsort((two, key)), key, two)  # positions stay in order
+            if h[0] == group and seen.shape[1]:
+                at = np.minimum(np.searchsorted(seen[0], key), seen.shape[1] - 1)
+                first &= ~((of == group) & (seen[0, at] == key) & (seen[1, at] == two))
+            if h[-1] != group:
+                group, seen = h[-1], none_seen
+            new = (of == group) & first
+            seen = np.concatenate([seen, np.stack([key[new], two[new]])], axis=1)
+            seen = seen[:, np.argsort(seen[0], kind="stable")]
+            if not first.all():
+                yield pa.RecordBatch.from_arrays(_runs(part, row, start, np.flatnonzero(~first)), names)
+
+    return spread.mapInArrow(batches_of(scan), "__doc bigint, __tie bigint, a bigint, b bigint")
+
+
+def loosened(rows: DataFrame, threshold: int) -> DataFrame:
+    """Stretches as windows that are to be sorted by their own rank (w1, w2), without a shuffle.
+
+    Of equal windows read together the first in position is such a row; the others are settled, as runs without a rank."""
+    names = ["w1", "w2", *KEY, "a", "b"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, row, start, one, two in _windows(batches, threshold):
+            doc, tie = (np.asarray(part[c])[row] for c in KEY)
+            first = _first(np.lexsort((start, tie, doc, two, one)), one, two)
+            if not first.all():
+                runs = _runs(part, row, start, np.flatnonzero(~first))
+                none = pa.nulls(len(runs[0]), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, *runs], names)
+            w1, w2 = (pa.array(x[first].view(np.int64)) for x in (one, two))
+            yield pa.RecordBatch.from_arrays([w1, w2, pa.array(doc[first]), pa.array(tie[first]), pa.array(start[first]), pa.array(start[first] + 1)], names)
+
+    return rows.mapInArrow(batches_of(scan), "w1 bigint, w2 bigint, __doc bigint, __tie bigint, a bigint, b bigint")
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: int = THRESHOLD, gram: int = GRAM, held: int = 1 << 14, block: int = BLOCK) -> DataFrame:
     """The columns of ``docs`` but the text, with __packed (the compressed text) and __spans: ranges of
     starts of windows that also start earlier. Texts are scanned in blocks of ``block`` window starts."""
     ship(docs.sparkSession)
@@ -345,12 +368,17 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     single = saved(repeated(anchors(still, threshold, gram, block), "h", KEY), "anchors")
     paired = saved(repeated(anchors(still.join(sets(single), KEY), threshold, gram, block), "h", KEY), "pairs")
     drop_saved(single)
-    windows = saved(compared(stretches(still.join(sets(paired), KEY), threshold, gram, block), threshold, held), "windows")
+    runs = saved(stretches(still.join(sets(paired), KEY), threshold, gram, block), "stretches")
     drop_saved(paired)
+    frequent = few(saved(runs.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > held).select("h"), "frequent"))
+    open_runs = runs.filter("n > 0")
+    within = compared(open_runs.join(frequent, "h", "left_anti"), threshold)
+    windows = saved(loosened(open_runs.join(frequent, "h", "left_semi"), threshold), "windows")
     beyond = not_first(windows.filter("w1 is not null"), ["w1", "w2"], ["b"])
+    settled = [runs.filter("n = 0"), within, windows.filter("w1 is null"), beyond]
     long = lambda rows: rows.select(*KEY, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    spans = saved(lists(long(chunks).unionByName(long(windows.filter("w1 is null"))).unionByName(long(beyond))), "spans")
-    drop_saved(chunks, windows)
+    spans = saved(lists(functools.reduce(DataFrame.unionByName, map(long, [chunks, *settled]))), "spans")
+    drop_saved(chunks, runs, windows)
     found = texts.drop("__units").join(spans.withColumnRenamed("spans", "__spans"), KEY, "left")
     return (found if others is None else others.join(found, KEY)).drop(*KEY)
 

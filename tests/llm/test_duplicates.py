@@ -133,7 +133,7 @@ def test_sketches_are_native(spark):
     assert "ArrowEval" not in plan and "BatchEval" not in plan
 
 
-@pytest.mark.parametrize("held", [1_000_000, 1])
+@pytest.mark.parametrize("held", [1_000_000, 200, 1])
 def test_repeats_match_brute_force(spark, held):
     rng = random.Random(3)
     passage = cases.sentence(rng, 40)
@@ -147,6 +147,27 @@ def test_repeats_match_brute_force(spark, held):
     assert [kept[i] for i, _ in rows] == [w[4].decode("utf-8", "ignore") for w in want]
 
 
+def test_frequent_anchors_do_not_meet_in_a_task(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = cases.sentence(rng, 60)
+    # one near copy in many, so that no chunk settles what lies between the edits
+    texts = [" ".join(w if rng.random() > 0.04 else rng.choice("abc") for w in passage.split()) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    inner, most = suffix.compared, []
+
+    def watched(rows, threshold):
+        most.append(rows.groupBy("h").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0)
+        return inner(rows, threshold)
+
+    monkeypatch.setattr(suffix, "compared", watched)
+    results = []
+    for held in (10**9, 300):
+        results.append({r["doc_id"]: tuple(r["d"]) for r in suffix.removals(docs, held=held).select("doc_id", suffix.digests().alias("d")).collect()})
+    assert most[0] > 300 >= most[1]
+    assert [results[0][i] for i in range(len(texts))] == [w[:4] for w in repeats(texts)]
+    assert results[0] == results[1]
+
+
 def test_repeats_with_equal_and_null_ids(spark):
     t = cases.sentence(random.Random(1), 80)
     docs = spark.createDataFrame([(1, t), (1, t), (None, t), (2, t + "more"), (2, "other " + t), (3, None)], "doc_id bigint, text string")

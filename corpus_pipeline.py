@@ -31,7 +31,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each component of links at a Jaccard similarity of 0.8 and more, of five-word shingles."""
+    """Keeps one row of each component of links at a Jaccard similarity of 0.8 and more, of five-word shingles.
+
+    SimHash fingerprints are linked by vantage-point trees first, as in op10, and confirmed; a prefix filter adds the links that they miss."""
     found = saved(jaccard.near_duplicates(docs).select("doc_id", "key", "first_key"), "found")
     copies = saved(found.filter("key != first_key").select(F.col("key").alias("__copy"), F.col("doc_id").alias("__copy_id")).distinct(), "copies")
     # rows that share id and text with the first of their component, and so its key

@@ -1,6 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: complete prefix filter, parity sketches, exact links.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash by vantage-point trees, exact links, complete prefix filter.
 
-A text's set holds the XXH64 hashes of its shingles of ``width`` words. Equal sets are one node. Two sets of
+A text's set holds the XXH64 hashes of its shingles of ``width`` words. Equal sets are one node. First SimHash fingerprints of
+the sets are linked within ``r`` bits by :mod:`loomwork.llm.simhash`, through its shards, trees and star contraction, and the sets
+that it brings together are compared whole: its links stand if the sets are similar. Similar sets can differ in more bits than a
+vantage point prunes at, so the links that it misses are then found by a prefix filter, between the components that it leaves. Two sets of
 similarity s or more share at least s of the larger one's shingles, so in any order that holds for all sets they share
 l of the first n - ceil(s * n) + l (the prefix; l is 1 + n // 10). Shingles that are frequent in a bounded sample come
 last in the order; the sample changes the work and not the result. Their sizes differ by the factor 1 / s at most, so
@@ -8,7 +11,7 @@ they meet in a band of sizes. A node that shares fewer than l shingles of its pr
 a shingle meet in the group of that shingle's smallest node. There they are told apart by parity sketches, whose
 Hamming distance is at most the sets' difference, and only possible partners are compared whole.
 
-Links are found in two passes: every node in one of its groups, and then, between components only, in all groups in
+The filter's links are found in two passes: every node in one of its groups, and then, between components only, in all groups in
 which several components are left. A group returns edges that connect its components instead of pairs. Groups
 of more than ``block_rows`` nodes or ``block_shingles`` shingles are split: in the first pass into blocks; in the second, if
 more than that is outside their largest component, by the shingles that are rare within them (:func:`regrouped`), so that a passage
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import batches_of, drop_saved, few, kinds, repeated, sample_below, saved, worker_udf
-from loomwork.llm.simhash import components
+from loomwork.llm.simhash import clusters, components, fingerprint_of
 
 
 def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
@@ -77,15 +80,16 @@ def prefix(x: np.ndarray, frequent: np.ndarray, counts: np.ndarray, num: int, de
 
 
 def prefixes(text: Column, width: int, order, num: int, den: int) -> Column:
-    """node, which identifies the set, its size, prefix and sketch."""
+    """node, which identifies the set, its size, SimHash fingerprint, prefix and sketch."""
 
-    @worker_udf("struct<node:bigint,n:bigint,prefix:array<bigint>,sketch:binary>")
+    @worker_udf("struct<node:bigint,n:bigint,fp:bigint,prefix:array<bigint>,sketch:binary>")
     def of(texts: pa.Array) -> pa.Array:
         frequent, counts = order.value
         found = [shingles(t.as_py(), width) for t in texts]
         nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], dtype=np.uint64).view(np.int64)
-        columns = [pa.array(nodes), pa.array([len(x) for x in found], pa.int64()), lists([prefix(x, frequent, counts, num, den) for x in found]), pa.array([sketch(x) for x in found], pa.binary())]
-        return pa.StructArray.from_arrays(columns, ["node", "n", "prefix", "sketch"])
+        prints = np.array([fingerprint_of(x) for x in found], dtype=np.uint64).view(np.int64)
+        columns = [pa.array(nodes), pa.array([len(x) for x in found], pa.int64()), pa.array(prints), lists([prefix(x, frequent, counts, num, den) for x in found]), pa.array([sketch(x) for x in found], pa.binary())]
+        return pa.StructArray.from_arrays(columns, ["node", "n", "fp", "prefix", "sketch"])
 
     return of(text)
 
@@ -303,8 +307,8 @@ def in_blocks(groups: DataFrame, grid: bool, block_rows: int, block_shingles: in
     return joined.withColumn("__t", F.explode(tasks)).select(*groups.columns, "__t.i", "__t.j")
 
 
-def connected(groups: DataFrame, nodes: DataFrame, docs: DataFrame, grid: bool, id_col: str, text_col: str, width: int, num: int, den: int, block_rows: int, block_shingles: int) -> DataFrame:
-    """Links (a, b) found within ``groups`` (low, band, node, n, comp) between nodes of different comp.
+def connected(groups: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) found within ``groups`` (low, band, i, j, node, n, comp) between nodes of different comp.
 
     Sketches are compared first; only sets with a possible partner are computed again from a text, and compared whole."""
     key = ["low", "band", "i", "j"]
@@ -320,8 +324,8 @@ def connected(groups: DataFrame, nodes: DataFrame, docs: DataFrame, grid: bool,
         found = np.array(found, dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
-    split = in_blocks(groups, grid, block_rows, block_shingles).join(nodes.select("node", "sketch"), "node")
-    left = saved(split.groupBy(*key).applyInArrow(possible, "low bigint, band bigint, i int, j int, node bigint, comp bigint"), "possible")
+    sketched = groups.join(nodes.select("node", "sketch"), "node")
+    left = saved(sketched.groupBy(*key).applyInArrow(possible, "low bigint, band bigint, i int, j int, node bigint, comp bigint"), "possible")
     whole = whole_sets(left, nodes, docs, id_col, text_col, width)
     edges = saved(left.join(whole, "node").groupBy(*key).applyInArrow(within, "a bigint, b bigint"), "links")
     drop_saved(left, whole)
@@ -337,12 +341,42 @@ def whole_sets(of: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
     return whole
 
 
-def links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, block_rows: int, block_shingles: int) -> DataFrame:
+def size_band(num: int, den: int) -> Column:
+    """Similar sizes ``n`` are in the same band or the next one; the base is a little larger than their ratio for rounding."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.001 * den / num)))
+
+
+def by_fingerprints(nodes: DataFrame, r: int, num: int, den: int, block_rows: int, block_shingles: int) -> DataFrame:
+    """Groups (low, band, i, j, node, n, comp) of nodes whose SimHash fingerprints are linked within ``r`` bits, directly or by others.
+
+    Each node is a component of its own; the empty set has no group. Groups of more than a task should hold are split into
+    blocks that each have the group's smallest node too."""
+    some, band = nodes.filter("n > 0").select("node", "n", "fp"), size_band(num, den)
+    stars = clusters(saved(some.select("fp").distinct(), "fingerprints"), r)
+    rooted = some.join(stars, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "node", "n")
+    placed = saved(rooted.withColumn("band", F.explode(F.array(band, band + 1))), "placed")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block_rows, F.sum("n") / block_shingles)).cast("int")
+    several = placed.groupBy("root", "band").agg(F.min("node").alias("low"), F.max("node").alias("high"), blocks.alias("k")).filter("low < high").drop("high")
+    dealt = F.when(F.col("node") == F.col("low"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("k")).cast("int")))
+    met = placed.join(few(saved(several, "several")), ["root", "band"])
+    return met.select("low", "band", F.explode(dealt).alias("i"), F.lit(0).alias("j"), "node", "n", F.col("node").alias("comp"))
+
+
+def between(groups: DataFrame, stars: DataFrame) -> DataFrame:
+    """``groups`` (low, band, node, n) in which several components are left, with comp."""
+    rest = groups.join(stars.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = rest.groupBy("low", "band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("low", "band")
+    return rest.join(few(saved(mixed, "mixed")), ["low", "band"])
+
+
+def links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, block_rows: int, block_shingles: int, r: int) -> DataFrame:
     """(node, root): the components that all pairs of sets of similarity num / den or more make.
 
-    ``nodes`` has node, key, n, prefix and sketch."""
-    # similar sizes are in the same band or the next one; the base is a little larger than their ratio for rounding
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.001 * den / num)))
+    ``nodes`` has node, key, n, fp, prefix and sketch."""
+    args, bounds = (id_col, text_col, width, num, den), (block_rows, block_shingles)
+    edges = lambda stars: stars.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    stars = components(connected(by_fingerprints(nodes, r, num, den, *bounds), nodes, docs, *args))
+    band = size_band(num, den)
     hits = shared_tokens(nodes).withColumn("band", F.explode(F.array(band, band + 1)))
     hits = saved(hits, "hits")
     met = saved(hits.groupBy("token", "band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("token", "band"), "met")
@@ -356,21 +390,18 @@ def links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width:
     ends = hits.groupBy("token", "band").agg(F.max("node").alias("high"), F.min("node").alias("first")).filter("first < high").select("token", "band", F.col("first").alias("low"))
     groups = saved(hits.join(few(saved(ends, "ends")), ["token", "band"]).select("low", "band", "node", "n").distinct(), "groups")
     drop_saved(hits)
-    args = (id_col, text_col, width, num, den, block_rows, block_shingles)
     # first every node in one of its groups, which settles most of a group of copies; then all groups in which components meet
-    one = groups.groupBy("node", "n").agg(F.min(F.struct("low", "band")).alias("g")).select("g.low", "g.band", "node", "n", F.col("node").alias("comp"))
-    stars = components(connected(one, nodes, docs, False, *args))
-    rest = groups.join(stars.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = rest.groupBy("low", "band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("low", "band")
-    rest = saved(rest.join(few(saved(mixed, "mixed")), ["low", "band"]), "rest")
+    one = between(groups, stars).groupBy("node", "n", "comp").agg(F.min(F.struct("low", "band")).alias("g")).select("g.low", "g.band", "node", "n", "comp")
+    stars = components(edges(stars).unionByName(connected(in_blocks(saved(one, "one"), False, *bounds), nodes, docs, *args)))
+    rest = saved(between(groups, stars), "rest")
     drop_saved(groups)
-    more = connected(regrouped(rest, nodes, docs, *args), nodes, docs, True, *args)
+    more = connected(in_blocks(regrouped(rest, nodes, docs, *args, *bounds), True, *bounds), nodes, docs, *args)
     drop_saved(rest)
-    return components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    return components(edges(stars).unionByName(more))
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, num: int = 4, den: int = 5, sample_rows: int = 1 << 13, most: int = 1 << 18, block_rows: int = 1 << 14, block_shingles: int = 1 << 21
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, num: int = 4, den: int = 5, sample_rows: int = 1 << 13, most: int = 1 << 18, block_rows: int = 1 << 14, block_shingles: int = 1 << 21, r: int = 2
 ) -> DataFrame:
     """doc_id, key (of id and text), node, component_id, the smallest id that links reach, and first_key for every row.
 
@@ -386,7 +417,7 @@ def near_duplicates(
     if nodes.count() > lows.count():
         nodes = saved(first.dropDuplicates(["node"]), "sets")
     drop_saved(shingled)
-    stars = links(nodes, docs, id_col, text_col, width, num, den, block_rows, block_shingles)
+    stars = links(nodes, docs, id_col, text_col, width, num, den, block_rows, block_shingles, r)
     drop_saved(nodes)
     rooted = lows.join(stars.withColumnRenamed("root", "__root"), "node", "left").withColumn("root", F.coalesce("__root", "node")).drop("__root")
     # only components of several nodes need another look

@@ -31,6 +31,21 @@ LEAF = 256
 CHUNK = 1 << 16
 
 
+def ones(h: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits that more than half of ``n`` hashes have."""
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """The fingerprint of a text's shingle hashes; 0 for none."""
+    return majority(sum((ones(h[at : at + CHUNK]) for at in range(0, len(h), CHUNK)), np.zeros(64, dtype=np.int64)), len(h))
+
+
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """The 64-bit fingerprint of one text."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -43,9 +58,8 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     for at in range(0, n, CHUNK):
         part = words[at : min(n, at + CHUNK) + width - 1]
         h = np.array([digest(b" ".join(s), seed) for s in zip(*(part[i:] for i in range(width)))], dtype="<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > n, bitorder="little")
-    return int(bits.view("<u8")[0])
+        counts += ones(h)
+    return majority(counts, n)
 
 
 def fingerprints(text: Column, width: int = 3) -> Column:
@@ -218,12 +232,17 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def clusters(nodes: DataFrame, r: int, *, shard_rows: int = 1 << 15) -> DataFrame:
+    """(fp, root) for every ``fp`` of ``nodes`` that links within r bits connect with a smaller one."""
+    return components(links(nodes, r, shard_rows=shard_rows)).withColumnRenamed("node", "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, r: int = 2, shard_rows: int = 1 << 15) -> DataFrame:
     """doc_id, fp and component_id, the smallest id that links reach, for every row."""
     rows = saved(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), width).alias("fp")), "fingerprints")
     nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    stars = components(links(nodes, r, shard_rows=shard_rows))
-    rooted = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    stars = clusters(nodes, r, shard_rows=shard_rows)
+    rooted = nodes.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # only components of several fingerprints need another look
     several = rooted.join(stars.select("root").distinct(), "root", "left_semi")
     lowest = several.groupBy("root").agg(F.min("low").alias("component_id"))

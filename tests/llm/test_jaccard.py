@@ -7,10 +7,10 @@ import random
 import cases
 import numpy as np
 import pytest
-from brute import similar_components
+from brute import components, similar_components
 
 import corpus_pipeline
-from loomwork.llm import jaccard
+from loomwork.llm import jaccard, simhash
 
 
 def edited(rng: random.Random, text: str, n: int) -> str:
@@ -128,6 +128,39 @@ def test_texts_around_one_passage_dont_meet(spark, monkeypatch):
     assert grid[0] >= 800 and grid[1] < 200
 
 
+def set_fingerprint(x: np.ndarray) -> int:
+    h = [int(v) & (1 << 64) - 1 for v in x]
+    return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
+
+
+@pytest.mark.parametrize("r", [0, 2, 8])
+def test_simhash_links_come_first_and_are_confirmed(spark, monkeypatch, r):
+    """Without the filter, the links are those between similar sets among the ones that fingerprints bring together."""
+    texts = near_texts()
+    found = [jaccard.shingles(t) for t in texts]
+    prints = [set_fingerprint(x) for x in found]
+    assert [jaccard.fingerprint_of(x) for x in found] == prints
+    cluster, asked = components(prints, r), []
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if cluster[i] == cluster[j] and bool(len(found[i])) == bool(len(found[j]))]
+    confirmed = [(i, j) for i, j in pairs if not len(found[i]) or similar(found[i], found[j])]
+    assert len(confirmed) > 30 and (r < 8 or len(pairs) > len(confirmed))
+    by_trees = jaccard.clusters
+    monkeypatch.setattr(jaccard, "clusters", lambda nodes, bits: asked.append((sorted(x["fp"] & (1 << 64) - 1 for x in nodes.collect()), bits)) or by_trees(nodes, bits))
+    monkeypatch.setattr(jaccard, "shared_tokens", lambda nodes: nodes.select(jaccard.F.lit(0).cast("long").alias("token"), "node", "n").limit(0))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.near_duplicates(docs, r=r).collect()}
+    assert asked == [(sorted({p for p, x in zip(prints, found) if len(x)}), r)]
+    assert [got[i] for i in range(len(texts))] == classes(len(texts), confirmed)
+
+
+def test_stage_runs_the_vantage_point_search(spark, sf_dir, monkeypatch):
+    """All fingerprints of the stage's documents go through the shards of op10's operator, at its radius."""
+    docs, searched, search = spark.read.parquet(f"{sf_dir}/documents.parquet"), [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda nodes, r, **kw: searched.append((nodes.count(), r)) or search(nodes, r, **kw))
+    corpus_pipeline.one_of_near_duplicates(spark, docs, sf_dir).count()
+    assert searched == [(len({set_fingerprint(x) for (t,) in docs.select("text").collect() if len(x := jaccard.shingles(t))}), 2)]
+
+
 def test_sketches_differ_in_no_more_bits_than_sets():
     sets = clustered_sets()
     for some in (sets[:80], sets):  # of several widths
